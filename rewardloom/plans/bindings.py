@@ -177,3 +177,170 @@ def sql_rollouts_from_events(by_day: bool = False, cfg: RewardConfig = ROLLOUT_R
     FROM events"""
     return f"""(SELECT *, {sql_reward('reason', 'candidate_sql', 'exec_ok', 'exec_time_ms', cfg)} AS reward
       FROM (SELECT *, exec_time_ms_raw AS exec_time_ms FROM ({base})))"""
+
+
+# ---------------------------------------------------------------------------
+# Evaluation results from ``events`` (E3 input)
+# ---------------------------------------------------------------------------
+MODEL_LABELS = ("base", "sft", "dpo")  # by user_id % 3
+GOLD_TEMPLATES = (  # by event_id % 4: easy, medium, hard, extra under X7
+    "SELECT name FROM users WHERE id = ",
+    "SELECT name FROM users ORDER BY age LIMIT ",
+    "SELECT u.name FROM users u JOIN orders o ON o.user_id = u.id JOIN items i ON i.order_id = o.order_id WHERE u.id = ",
+    "SELECT name FROM users UNION SELECT name FROM admins WHERE id = ",
+)
+
+
+def eval_results_from_events(events: DataFrame, cfg: RewardConfig = RewardConfig()) -> DataFrame:
+    """One evaluated example per event: label = model, example_idx = event_id,
+    gold SQL by event_id % 4, gold failure when event_id % 17 = 0, outcome by
+    event_type; difficulty comes from the gold SQL text (X7)."""
+    e = events.select("event_id", "user_id", "event_type", "value")
+    uid = F.col("user_id").cast("string")
+    label = F.when(F.col("user_id") % 3 == 0, F.lit(MODEL_LABELS[0])).when(
+        F.col("user_id") % 3 == 1, F.lit(MODEL_LABELS[1])
+    ).otherwise(F.lit(MODEL_LABELS[2]))
+    gm = F.col("event_id") % 4
+    gold = F.concat(
+        F.when(gm == 0, F.lit(GOLD_TEMPLATES[0])).when(gm == 1, F.lit(GOLD_TEMPLATES[1]))
+        .when(gm == 2, F.lit(GOLD_TEMPLATES[2])).otherwise(F.lit(GOLD_TEMPLATES[3])),
+        uid,
+    )
+    gold_failed = F.col("event_id") % 17 == 0
+    et = F.col("event_type")
+    reason = F.when(gold_failed, F.lit("gold_failed")).otherwise(_case(et, 0, "unknown_error"))
+    out = e.select(
+        label.alias("label"),
+        F.col("event_id").alias("example_idx"),
+        F.concat(F.lit("Which events did user "), uid, F.lit(" have")).alias("question"),
+        F.concat(F.lit("db"), (F.col("user_id") % 10).cast("string")).alias("db_id"),
+        gold.alias("gold_sql"),
+        F.concat(_case(et, 4, "SELECT NULL FROM events WHERE user_id = "), uid).alias("predicted_sql"),
+        (~gold_failed & _case(et, 3, False)).alias("matched"),
+        reason.alias("reason"),
+        _case(et, 1, "unknown_error").alias("error_type"),
+        _case(et, 2, False).alias("exec_ok"),
+        F.floor(F.col("value") * 10).cast("long").alias("exec_time_ms"),
+        gold_failed.alias("gold_failed"),
+    )
+    return out.withColumn(
+        "reward", reward_expr("reason", "predicted_sql", "exec_ok", "exec_time_ms", cfg)
+    ).withColumn("difficulty", T.difficulty("gold_sql"))
+
+
+def sql_eval_results_from_events(cfg: RewardConfig = RewardConfig()) -> str:
+    from rewardloom.plans import sqltext as S
+
+    uid = "CAST(user_id AS VARCHAR)"
+    gold = (
+        "(CASE event_id % 4 " + " ".join(f"WHEN {i} THEN {sql_str(t)}" for i, t in enumerate(GOLD_TEMPLATES))
+        + f" END || {uid})"
+    )
+    head = _sql_case("event_type", 4, sql_str("SELECT NULL FROM events WHERE user_id = "))
+    base = f"""
+      SELECT CASE user_id % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'sft' ELSE 'dpo' END AS label,
+             event_id AS example_idx,
+             'Which events did user ' || {uid} || ' have' AS question,
+             'db' || CAST(user_id % 10 AS VARCHAR) AS db_id,
+             {gold} AS gold_sql,
+             ({head}) || {uid} AS predicted_sql,
+             (event_id % 17 <> 0) AND {_sql_case('event_type', 3, 'FALSE')} AS matched,
+             CASE WHEN event_id % 17 = 0 THEN 'gold_failed' ELSE {_sql_case('event_type', 0, "'unknown_error'")} END AS reason,
+             {_sql_case('event_type', 1, "'unknown_error'")} AS error_type,
+             {_sql_case('event_type', 2, 'FALSE')} AS exec_ok,
+             CAST(floor(value * 10) AS BIGINT) AS exec_time_ms,
+             event_id % 17 = 0 AS gold_failed
+      FROM events"""
+    return f"""(SELECT *, {sql_reward('reason', 'predicted_sql', 'exec_ok', 'exec_time_ms', cfg)} AS reward,
+                 {S.difficulty('gold_sql')} AS difficulty
+          FROM ({base}))"""
+
+
+# ---------------------------------------------------------------------------
+# Result sets and runs from ``lineitem`` (A1, Q5 inputs)
+# ---------------------------------------------------------------------------
+def _li_cells(first: str, second: str) -> Column:
+    return F.array(F.col(first), F.col(second), F.col("l_linenumber").cast("string"))
+
+
+def result_sets_from_lineitem(lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Gold result per supplier = its (returnflag, linestatus, linenumber)
+    rows. The candidate result of supplier s depends on s % 4: 0 identical,
+    1 without line 1, 2 with line 2 twice, 3 first two columns swapped."""
+    li = lineitem.select("l_suppkey", "l_returnflag", "l_linestatus", "l_linenumber")
+    key = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    v = F.col("l_suppkey") % 4
+    gold = li.select(key.alias("query_key"), _li_cells("l_returnflag", "l_linestatus").alias("cells"))
+    cand_base = li.filter(~((v == 1) & (F.col("l_linenumber") == 1))).select(
+        key.alias("query_key"),
+        F.when(v == 3, _li_cells("l_linestatus", "l_returnflag"))
+        .otherwise(_li_cells("l_returnflag", "l_linestatus")).alias("cells"),
+    )
+    extra = li.filter((v == 2) & (F.col("l_linenumber") == 2)).select(
+        key.alias("query_key"), _li_cells("l_returnflag", "l_linestatus").alias("cells")
+    )
+    return gold, cand_base.unionByName(extra)
+
+
+SQL_LI_GOLD = """(SELECT 's' || CAST(l_suppkey AS VARCHAR) AS query_key,
+        l_returnflag || chr(31) || l_linestatus || chr(31) || CAST(l_linenumber AS VARCHAR) AS row_text
+      FROM lineitem)"""
+SQL_LI_CAND = """(SELECT 's' || CAST(l_suppkey AS VARCHAR) AS query_key,
+        CASE WHEN l_suppkey % 4 = 3 THEN l_linestatus || chr(31) || l_returnflag
+             ELSE l_returnflag || chr(31) || l_linestatus END
+          || chr(31) || CAST(l_linenumber AS VARCHAR) AS row_text
+      FROM lineitem WHERE NOT (l_suppkey % 4 = 1 AND l_linenumber = 1)
+      UNION ALL
+      SELECT 's' || CAST(l_suppkey AS VARCHAR),
+        l_returnflag || chr(31) || l_linestatus || chr(31) || CAST(l_linenumber AS VARCHAR)
+      FROM lineitem WHERE l_suppkey % 4 = 2 AND l_linenumber = 2)"""
+
+# Candidate run status by supplier % 8 for the scoring input.
+RUN_STATUS = ("ok", "ok", "ok", "ok", "syntax_error", "runtime_error", "timeout", "ok")
+CAND_SQL_HEAD = "SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_suppkey = "
+STAR_SQL_HEAD = "SELECT * FROM lineitem WHERE l_suppkey = "
+SCORING_REWARD = RewardConfig(length_penalty_weight=0.02, select_star_penalty=0.1, slow_query_ms=1500, slow_query_penalty=0.3)
+
+
+def scoring_inputs_from_lineitem(lineitem: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, runs, result_rows) for Q5. One gold and one candidate
+    query per supplier; the gold run fails when supplier % 8 = 7; the
+    candidate run status follows RUN_STATUS; candidate rows as in
+    ``result_sets_from_lineitem``."""
+    gold, cand = result_sets_from_lineitem(lineitem)
+    gold = gold.withColumn("query_key", F.concat(F.lit("g-"), F.col("query_key")))
+    cand = cand.withColumn("query_key", F.concat(F.lit("c-"), F.col("query_key")))
+    rows = gold.unionByName(cand)
+    sup = lineitem.select("l_suppkey").distinct()
+    s = F.col("l_suppkey")
+    skey = F.concat(F.lit("s"), s.cast("string"))
+    status = F.element_at(F.array(*[F.lit(x) for x in RUN_STATUS]), (s % 8 + 1).cast("int"))
+    gold_runs = sup.select(
+        F.concat(F.lit("g-"), skey).alias("query_key"),
+        (s % 8 != 7).alias("ok"),
+        F.when(s % 8 == 7, F.lit("runtime_error")).otherwise(F.lit("ok")).alias("error_type"),
+        F.lit("").alias("error_message"),
+        F.lit(False).alias("truncated"),
+        ((s * 37) % 3000).alias("elapsed_ms"),
+    )
+    cand_runs = sup.select(
+        F.concat(F.lit("c-"), skey).alias("query_key"),
+        (status == "ok").alias("ok"),
+        status.alias("error_type"),
+        F.lit("").alias("error_message"),
+        F.lit(False).alias("truncated"),
+        ((s * 53) % 3000).alias("elapsed_ms"),
+    )
+    counts = rows.groupBy("query_key").agg(F.count(F.lit(1)).alias("row_count"))
+    runs = gold_runs.unionByName(cand_runs).join(counts, "query_key", "left").withColumn(
+        "row_count", F.when(F.col("ok"), F.coalesce("row_count", F.lit(0))).otherwise(F.lit(0)).cast("long")
+    )
+    candidates = sup.select(
+        skey.alias("pair_id"),
+        F.concat(F.lit("g-"), skey).alias("gold_key"),
+        F.concat(F.lit("c-"), skey).alias("cand_key"),
+        F.concat(F.when(s % 3 == 0, F.lit(STAR_SQL_HEAD)).otherwise(F.lit(CAND_SQL_HEAD)), s.cast("string")).alias(
+            "candidate_sql"
+        ),
+    )
+    return candidates, runs, rows

@@ -7,9 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rewardloom.operators import evaluate as EV
+from rewardloom.operators.compare import compare_result_sets
 from rewardloom.operators.preferences import PreferenceConfig, build_preferences, flatten_pairs
+from rewardloom.operators.rollouts import rollout_stats, score_candidates
 from rewardloom.plans import bindings as B
 from rewardloom.plans import oracle as O
+from rewardloom.plans import oracle_more as O2
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,8 +42,40 @@ def _pref_stats(by_day: bool, cfg: PreferenceConfig) -> Query:
     return q
 
 
+def _eval(fn) -> Query:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(B.eval_results_from_events(B.table(spark, sf_dir, "events")))
+
+    return q
+
+
+def _rollout_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollout_stats(_rollouts(spark, sf_dir, True))
+
+
+def _result_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold, cand = B.result_sets_from_lineitem(B.table(spark, sf_dir, "lineitem"))
+    return compare_result_sets(gold, cand)
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cands, runs, rows = B.scoring_inputs_from_lineitem(B.table(spark, sf_dir, "lineitem"))
+    return score_candidates(cands, runs, rows, B.SCORING_REWARD).select(
+        "pair_id", "matched", "reason", "reward", "exec_ok", "error_type", "exec_time_ms"
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
+        "rollout_stats": _rollout_stats,
+        "eval_metrics": _eval(EV.metrics),
+        "eval_by_difficulty": _eval(EV.metrics_by_difficulty),
+        "eval_by_reason": _eval(EV.metrics_by_reason),
+        "eval_vs_base": _eval(lambda r: EV.compare_with_base(r, "base")),
+        "eval_model_rank": _eval(EV.rank_models),
+        "eval_running_accuracy": _eval(EV.running_accuracy),
+        "result_compare": _result_compare,
+        "scored_candidates": _scored,
         "preferences_by_user": _prefs(False, PREF_DEFAULT),
         "preferences_by_user_day_ties": _prefs(True, PREF_TIES),
         "preference_stats_by_user_day": _pref_stats(True, PREF_DEFAULT),
@@ -51,7 +87,17 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     r_user = B.sql_rollouts_from_events(by_day=False)
     r_day = B.sql_rollouts_from_events(by_day=True)
+    ev = B.sql_eval_results_from_events()
     return {
+        "rollout_stats": O2.rollout_stats(r_day),
+        "eval_metrics": O2.eval_metrics(ev),
+        "eval_by_difficulty": O2.eval_by_difficulty(ev),
+        "eval_by_reason": O2.eval_by_reason(ev),
+        "eval_vs_base": O2.eval_vs_base(ev, "base"),
+        "eval_model_rank": O2.eval_model_rank(ev),
+        "eval_running_accuracy": O2.eval_running_accuracy(ev),
+        "result_compare": O2.result_compare(),
+        "scored_candidates": O2.scored_candidates(),
         "preferences_by_user": O.preferences(r_user, PREF_DEFAULT),
         "preferences_by_user_day_ties": O.preferences(r_day, PREF_TIES),
         "preference_stats_by_user_day": O.preference_stats(r_day, PREF_DEFAULT),
