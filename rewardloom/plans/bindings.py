@@ -344,3 +344,79 @@ def scoring_inputs_from_lineitem(lineitem: DataFrame) -> tuple[DataFrame, DataFr
         ),
     )
     return candidates, runs, rows
+
+
+# ---------------------------------------------------------------------------
+# Generated texts (X1-X10 inputs): templates over ``orders`` plus whole
+# ``documents`` and ``conversations`` texts as prose without SQL.
+# ---------------------------------------------------------------------------
+# (prefix, column, suffix), chosen by o_orderkey % 14.
+GENERATION_TEMPLATES = (
+    ("```sql\nSELECT o_orderkey FROM orders WHERE o_custkey = ", "o_custkey", "\n```"),
+    ("<|im_start|>assistant\nSELECT o_totalprice FROM orders WHERE o_orderkey = ", "o_orderkey", "; <|im_end|> trailing words"),
+    ("SELECT count(*) FROM orders WHERE o_orderpriority = '", "o_orderpriority", "'\n\nSELECT garbage FROM orders"),
+    ("Here is the query:\n```sql\nSELECT o_orderstatus FROM orders\n```\nIt lists the status of every order; "
+     "this explanation is deliberately longer than the query itself, for customer ", "o_custkey", "."),
+    ("SELECT o_custkey FROM orders WHERE o_orderkey = ", "o_orderkey", " 中文 garbage"),
+    ("SELECT * FROM orders WHERE o_orderstatus = '", "o_orderstatus", "'; DROP TABLE orders"),
+    ("DROP TABLE orders_", "o_orderkey", ""),
+    ("WITH t AS (SELECT o_orderkey FROM orders) SELECT * FROM t WHERE o_orderkey = ", "o_orderkey", ""),
+    ("SELECT o_orderkey FROM orders -- comment ", "o_orderkey", ""),
+    ("SELECT replace(o_orderpriority, '-', '') FROM orders WHERE o_custkey = ", "o_custkey", ""),
+    ("SELECT o_orderkey FROM orders WHERE o_custkey = ", "o_custkey", " UNION SELECT o_custkey FROM orders\nSELECT 2"),
+    ("assistant\nselect o.o_orderkey from orders o join customer c on o.o_custkey = c.c_custkey "
+     "join nation n on c.c_nationkey = n.n_nationkey where o.o_orderkey = ", "o_orderkey", "<quote>"),
+    ("SELECT o_custkey, count(*) FROM orders GROUP BY o_custkey HAVING count(*) > ", "o_orderkey", ";;"),
+    ("```\nSELECT a FROM (SELECT o_custkey AS a FROM orders WHERE o_orderkey = ", "o_orderkey",
+     ") x ORDER BY a\n```\n```sql\nSELECT 1\n```"),
+)
+
+
+def generations_from_tables(orders: DataFrame, documents: DataFrame, conversations: DataFrame) -> DataFrame:
+    """``(source, gen_id, text)``: one templated generation per order, every
+    document text and every conversation turn, whole."""
+    n = len(GENERATION_TEMPLATES)
+    m = F.col("o_orderkey") % n
+    expr = None
+    for i, (pre, col, suf) in enumerate(GENERATION_TEMPLATES):
+        val = F.concat(F.lit(pre), F.col(col).cast("string"), F.lit(suf))
+        expr = F.when(m == i, val) if expr is None else expr.when(m == i, val)
+    o = orders.select(F.lit("orders").alias("source"), F.col("o_orderkey").alias("gen_id"), expr.alias("text"))
+    d = documents.select(F.lit("documents").alias("source"), F.col("doc_id").alias("gen_id"), F.col("text"))
+    c = conversations.select(
+        F.lit("conversations").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("gen_id"), F.col("text")
+    )
+    return o.unionByName(d).unionByName(c)
+
+
+def sql_generations() -> str:
+    n = len(GENERATION_TEMPLATES)
+    whens = " ".join(
+        f"WHEN {i} THEN {sql_str(pre)} || CAST({col} AS VARCHAR) || {sql_str(suf)}"
+        for i, (pre, col, suf) in enumerate(GENERATION_TEMPLATES)
+    )
+    return f"""(SELECT 'orders' AS source, o_orderkey AS gen_id, CASE o_orderkey % {n} {whens} END AS text FROM orders
+      UNION ALL SELECT 'documents', doc_id, text FROM documents
+      UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations)"""
+
+
+# Error log (X10 input): exception class by row, message = the whole text.
+EXCEPTION_CLASSES = ("OperationalError", "ProgrammingError", "OperationalError", "DatabaseError")
+
+
+def error_log_from_tables(documents: DataFrame, events: DataFrame) -> DataFrame:
+    m = F.col("doc_id") % 4
+    cls = F.element_at(F.array(*[F.lit(c) for c in EXCEPTION_CLASSES]), (m + 1).cast("int"))
+    d = documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("log_id"), cls.alias("exception_class"), F.col("text").alias("message"))
+    e = events.select(
+        F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("log_id"),
+        F.lit("OperationalError").alias("exception_class"),
+        F.concat(F.col("event_type"), F.lit(" "), F.col("props")).alias("message"),
+    )
+    return d.unionByName(e)
+
+
+def sql_error_log() -> str:
+    arr = "[" + ", ".join(sql_str(c) for c in EXCEPTION_CLASSES) + "]"
+    return f"""(SELECT 'd' || CAST(doc_id AS VARCHAR) AS log_id, {arr}[doc_id % 4 + 1] AS exception_class, text AS message FROM documents
+      UNION ALL SELECT 'e' || CAST(event_id AS VARCHAR), 'OperationalError', event_type || ' ' || props FROM events)"""

@@ -14,6 +14,8 @@ from rewardloom.operators.rollouts import rollout_stats, score_candidates
 from rewardloom.plans import bindings as B
 from rewardloom.plans import oracle as O
 from rewardloom.plans import oracle_more as O2
+from rewardloom.plans import sqltext as S
+from rewardloom.functions import text as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,8 +67,58 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _gens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.generations_from_tables(
+        B.table(spark, sf_dir, "orders"), B.table(spark, sf_dir, "documents"), B.table(spark, sf_dir, "conversations")
+    )
+
+
+def _extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gens(spark, sf_dir).select("source", "gen_id", T.extract_sql("text").alias("sql"))
+
+
+def _fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gens(spark, sf_dir).select("source", "gen_id", T.strip_code_fences("text").alias("stripped"))
+
+
+def _validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _gens(spark, sf_dir).withColumn("sql", T.extract_sql("text"))
+    return g.select(
+        "source", "gen_id",
+        T.validate_sql("text").is_valid.alias("text_valid"), T.validate_sql("text").reason.alias("text_reason"),
+        T.validate_sql("sql").is_valid.alias("sql_valid"), T.validate_sql("sql").reason.alias("sql_reason"),
+    )
+
+
+def _difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _gens(spark, sf_dir).withColumn("sql", T.extract_sql("text"))
+    return g.select(
+        "source", "gen_id", T.difficulty("text").alias("text_difficulty"), T.difficulty("sql").alias("sql_difficulty")
+    )
+
+
+def _tokens_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gens(spark, sf_dir).select(
+        "source", "gen_id",
+        T.sql_token_count("text").alias("n_tokens"),
+        T.uses_select_star("text").alias("select_star"),
+        T.uses_select_star("text", "literal").alias("select_star_literal"),
+    )
+
+
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = B.error_log_from_tables(B.table(spark, sf_dir, "documents"), B.table(spark, sf_dir, "events"))
+    return log.select("log_id", "exception_class", T.classify_error("exception_class", "message").alias("error_type"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "extract_sql": _extract,
+        "strip_code_fences": _fences,
+        "validate_sql": _validate,
+        "sql_difficulty": _difficulty,
+        "sql_tokens_star": _tokens_star,
+        "classify_error": _errors,
         "rollout_stats": _rollout_stats,
         "eval_metrics": _eval(EV.metrics),
         "eval_by_difficulty": _eval(EV.metrics_by_difficulty),
@@ -88,7 +140,28 @@ def oracle_sql() -> dict[str, str]:
     r_user = B.sql_rollouts_from_events(by_day=False)
     r_day = B.sql_rollouts_from_events(by_day=True)
     ev = B.sql_eval_results_from_events()
+    gens = B.sql_generations()
+    ex = S.extract_sql_staged(gens)
     return {
+        "extract_sql": f"SELECT source, gen_id, sql FROM {ex}",
+        "strip_code_fences": f"SELECT source, gen_id, {S.strip_code_fences('text')} AS stripped FROM {gens}",
+        "validate_sql": f"""SELECT source, gen_id,
+               {S.validation_reason('text')} IS NULL AS text_valid, {S.validation_reason('text')} AS text_reason,
+               {S.validation_reason('sql')} IS NULL AS sql_valid, {S.validation_reason('sql')} AS sql_reason
+            FROM {ex}""",
+        "sql_difficulty": f"""SELECT source, gen_id, {S.difficulty('text')} AS text_difficulty,
+               {S.difficulty('sql')} AS sql_difficulty FROM {ex}""",
+        "sql_tokens_star": f"""SELECT source, gen_id, {S.token_count('text')} AS n_tokens,
+               {S.star('text')} AS select_star, {S.star('text', literal=True)} AS select_star_literal FROM {gens}""",
+        "classify_error": f"""SELECT log_id, exception_class,
+               CASE WHEN exception_class = 'OperationalError' THEN
+                      CASE WHEN contains(lower(coalesce(message, '')), 'interrupted') THEN 'timeout'
+                           WHEN contains(lower(coalesce(message, '')), 'syntax error')
+                             OR contains(lower(coalesce(message, '')), 'near') THEN 'syntax_error'
+                           ELSE 'runtime_error' END
+                    WHEN exception_class = 'ProgrammingError' THEN 'forbidden'
+                    ELSE 'unknown_error' END AS error_type
+            FROM {B.sql_error_log()}""",
         "rollout_stats": O2.rollout_stats(r_day),
         "eval_metrics": O2.eval_metrics(ev),
         "eval_by_difficulty": O2.eval_by_difficulty(ev),

@@ -94,3 +94,35 @@ def star(expr: str, literal: bool = False) -> str:
     if literal:
         pat += "[\\p{L}\\p{N}_]"
     return f"coalesce(regexp_matches({expr}, {sql_str(pat)}), FALSE)"
+
+
+def split_first(expr: str, sep: str) -> str:
+    return f"split_part({expr}, {sql_str(sep)}, 1)"
+
+
+def extract_sql_staged(source: str, text_col: str = "text", out_col: str = "sql") -> str:
+    """X4+X5 over a source, one derived column per step (keeps the SQL small)."""
+    end = sql_str(T.IM_END)
+    p1, p2 = (sql_str(p) for p in T.ASSISTANT_PREFIXES)
+    l1, l2 = (len(p) + 1 for p in T.ASSISTANT_PREFIXES)
+    markers = sql_str("(?s)(" + "|".join(["<[|]", "<quote", "```", "\n\n", "\nSELECT", "\nWITH"]) + ").*")
+    nonascii = sql_str("(?s)[^\\x00-\\x7F].*")
+    empty = "''"
+    steps = [
+        f"{strip(text_col)} AS _x0",
+        f"list_filter(list_transform(string_split(replace(_x0, '```sql', '```'), '```'), lambda p: {strip('p')}), lambda b: length(b) > 0) AS _xb",
+        "CASE WHEN NOT contains(_x0, '```') OR len(_xb) = 0 THEN _x0 ELSE list_reduce(list_prepend('', _xb), "
+        "lambda acc, b: CASE WHEN length(b) > length(acc) THEN b ELSE acc END) END AS _x1",
+        f"{strip(f'split_part(_x1, {end}, 1)')} AS _x2",
+        f"CASE WHEN starts_with(_x2, {p1}) THEN {strip(f'substr(_x2, {l1})')} ELSE _x2 END AS _x3",
+        f"CASE WHEN starts_with(_x3, {p2}) THEN {strip(f'substr(_x3, {l2})')} ELSE _x3 END AS _x4",
+        f"{strip(f'regexp_replace(_x4, {nonascii}, {empty})')} AS _x5",
+        f"{strip(f'regexp_replace(_x5, {markers}, {empty})')} AS _x6",
+        f"{strip(split_first('_x6', ';'))} AS _x7",
+        f"CASE WHEN starts_with(lower(_x7), 'select') OR starts_with(lower(_x7), 'with') THEN _x7 ELSE '' END AS {out_col}",
+    ]
+    q = f"SELECT * FROM {source}"
+    for s in steps:
+        q = f"(SELECT *, {s} FROM {q if q.startswith('(') else '(' + q + ')'})"
+    drop = ", ".join(["_x0", "_xb", "_x1", "_x2", "_x3", "_x4", "_x5", "_x6", "_x7"])
+    return f"(SELECT * EXCLUDE ({drop}) FROM {q})"
