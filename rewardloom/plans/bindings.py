@@ -420,3 +420,107 @@ def sql_error_log() -> str:
     arr = "[" + ", ".join(sql_str(c) for c in EXCEPTION_CLASSES) + "]"
     return f"""(SELECT 'd' || CAST(doc_id AS VARCHAR) AS log_id, {arr}[doc_id % 4 + 1] AS exception_class, text AS message FROM documents
       UNION ALL SELECT 'e' || CAST(event_id AS VARCHAR), 'OperationalError', event_type || ' ' || props FROM events)"""
+
+
+# ---------------------------------------------------------------------------
+# Column catalog from ``part`` (A3 input) and examples from ``conversations``
+# ---------------------------------------------------------------------------
+# db = brand and a block of 200 part keys, table = type and a block of 50 keys,
+# so every database and table stays bounded at any scale. Types by p_size % 5
+# ('' and NULL print as TEXT); NOT NULL when p_size % 3 = 0; pk when
+# p_partkey % 7 = 0; names starting 'sqlite_' / 'sqliteX' exercise the skip
+# rule (LIKE's '_' wildcard). FKs for p_size % 4 = 0, without a target
+# column when p_size % 8 = 0.
+CATALOG_TYPES = ("INTEGER", "TEXT", "REAL", "")
+
+
+def _catalog_base(part: DataFrame) -> DataFrame:
+    k = F.col("p_partkey")
+    size = F.col("p_size")
+    ty = F.lower(F.col("p_type"))
+    prefix = F.when(size % 11 == 0, F.lit("sqlite_")).when(size % 13 == 0, F.lit("sqliteX")).otherwise(F.lit(""))
+    return part.select(
+        F.concat(F.col("p_brand"), F.lit("/"), F.floor(k / 200).cast("string")).alias("db_id"),
+        F.concat(prefix, ty, F.lit("_"), F.floor(k / 50).cast("string")).alias("table_name"),
+        k.cast("long").alias("cid"),
+        F.concat(F.regexp_replace(F.col("p_name"), " ", "_"), F.lit("_"), k.cast("string")).alias("column_name"),
+        F.when(size % 5 == 4, F.lit(None).cast("string"))
+        .otherwise(F.element_at(F.array(*[F.lit(t) for t in CATALOG_TYPES]), (size % 5 + 1).cast("int")))
+        .alias("column_type"),
+        (size % 3 == 0).alias("not_null"),
+        F.when(k % 7 == 0, F.lit(1)).otherwise(F.lit(0)).alias("pk"),
+        ty.alias("_type"),
+        size.alias("_size"),
+    )
+
+
+def catalog_from_part(part: DataFrame) -> tuple[DataFrame, DataFrame]:
+    base = _catalog_base(part)
+    cols = base.drop("_type", "_size")
+    fks = base.filter(F.col("_size") % 4 == 0).select(
+        "db_id", "table_name",
+        F.col("cid").alias("fk_pos"),
+        F.col("column_name").alias("from_col"),
+        F.concat(F.lit("parts_"), F.col("_type")).alias("to_table"),
+        F.when(F.col("_size") % 8 == 0, F.lit(None).cast("string")).otherwise(F.lit("id")).alias("to_col"),
+    )
+    return cols, fks
+
+
+def sql_schema_text() -> str:
+    types = "[" + ", ".join(sql_str(t) for t in CATALOG_TYPES) + "]"
+    base = f"""(SELECT p_brand || '/' || CAST(p_partkey // 200 AS VARCHAR) AS db_id,
+          (CASE WHEN p_size % 11 = 0 THEN 'sqlite_' WHEN p_size % 13 = 0 THEN 'sqliteX' ELSE '' END)
+            || lower(p_type) || '_' || CAST(p_partkey // 50 AS VARCHAR) AS table_name,
+          p_partkey AS cid,
+          replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) AS column_name,
+          CASE WHEN p_size % 5 = 4 THEN NULL ELSE {types}[p_size % 5 + 1] END AS column_type,
+          p_size % 3 = 0 AS not_null,
+          CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS pk,
+          lower(p_type) AS ty, p_size AS sz
+        FROM part)"""
+    nl = "chr(10)"
+    return f"""(WITH b AS {base},
+      lines AS (
+        SELECT db_id, table_name, 0 AS kind, cid AS pos,
+               '  ' || column_name || ' ' || coalesce(nullif(column_type, ''), 'TEXT')
+               || CASE WHEN pk <> 0 THEN ' PRIMARY KEY' ELSE '' END
+               || CASE WHEN not_null AND pk = 0 THEN ' NOT NULL' ELSE '' END AS line
+        FROM b WHERE lower(table_name) NOT LIKE 'sqlite_%'
+        UNION ALL
+        SELECT db_id, table_name, 1, cid,
+               '  FOREIGN KEY (' || column_name || ') REFERENCES parts_' || ty
+               || CASE WHEN sz % 8 = 0 THEN '' ELSE '(id)' END
+        FROM b WHERE sz % 4 = 0 AND lower(table_name) NOT LIKE 'sqlite_%'),
+      blocks AS (
+        SELECT db_id, table_name,
+               'CREATE TABLE ' || table_name || ' (' || {nl}
+               || string_agg(line, ',' || {nl} ORDER BY kind, pos) || {nl} || ');' AS block
+        FROM lines GROUP BY db_id, table_name)
+      SELECT db_id, string_agg(block, {nl} || {nl} ORDER BY table_name) AS schema FROM blocks GROUP BY db_id)"""
+
+
+def examples_from_conversations(conversations: DataFrame) -> DataFrame:
+    """Examples (D2 without schema): a user turn is the question and the
+    assistant turn right after it the target text."""
+    c = conversations.select("conv_id", "turn", "role", "text")
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    a = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("sql")
+    )
+    return u.join(a, ["conv_id", "turn"]).select(
+        F.concat(F.lit("c"), F.lpad(F.col("conv_id").cast("string"), 6, "0"), F.lit("-"), F.col("turn").cast("string")).alias("id"),
+        "question", "sql",
+        F.concat(F.lit("Brand#"), (F.col("conv_id") % 25 + 1).cast("string"), F.lit("/0")).alias("db_id"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"),
+    )
+
+
+def sql_examples() -> str:
+    return """(SELECT 'c' || lpad(CAST(u.conv_id AS VARCHAR), 6, '0') || '-' || CAST(u.turn AS VARCHAR) AS id,
+          u.text AS question, a.text AS sql,
+          'Brand#' || CAST(u.conv_id % 25 + 1 AS VARCHAR) || '/0' AS db_id,
+          u.conv_id * 1000 + u.turn AS ord
+        FROM conversations u JOIN conversations a
+          ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+        WHERE u.role = 'user')"""

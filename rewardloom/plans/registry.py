@@ -112,7 +112,10 @@ def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from rewardloom.plans import token_queries as TQ
+
     return {
+        **TQ.queries(),
         "extract_sql": _extract,
         "strip_code_fences": _fences,
         "validate_sql": _validate,
@@ -140,9 +143,12 @@ def oracle_sql() -> dict[str, str]:
     r_user = B.sql_rollouts_from_events(by_day=False)
     r_day = B.sql_rollouts_from_events(by_day=True)
     ev = B.sql_eval_results_from_events()
+    from rewardloom.plans import token_queries as TQ
+
     gens = B.sql_generations()
     ex = S.extract_sql_staged(gens)
     return {
+        **TQ.oracle_sql(),
         "extract_sql": f"SELECT source, gen_id, sql FROM {ex}",
         "strip_code_fences": f"SELECT source, gen_id, {S.strip_code_fences('text')} AS stripped FROM {gens}",
         "validate_sql": f"""SELECT source, gen_id,
