@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -139,22 +139,31 @@ def words(c) -> Column:
 _ALLOWED_START_RE = r"^(?iu:select|with)(?!" + WORD_CLASS + ")"
 
 
-def validation_reason(sql) -> Column:
-    """The first failing rule's message, or null when the SQL is valid."""
-    raw = _c(sql)
-    s = strip_ws(raw)
-    lowered = F.lower(s)
-    w = words(lowered)
+def _reason_from(raw: Column, s: Column, lowered: Column) -> Column:
+    """The X6 chain from the raw text, its stripped form and the lowered
+    stripped form. The comment tokens are tested on the stripped text
+    (lower-casing never creates them); one word split decides whether any
+    keyword is present, and only then is the first keyword in list order
+    looked up."""
     reason = F.when(raw.isNull(), F.lit(REASON_NONE)).when(s == "", F.lit(REASON_EMPTY))
     for tok in FORBIDDEN_TOKENS:
-        reason = reason.when(lowered.contains(tok), F.lit(REASON_TOKEN + tok))
+        reason = reason.when(s.contains(tok), F.lit(REASON_TOKEN + tok))
     reason = reason.when(~s.rlike(_ALLOWED_START_RE), F.lit(REASON_PREFIX))
+    kw_array = F.array(*[F.lit(k) for k in FORBIDDEN_KEYWORDS])
+    first_kw = None
     for kw in FORBIDDEN_KEYWORDS:
-        reason = reason.when(F.array_contains(w, kw), F.lit(REASON_KEYWORD + kw))
-    reason = reason.when(
-        F.regexp_replace(s, r";+\z", "").contains(";"), F.lit(REASON_MULTI)
-    )
-    return reason
+        hit = F.array_contains(words(lowered), kw)
+        msg = F.lit(REASON_KEYWORD + kw)
+        first_kw = F.when(hit, msg) if first_kw is None else first_kw.when(hit, msg)
+    reason = reason.when(F.arrays_overlap(words(lowered), kw_array), first_kw)
+    return reason.when(F.regexp_replace(s, r";+\z", "").contains(";"), F.lit(REASON_MULTI))
+
+
+def validation_reason(sql) -> Column:
+    """The first failing rule's message, or null when the SQL is valid."""
+    raw = _c(sql)
+    s = strip_ws(raw)
+    return _reason_from(raw, s, F.lower(s))
 
 
 def validate_sql(sql) -> Column:
@@ -163,6 +172,17 @@ def validate_sql(sql) -> Column:
     return F.struct(reason.isNull().alias("is_valid"), reason.alias("reason"))
 
 
+def add_validation(df: DataFrame, col: str, reason_out: str, valid_out: str | None = None) -> DataFrame:
+    """X6 as DataFrame staging for long texts: the stripped and lowered text
+    are computed once, in their own projection, and shared by every rule."""
+    s_col, l_col = f"_{reason_out}_s", f"_{reason_out}_l"
+    out = df.withColumn(s_col, strip_ws(col)).withColumn(l_col, F.lower(F.col(s_col)))
+    out = out.withColumn(reason_out, _reason_from(F.col(col), F.col(s_col), F.col(l_col)))
+    if valid_out:
+        out = out.withColumn(valid_out, F.col(reason_out).isNull())
+    return out.drop(s_col, l_col)
+
+
 # --- X7: difficulty ---------------------------------------------------------
 
 def _occurrences(haystack: Column, needle: str) -> Column:
@@ -173,10 +193,17 @@ def _occurrences(haystack: Column, needle: str) -> Column:
     )
 
 
-def difficulty(sql) -> Column:
-    """Easy / medium / hard / extra from substring and word tests."""
-    low = F.lower(_c(sql))
-    joins = F.size(F.filter(words(low), lambda x: x == "join"))
+# "join" as a whole word, literal first so the regex engine can scan for the
+# literal before testing the boundaries on either side.
+_JOIN_WORD_RE = "join(?<!" + WORD_CLASS + "join)(?!" + WORD_CLASS + ")"
+
+
+def join_count(low) -> Column:
+    """Occurrences of ``\\bjoin\\b`` in (lower-cased) text."""
+    return F.regexp_count(_c(low), F.lit(_JOIN_WORD_RE))
+
+
+def _difficulty_from(low: Column, joins: Column) -> Column:
     from_pos = F.locate("from", low)
     has_subquery = (from_pos > 0) & F.substr(low, from_pos + F.lit(4)).contains("select")
     has_set_op = low.contains("intersect") | low.contains("union") | low.contains("except")
@@ -189,11 +216,28 @@ def difficulty(sql) -> Column:
     )
 
 
+def difficulty(sql) -> Column:
+    """Easy / medium / hard / extra from substring and word tests."""
+    low = F.lower(_c(sql))
+    return _difficulty_from(low, join_count(low))
+
+
+def add_difficulty(df: DataFrame, col: str, out: str) -> DataFrame:
+    """X7 as DataFrame staging: the lowered text and its join count are
+    computed once, in their own projection."""
+    low, joins = f"_{out}_low", f"_{out}_joins"
+    staged = df.withColumn(low, F.lower(F.col(col))).withColumn(joins, join_count(F.col(low)))
+    return staged.withColumn(out, _difficulty_from(F.col(low), F.col(joins))).drop(low, joins)
+
+
 # --- X8, X9: token count and SELECT-star ------------------------------------
 
 def sql_token_count(sql) -> Column:
-    """Number of runs of non-whitespace (Python ``\\S+``)."""
-    return F.coalesce(F.regexp_count(_c(sql), F.lit(_NON_WS_RUN)), F.lit(0)).cast("long")
+    """Number of runs of non-whitespace (Python ``\\S+``). Every
+    whitespace character is first mapped to a blank (``translate`` is a
+    per-character table lookup), so the regex only has to test one character."""
+    blanked = F.translate(_c(sql), WS, " " * len(WS))
+    return F.coalesce(F.regexp_count(blanked, F.lit("[^ ]+")), F.lit(0)).cast("long")
 
 
 _STAR_INTENDED_RE = "(?<!" + WORD_CLASS + ")(?iu:select)" + _WS_CLASS + r"+\*"

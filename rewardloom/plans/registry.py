@@ -83,18 +83,15 @@ def _fences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _gens(spark, sf_dir).withColumn("sql", T.extract_sql("text"))
-    return g.select(
-        "source", "gen_id",
-        T.validate_sql("text").is_valid.alias("text_valid"), T.validate_sql("text").reason.alias("text_reason"),
-        T.validate_sql("sql").is_valid.alias("sql_valid"), T.validate_sql("sql").reason.alias("sql_reason"),
-    )
+    g = T.add_validation(g, "text", "text_reason", "text_valid")
+    g = T.add_validation(g, "sql", "sql_reason", "sql_valid")
+    return g.select("source", "gen_id", "text_valid", "text_reason", "sql_valid", "sql_reason")
 
 
 def _difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _gens(spark, sf_dir).withColumn("sql", T.extract_sql("text"))
-    return g.select(
-        "source", "gen_id", T.difficulty("text").alias("text_difficulty"), T.difficulty("sql").alias("sql_difficulty")
-    )
+    g = T.add_difficulty(T.add_difficulty(g, "text", "text_difficulty"), "sql", "sql_difficulty")
+    return g.select("source", "gen_id", "text_difficulty", "sql_difficulty")
 
 
 def _tokens_star(spark: SparkSession, sf_dir: str) -> DataFrame:
