@@ -133,13 +133,20 @@ def build_preferences(rollouts: DataFrame, cfg: PreferenceConfig = PreferenceCon
         F.col("candidate_id"), F.col("ord"), F.col("matched"),
         F.col("candidate_sql"), F.col("error_type"),
     )
-    groups = rows.groupBy(*KEY).agg(
+    k = int(cfg.max_pairs_per_example)
+    aggs = [
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("_elig")).alias("n_eligible"),
         F.coalesce(F.bool_or(F.col("_elig") & F.col("matched")), F.lit(False)).alias("any_eligible_matched"),
         F.max(F.when(F.col("_elig"), rank_struct)).alias("chosen"),
         F.min("ord").alias("group_ord"),
-    ).withColumn("_key_ok", _key_ok())
+    ]
+    if k == 1:
+        # The walk starts at the worst eligible row: the minimum of the same
+        # rank struct. It can only be the chosen row when fewer than two rows
+        # are eligible, and then the group yields no pair anyway.
+        aggs.append(F.min(F.when(F.col("_elig"), rank_struct)).alias("worst"))
+    groups = rows.groupBy(*KEY).agg(*aggs).withColumn("_key_ok", _key_ok())
 
     # K1: the first max_examples groups by id text (stable on first appearance).
     if cfg.max_examples is not None:
@@ -152,30 +159,38 @@ def build_preferences(rollouts: DataFrame, cfg: PreferenceConfig = PreferenceCon
     pairable = groups.filter(
         F.col("_seen") & (F.col("n_rows") >= 2) & (F.col("n_eligible") >= 2)
         & (F.lit(not cfg.require_chosen_matched) | F.col("chosen.matched"))
-    ).select(*KEY, "chosen", "group_ord")
-
-    # (2) The k+1 worst eligible rows per group, in walk order.
-    k = int(cfg.max_pairs_per_example)
-    walk = Window.partitionBy(*KEY).orderBy(
-        F.col("reward").asc(), F.col("exec_ok").asc(), F.col("valid").asc(),
-        F.col("candidate_id").desc(), F.col("ord").desc(),
-    )
-    worst = (
-        rows.filter(F.col("_elig") & _key_ok())
-        .withColumn("pair_idx", F.row_number().over(walk))
-        .filter(F.col("pair_idx") <= k + 1)
     )
 
     m = float(cfg.min_reward_gap)
-    cand = (
-        worst.join(pairable, KEY)
-        # The chosen row is the last of the walk: dropping it leaves rows 1..k.
-        .filter(~((F.col("ord") == F.col("chosen.ord")) & (F.col("candidate_id") == F.col("chosen.candidate_id"))))
-        .filter(F.col("pair_idx") <= k)
-        .withColumn("reward_gap", F.col("chosen.reward") - F.col("reward"))
-    )
+    if k == 1:
+        # Single pass: the one candidate is the worst row from the aggregate.
+        cand = pairable.select(
+            *KEY, "chosen", "group_ord",
+            F.lit(1).alias("pair_idx"),
+            *[F.col(f"worst.{c}").alias(c) for c in ("reward", "candidate_id", "ord", "candidate_sql", "error_type")],
+        ).withColumn("reward_gap", F.col("chosen.reward") - F.col("reward"))
+    else:
+        # (2) The k+1 worst eligible rows per group, in walk order.
+        walk = Window.partitionBy(*KEY).orderBy(
+            F.col("reward").asc(), F.col("exec_ok").asc(), F.col("valid").asc(),
+            F.col("candidate_id").desc(), F.col("ord").desc(),
+        )
+        worst = (
+            rows.filter(F.col("_elig") & _key_ok())
+            .withColumn("pair_idx", F.row_number().over(walk))
+            .filter(F.col("pair_idx") <= k + 1)
+        )
+        cand = (
+            worst.join(pairable.select(*KEY, "chosen", "group_ord"), KEY)
+            # The chosen row is the last of the walk: dropping it leaves rows 1..k.
+            .filter(~((F.col("ord") == F.col("chosen.ord")) & (F.col("candidate_id") == F.col("chosen.candidate_id"))))
+            .filter(F.col("pair_idx") <= k)
+            .withColumn("reward_gap", F.col("chosen.reward") - F.col("reward"))
+        )
     gap = F.col("reward_gap")
-    if cfg.allow_ties:
+    if cfg.allow_ties and k == 1:
+        emitted = (gap >= F.lit(m)) | (gap == 0)
+    elif cfg.allow_ties:
         # A zero gap is emitted unless some row before it stopped the walk;
         # such a row has 0 < gap < min and lies in the same prefix.
         blocking = (gap > 0) & (gap < F.lit(m))

@@ -174,8 +174,14 @@ def test_plan_matches_loop(spark, ci):
     assert _stats(res) == want_stats
 
 
-def test_hot_group_plan_limits_before_shuffle(spark):
-    """The walk window is limited per map task before its exchange."""
-    res = build_preferences(sample_rollouts(spark), PreferenceConfig())
-    text = res.pairs._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in text
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_never_move_a_whole_group(spark):
+    """k = 1: one map-side-combined aggregate, one exchange, no window.
+    k > 1: the walk window is limited per map task before its exchange."""
+    one = _plan(build_preferences(sample_rollouts(spark), PreferenceConfig()).pairs)
+    assert one.count("Exchange") == 1 and "Window" not in one
+    many = _plan(build_preferences(sample_rollouts(spark), PreferenceConfig(max_pairs_per_example=3)).pairs)
+    assert "WindowGroupLimit" in many and "Partial" in many
