@@ -137,3 +137,26 @@ def running_accuracy(results: DataFrame, order_col: str = "example_idx") -> Data
 def throughput(n_examples: Column, elapsed_s: Column) -> Column:
     """W4 + M6: examples per second rounded to 2 places (0.0 on no time)."""
     return F.round(F.coalesce(F.try_divide(n_examples.cast("double"), elapsed_s.cast("double")), F.lit(0.0)), 2)
+
+
+def eval_rows(scored: DataFrame, label: str | Column) -> DataFrame:
+    """D11 rows from scored candidates (one prediction per example), with the
+    M4 fallback: a row whose runs name a missing database could not be
+    scored and becomes ``eval_error`` with reward 0.0."""
+    lab = F.lit(label) if isinstance(label, str) else label
+    missing = F.coalesce(F.col("error_message").startswith("Database not found"), F.lit(False))
+    out = scored.select(
+        lab.alias("label"),
+        "*",
+    ).withColumn("_m4", missing)
+    out = (
+        out.withColumn("matched", F.when(F.col("_m4"), F.lit(False)).otherwise(F.col("matched")))
+        .withColumn("reward", F.when(F.col("_m4"), F.lit(0.0)).otherwise(F.col("reward")))
+        .withColumn("reason", F.when(F.col("_m4"), F.lit("eval_error")).otherwise(F.col("reason")))
+        .withColumn("error_type", F.when(F.col("_m4"), F.lit("unknown_error")).otherwise(F.col("error_type")))
+        .withColumn("gold_failed", ~F.col("_m4") & (F.col("reason") == "gold_failed"))
+        .drop("_m4")
+    )
+    if "difficulty" not in out.columns and "gold_sql" in out.columns:
+        out = out.withColumn("difficulty", difficulty("gold_sql"))
+    return out

@@ -524,3 +524,18 @@ def sql_examples() -> str:
         FROM conversations u JOIN conversations a
           ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
         WHERE u.role = 'user')"""
+
+
+def examples_from_lineitem(lineitem: DataFrame) -> DataFrame:
+    """E2 examples: one per supplier, in supplier order; the gold query is the
+    supplier's gold result (see ``scoring_inputs_from_lineitem``)."""
+    sup = lineitem.select("l_suppkey").distinct()
+    s = F.col("l_suppkey")
+    return sup.select(
+        s.alias("_order"),
+        F.concat(F.lit("Which lines does supplier "), s.cast("string"), F.lit(" have?")).alias("question"),
+        F.concat(F.lit(CAND_SQL_HEAD), s.cast("string")).alias("gold_sql"),
+        F.concat(F.lit("db"), (s % 10).cast("string")).alias("db_id"),
+        F.concat(F.lit("g-s"), s.cast("string")).alias("gold_key"),
+        F.concat(F.lit("s"), s.cast("string")).alias("pair_id"),
+    )

@@ -110,11 +110,13 @@ def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     from rewardloom.plans import guard_queries as GQ
+    from rewardloom.plans import rollout_queries as RQ
     from rewardloom.plans import token_queries as TQ
 
     return {
         **TQ.queries(),
         **GQ.queries(),
+        **RQ.queries(),
         "extract_sql": _extract,
         "strip_code_fences": _fences,
         "validate_sql": _validate,
@@ -147,10 +149,12 @@ def oracle_sql() -> dict[str, str]:
     gens = B.sql_generations()
     ex = S.extract_sql_staged(gens)
     from rewardloom.plans import guard_queries as GQ
+    from rewardloom.plans import rollout_queries as RQ
 
     return {
         **TQ.oracle_sql(),
         **GQ.oracle_sql(),
+        **RQ.oracle_sql(),
         "extract_sql": f"SELECT source, gen_id, sql FROM {ex}",
         "strip_code_fences": f"SELECT source, gen_id, {S.strip_code_fences('text')} AS stripped FROM {gens}",
         "validate_sql": f"""SELECT source, gen_id,

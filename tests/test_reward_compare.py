@@ -118,3 +118,29 @@ def test_gold_gate_assembly_and_stats(spark):
     assert abs(s.match_rate - 1 / 3) < 1e-12 and s.example_match_rate == 0.5
     empty = rollout_stats(roll.filter(F.lit(False))).first()
     assert empty.match_rate == 0.0 and empty.candidates_kept == 0
+
+
+def test_eval_rows_missing_database_is_eval_error(spark):
+    """M4: scoring that could not run becomes eval_error with reward 0.0."""
+    from rewardloom.operators.evaluate import eval_rows
+
+    scored = spark.createDataFrame(
+        [("p1", "SELECT a FROM t", True, "match", 1.0, "ok", ""),
+         ("p2", "SELECT a FROM t JOIN u ON 1=1", False, "gold_failed", -0.6, "unknown_error", "Database not found: x")],
+        "pair_id string, gold_sql string, matched boolean, reason string, reward double, error_type string, error_message string",
+    )
+    got = {r.pair_id: r for r in eval_rows(scored, "sft").collect()}
+    assert got["p1"].reason == "match" and got["p1"].difficulty == "easy" and got["p1"].label == "sft"
+    p2 = got["p2"]
+    assert (p2.reason, p2.reward, p2.matched, p2.gold_failed, p2.error_type) == ("eval_error", 0.0, False, False, "unknown_error")
+
+
+def test_rename_and_example_ids(spark):
+    """P1 and P4."""
+    from rewardloom.operators.rollouts import example_id
+    from rewardloom.operators.schema_text import rename_raw_examples
+
+    raw = spark.createDataFrame([("q?", "SELECT 1", "db", 7)], "question string, query string, db_id string, ord long")
+    ex = rename_raw_examples(raw)
+    assert ex.columns[:3] == ["question", "sql", "db_id"]
+    assert ex.select(example_id("train", "ord")).first()[0] == "train-000007"
