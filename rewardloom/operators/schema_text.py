@@ -78,16 +78,24 @@ def rename_raw_examples(raw: DataFrame) -> DataFrame:
 
 
 def attach_schemas(examples: DataFrame, schemas: DataFrame, on_missing: str = "raise") -> DataFrame:
-    """Examples + ``schema`` by db_id. ``on_missing='raise'`` aborts
-    listing (a bounded sample of) unknown databases; ``'null'`` keeps them
-    with a null schema. The join is left to Spark/AQE (broadcast when the
-    schema table is small at run time, sort-merge otherwise)."""
+    """Examples + ``schema`` by db_id. ``on_missing='raise'`` fails the
+    job on the first example whose database has no schema, naming it (the
+    check runs inside the same job, no extra pass); ``'null'`` keeps such
+    examples with a null schema. The join itself is left to Spark/AQE
+    (broadcast when the schema table is small at run time, sort-merge
+    otherwise)."""
+    joined = examples.join(
+        schemas.select("db_id", "schema", F.lit(True).alias("_known")), "db_id", "left"
+    )
     if on_missing == "raise":
-        missing = examples.select("db_id").distinct().join(schemas.select("db_id"), "db_id", "left_anti")
-        sample = [r.db_id for r in missing.limit(20).collect()]
-        if sample:
-            raise FileNotFoundError(f"Database(s) not found: {sample}")
-    return examples.join(schemas.select("db_id", "schema"), "db_id", "left")
+        joined = joined.withColumn(
+            "schema",
+            F.when(
+                F.col("_known").isNull(),
+                F.raise_error(F.concat(F.lit("Database not found: "), F.coalesce(F.col("db_id"), F.lit("NULL")))),
+            ).otherwise(F.col("schema")),
+        )
+    return joined.drop("_known")
 
 
 def require_fields(df: DataFrame, fields: list[str], trim: bool = False) -> tuple[DataFrame, DataFrame]:

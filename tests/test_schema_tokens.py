@@ -58,8 +58,8 @@ def test_schema_text_rules(spark):
 def test_attach_schemas_missing_raises(spark):
     cols, fks = _catalog(spark)
     ex = spark.createDataFrame([("q", "SELECT 1", "test_db"), ("q", "SELECT 1", "missing_db")], "question string, sql string, db_id string")
-    with pytest.raises(FileNotFoundError, match="missing_db"):
-        attach_schemas(ex, schema_text(cols, fks))
+    with pytest.raises(Exception, match="Database not found: missing_db"):
+        attach_schemas(ex, schema_text(cols, fks)).collect()
     kept = attach_schemas(ex, schema_text(cols, fks), on_missing="null").orderBy("db_id").collect()
     assert kept[0].schema is None and kept[1].schema == F1_SCHEMA
 
