@@ -58,30 +58,34 @@ def result_rows(df: DataFrame, query_key, columns: Sequence[str] | None = None,
     return df.select(key.alias("query_key"), normalize_rows(df, columns, float_digits).alias("cells"))
 
 
-def compare_bags(pairs: DataFrame, gold_rows: DataFrame, cand_rows: DataFrame) -> DataFrame:
-    """``pairs(pair_id, gold_key, cand_key)`` -> ``(pair_id, matched)``.
-
-    ``gold_rows``/``cand_rows`` are ``(query_key, cells)`` tables. Rows are
-    joined to the pairs that use them (each distinct pair once), signed, and
-    summed per (pair_id, cells).
-    """
-    p = pairs.select("pair_id", "gold_key", "cand_key").dropDuplicates(["pair_id"])
-    g = gold_rows.select(F.col("query_key").alias("gold_key"), "cells").join(p, "gold_key").select(
-        "pair_id", "cells", F.lit(1).alias("sign")
-    )
-    c = cand_rows.select(F.col("query_key").alias("cand_key"), "cells").join(p, "cand_key").select(
-        "pair_id", "cells", F.lit(-1).alias("sign")
+def bag_differences(pairs: DataFrame, gold_rows: DataFrame, cand_rows: DataFrame) -> DataFrame:
+    """The ``pair_id`` of every pair whose two result sets differ.
+
+    ``pairs(pair_id, gold_key, cand_key)`` must have unique ``pair_id``.
+    ``gold_rows``/``cand_rows`` are ``(query_key, cells)`` tables. Each row
+    is joined to the pairs that use it, signed (+1 gold, -1 candidate) and
+    summed per (pair_id, cells); a pair differs when any sum is not zero.
+    Pairs missing from the result are equal (two empty results included)."""
+    p = pairs.select("pair_id", "gold_key", "cand_key")
+    g = gold_rows.select(F.col("query_key").alias("gold_key"), "cells").join(p.select("pair_id", "gold_key"), "gold_key")
+    c = cand_rows.select(F.col("query_key").alias("cand_key"), "cells").join(p.select("pair_id", "cand_key"), "cand_key")
+    signed = g.select("pair_id", "cells", F.lit(1).alias("sign")).unionByName(
+        c.select("pair_id", "cells", F.lit(-1).alias("sign"))
     )
-    unequal = (
-        g.unionByName(c)
-        .groupBy("pair_id", "cells")
+    return (
+        signed.groupBy("pair_id", "cells")
         .agg(F.sum("sign").alias("net"))
         .filter(F.col("net") != 0)
         .select("pair_id")
         .distinct()
-        .withColumn("_differs", F.lit(True))
     )
-    return p.join(unequal, "pair_id", "left").select(
+
+
+def compare_bags(pairs: DataFrame, gold_rows: DataFrame, cand_rows: DataFrame) -> DataFrame:
+    """``pairs(pair_id, gold_key, cand_key)`` (unique pair_id) ->
+    ``(pair_id, matched)``."""
+    unequal = bag_differences(pairs, gold_rows, cand_rows).withColumn("_differs", F.lit(True))
+    return pairs.select("pair_id").join(unequal, "pair_id", "left").select(
         "pair_id", F.col("_differs").isNull().alias("matched")
     )
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rewardloom.operators.compare import compare_bags
+from rewardloom.operators.compare import bag_differences
 from rewardloom.operators.reward import RewardConfig, error_reason, reward
 
 ROLLOUT_COLUMNS = (
@@ -56,6 +56,7 @@ def score_candidates(
     strict_gold: bool = False,
 ) -> DataFrame:
     """``candidates(pair_id, gold_key, cand_key, candidate_sql, ...)``
+    (unique pair_id)
     -> + exec_ok, error_type, error_message, exec_time_ms, truncated,
     matched, reason, reward.
 
@@ -91,9 +92,9 @@ def score_candidates(
         if bad:
             raise ValueError(f"Gold SQL failed for {len(bad)}+ candidates, e.g. {[tuple(r) for r in bad]}")
     both = j.filter(F.col("gold_ok") & F.col("exec_ok")).select("pair_id", "gold_key", "cand_key")
-    matches = compare_bags(both, result_rows, result_rows).withColumnRenamed("matched", "_bag_equal")
-    out = j.join(matches, "pair_id", "left")
-    matched = F.col("gold_ok") & F.col("exec_ok") & F.coalesce(F.col("_bag_equal"), F.lit(False))
+    differs = bag_differences(both, result_rows, result_rows).withColumn("_differs", F.lit(True))
+    out = j.join(differs, "pair_id", "left")
+    matched = F.col("gold_ok") & F.col("exec_ok") & F.col("_differs").isNull()
     reason = (
         F.when(~F.col("gold_ok"), F.lit("gold_failed"))
         .when(matched, F.lit("match"))
@@ -104,7 +105,7 @@ def score_candidates(
         out.withColumn("matched", matched)
         .withColumn("reason", reason)
         .withColumn("reward", reward("reason", "candidate_sql", "exec_ok", "exec_time_ms", cfg))
-        .drop("_bag_equal", "gold_error_type")
+        .drop("_differs", "gold_error_type")
     )
 
 
