@@ -160,3 +160,29 @@ def eval_rows(scored: DataFrame, label: str | Column) -> DataFrame:
     if "difficulty" not in out.columns and "gold_sql" in out.columns:
         out = out.withColumn("difficulty", difficulty("gold_sql"))
     return out
+
+
+def metrics_summary(results: DataFrame) -> DataFrame:
+    """D12 for the one-document JSON sink (S4): one row per label with the
+    overall figures, ``by_difficulty`` map<difficulty, struct<total, matched,
+    accuracy>> and ``by_reason`` map<reason, count>. Each map holds at most
+    4 / 9 entries, whatever the data size."""
+    by_diff = metrics_by_difficulty(results).groupBy("label").agg(
+        F.map_from_entries(
+            F.collect_list(F.struct("difficulty", F.struct("total", "matched", "accuracy")))
+        ).alias("by_difficulty")
+    )
+    by_reason = metrics_by_reason(results).groupBy("label").agg(
+        F.map_from_entries(F.collect_list(F.struct("reason", "count"))).alias("by_reason")
+    )
+    return metrics(results).join(by_diff, "label").join(by_reason, "label")
+
+
+def comparison_summary(results: DataFrame, base_label: str) -> DataFrame:
+    """Per non-base label, overall deltas and ``delta_by_difficulty``."""
+    d = compare_with_base(results, base_label)
+    overall = d.filter(F.col("scope") == OVERALL).select("label", "delta_accuracy", "delta_accuracy_valid")
+    per_diff = d.filter(F.col("scope") != OVERALL).groupBy("label").agg(
+        F.map_from_entries(F.collect_list(F.struct("scope", "delta_accuracy"))).alias("delta_by_difficulty")
+    )
+    return overall.join(per_diff, "label")

@@ -61,7 +61,7 @@ def score_candidates(
     matched, reason, reward.
 
     A candidate whose gold run failed is ``gold_failed`` with the flat
-    unknown_error reward (M3); with ``strict_gold`` such a row raises instead.
+    unknown_error reward (M3); with ``strict_gold`` such a row fails the job.
     A missing run row counts as an unknown_error run (M4's missing database).
     """
     gr = runs.select(
@@ -88,9 +88,14 @@ def score_candidates(
         .withColumn("truncated", F.coalesce("truncated", F.lit(False)))
     )
     if strict_gold:
-        bad = j.filter(~F.col("gold_ok")).select("pair_id", "gold_key").limit(5).collect()
-        if bad:
-            raise ValueError(f"Gold SQL failed for {len(bad)}+ candidates, e.g. {[tuple(r) for r in bad]}")
+        # Fails the job (inside the same pass) on the first failed gold run.
+        j = j.withColumn(
+            "gold_ok",
+            F.when(
+                ~F.col("gold_ok"),
+                F.raise_error(F.concat(F.lit("Gold SQL failed for "), F.col("pair_id"), F.lit(": "), F.col("gold_key"))),
+            ).otherwise(F.col("gold_ok")),
+        )
     both = j.filter(F.col("gold_ok") & F.col("exec_ok")).select("pair_id", "gold_key", "cand_key")
     differs = bag_differences(both, result_rows, result_rows).withColumn("_differs", F.lit(True))
     out = j.join(differs, "pair_id", "left")

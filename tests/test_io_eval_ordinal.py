@@ -109,3 +109,16 @@ def _g_of(k):
     # inverse of k = id * 7919 % 5000 for g = id % 3
     inv = pow(7919, -1, 5000)
     return (k * inv % 5000) % 3
+
+
+def test_nested_summaries(spark):
+    r = _results(spark)
+    s = {x.label: x for x in EV.metrics_summary(r).collect()}
+    assert s["base"].by_difficulty["extra"].total == 0 and s["base"].by_reason["gold_failed"] == 1
+    c = EV.comparison_summary(r, "base").collect()
+    assert len(c) == 1 and c[0].label == "sft" and c[0].delta_by_difficulty["hard"] == 1.0
+    d = _tmp()
+    IO.write_json_document(spark, EV.metrics_summary(r).filter("label = 'sft'"), os.path.join(d, "summary"))
+    part = [f for f in os.listdir(os.path.join(d, "summary")) if f.endswith(".json")][0]
+    doc = json.loads(open(os.path.join(d, "summary", part), encoding="utf-8").read())
+    assert doc["by_difficulty"]["easy"]["accuracy"] == 1.0

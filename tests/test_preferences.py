@@ -185,3 +185,29 @@ def test_plans_never_move_a_whole_group(spark):
     assert one.count("Exchange") == 1 and "Window" not in one
     many = _plan(build_preferences(sample_rollouts(spark), PreferenceConfig(max_pairs_per_example=3)).pairs)
     assert "WindowGroupLimit" in many and "Partial" in many
+
+
+@pytest.mark.parametrize("cfg", [PreferenceConfig(require_chosen_matched=False),
+                                 PreferenceConfig(allow_ties=True, max_pairs_per_example=3, min_reward_gap=0.2)])
+def test_hot_group_holding_a_third_of_rows(spark, cfg):
+    """One example group holds a third of all rollouts; results equal the loop."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(30000):
+        hot = i % 3 == 0
+        rows.append({
+            "id": "hot" if hot else f"ex-{i % 4000:05d}", "db_id": "db", "prompt": "p",
+            "candidate_id": i, "reward": rng.choice([1.0, 0.9, 0.1, -0.2, -0.4, -1.0]),
+            "valid": rng.random() < 0.9, "exec_ok": rng.random() < 0.7, "matched": rng.random() < 0.3, "ord": i,
+        })
+    df = spark.createDataFrame(
+        [(r["id"], r["db_id"], r["prompt"], r["candidate_id"], f"SELECT {r['candidate_id']}", r["reward"], r["valid"],
+          r["exec_ok"], r["matched"], "ok", r["ord"]) for r in rows],
+        ROLLOUT_DDL,
+    ).repartition(8)
+    want_pairs, want_stats = loop_preferences(rows, cfg)
+    res = build_preferences(df, cfg)
+    got = sorted(
+        (r.id, r.chosen_candidate_id, r.rejected_candidate_id, r.reward_gap) for r in flatten_pairs(res.pairs).collect()
+    )
+    assert got == want_pairs and _stats(res) == want_stats
