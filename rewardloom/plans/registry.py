@@ -109,11 +109,13 @@ def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from rewardloom.plans import file_queries as FQ
     from rewardloom.plans import guard_queries as GQ
     from rewardloom.plans import rollout_queries as RQ
     from rewardloom.plans import token_queries as TQ
 
     return {
+        **FQ.queries(),
         **TQ.queries(),
         **GQ.queries(),
         **RQ.queries(),
@@ -148,10 +150,12 @@ def oracle_sql() -> dict[str, str]:
 
     gens = B.sql_generations()
     ex = S.extract_sql_staged(gens)
+    from rewardloom.plans import file_queries as FQ
     from rewardloom.plans import guard_queries as GQ
     from rewardloom.plans import rollout_queries as RQ
 
     return {
+        **FQ.oracle_sql(),
         **TQ.oracle_sql(),
         **GQ.oracle_sql(),
         **RQ.oracle_sql(),
