@@ -31,10 +31,13 @@ def _cols(cols: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
+def _by_range(df: DataFrame, order: list[Column], num_partitions: int | None) -> DataFrame:
+    """Range exchange on the order keys. Without an explicit count AQE may
+    coalesce adjacent ranges (order is kept); partition ids are read at run
+    time and frozen by the checkpoint, so either way they are consistent."""
     if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartitionByRange(int(num_partitions), *order)
+    return df.repartitionByRange(*order)
 
 
 def with_global_rank(
@@ -49,20 +52,19 @@ def with_global_rank(
     recomputed partition yields the same positions after an executor loss.
     """
     order = _cols(order_cols)
-    n = _partitions(df, num_partitions)
     checkpoint_dir(df.sparkSession)
     # Materialized once (reliable checkpoint in the shared folder): the counts
     # and the positions must come from the very same range partitioning, and a
     # recomputed range exchange may sample different bounds.
     s = (
-        df.repartitionByRange(n, *order)
+        _by_range(df, order, num_partitions)
         .sortWithinPartitions(*order)
         .withColumn(_PID, F.spark_partition_id())
         .withColumn(_MID, F.monotonically_increasing_id())
         .checkpoint(eager=True)
     )
     counts = s.groupBy(_PID).agg(F.count(F.lit(1)).alias(_CNT))
-    # At most n rows: one per partition.
+    # One row per partition.
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(_PID, F.coalesce(F.sum(_CNT).over(before), F.lit(0)).alias(_OFF))
     position = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
@@ -87,14 +89,13 @@ def running_totals(
     partition is split across several partitions by the range exchange.
     """
     order = [F.col(c) for c in group_cols] + _cols(order_cols)
-    n = _partitions(df, num_partitions)
     vals = list(value_cols)
     base = df
     for name, expr in value_cols.items():
         base = base.withColumn(name, expr.cast("double"))
     checkpoint_dir(df.sparkSession)
     s = (
-        base.repartitionByRange(n, *order)
+        _by_range(base, order, num_partitions)
         .sortWithinPartitions(*order)
         .withColumn(_PID, F.spark_partition_id())
         .checkpoint(eager=True)
@@ -104,7 +105,8 @@ def running_totals(
         F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(v) for v in vals]
     )
     # Offsets: everything the same group holds in earlier partitions. A group
-    # spans at most n partitions, so each window partition here is small.
+    # spans at most as many partitions as there are, so each window partition
+    # here is small.
     earlier = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sub.select(
         _PID,

@@ -122,3 +122,9 @@ def test_nested_summaries(spark):
     part = [f for f in os.listdir(os.path.join(d, "summary")) if f.endswith(".json")][0]
     doc = json.loads(open(os.path.join(d, "summary", part), encoding="utf-8").read())
     assert doc["by_difficulty"]["easy"]["accuracy"] == 1.0
+
+
+def test_global_rank_with_coalesced_ranges(spark):
+    """Default partitioning: AQE may merge adjacent ranges; ranks stay exact."""
+    df = spark.range(0, 3000).select((F.col("id") * 7 % 3000).alias("k"))
+    assert all(r.r == r.k + 1 for r in with_global_rank(df, ["k"], name="r").collect())
