@@ -145,10 +145,7 @@ def eval_rows(scored: DataFrame, label: str | Column) -> DataFrame:
     scored and becomes ``eval_error`` with reward 0.0."""
     lab = F.lit(label) if isinstance(label, str) else label
     missing = F.coalesce(F.col("error_message").startswith("Database not found"), F.lit(False))
-    out = scored.select(
-        lab.alias("label"),
-        "*",
-    ).withColumn("_m4", missing)
+    out = scored.withColumn("label", lab).withColumn("_m4", missing)
     out = (
         out.withColumn("matched", F.when(F.col("_m4"), F.lit(False)).otherwise(F.col("matched")))
         .withColumn("reward", F.when(F.col("_m4"), F.lit(0.0)).otherwise(F.col("reward")))

@@ -31,6 +31,7 @@ from rewardloom.session import scratch_table_path
 # Spark features that would let a SELECT start a process or
 # call arbitrary JVM methods; rejected in addition to the X6 rules.
 SPARK_FORBIDDEN = ("transform", "reflect", "java_method", "try_reflect")
+MISSING_DB = "Database not found"
 
 RUN_SCHEMA = T.StructType(
     [
@@ -153,7 +154,10 @@ class QueryRunner:
         try:
             views = self.catalog(db_id)
         except FileNotFoundError as exc:
-            return (key, False, "unknown_error", str(exc), 0, False, 0)
+            msg = str(exc)
+            if not msg.startswith(MISSING_DB):
+                msg = f"{MISSING_DB}: {msg or db_id}"
+            return (key, False, "unknown_error", msg, 0, False, 0)
         sc = self.spark.sparkContext
         group = f"rewardloom-{uuid.uuid4().hex}"
         cancelled = threading.Event()
