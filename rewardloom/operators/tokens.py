@@ -27,15 +27,18 @@ from rewardloom.operators.ordinal import with_global_rank
 
 PAD_ID = 0
 IGNORE_INDEX = -100
-_TOKEN_RE = "[^" + T.WS + "]+"
+_BLANKS = " " * len(T.WS)
 
 Tokenizer = Callable[[Column], Column]
 
 
 def whitespace_tokens(text) -> Column:
-    """T1 default split: runs of non-whitespace, in order."""
+    """T1 default split: runs of non-whitespace, in order. Whitespace is
+    first mapped to blanks (a per-character table lookup), so the regex tests
+    a single character."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(F.regexp_extract_all(c, F.lit(_TOKEN_RE), 0), F.array().cast("array<string>"))
+    blanked = F.translate(c, T.WS, _BLANKS)
+    return F.coalesce(F.regexp_extract_all(blanked, F.lit("[^ ]+"), 0), F.array().cast("array<string>"))
 
 
 def build_vocabulary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
