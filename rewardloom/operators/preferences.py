@@ -37,6 +37,10 @@ from rewardloom.functions import text as T
 from rewardloom.operators.ordinal import with_global_rank
 
 KEY = ["id", "db_id", "prompt"]
+# From this many pairs per example on, walk positions come from a global
+# ranking (range-partitioned, so a hot group is spread over many tasks)
+# instead of the per-task window limit, whose per-task output grows with k.
+RANKED_WALK_MIN_K = 64
 
 # Skip-reason names and the stats counters' names.
 SKIP_REASONS = ("small_group", "no_valid", "chosen_not_matched", "gap")
@@ -121,6 +125,24 @@ def _key_ok() -> Column:
     )
 
 
+def _walk_positions_ranked(rows: DataFrame, k: int) -> DataFrame:
+    """Eligible rows with ``pair_idx`` = 1-based position in their group's
+    walk, kept up to k + 1, computed without gathering any group."""
+    walk_order = [
+        *[F.col(c) for c in KEY],
+        F.col("reward").asc(), F.col("exec_ok").asc(), F.col("valid").asc(),
+        F.col("candidate_id").desc(), F.col("ord").desc(),
+    ]
+    ranked = with_global_rank(rows.filter(F.col("_elig") & _key_ok()), walk_order, name="_grank")
+    starts = ranked.groupBy(*KEY).agg(F.min("_grank").alias("_start"))
+    return (
+        ranked.join(starts, KEY)
+        .withColumn("pair_idx", F.col("_grank") - F.col("_start") + 1)
+        .filter(F.col("pair_idx") <= k + 1)
+        .drop("_grank", "_start")
+    )
+
+
 def build_preferences(rollouts: DataFrame, cfg: PreferenceConfig = PreferenceConfig(), ord_col: str = "ord") -> PreferenceResult:
     """Rollouts -> preference pairs + per-group outcomes + stats."""
     rows = prepare_rollouts(rollouts, ord_col).withColumn("_elig", _eligible(cfg))
@@ -171,15 +193,18 @@ def build_preferences(rollouts: DataFrame, cfg: PreferenceConfig = PreferenceCon
         ).withColumn("reward_gap", F.col("chosen.reward") - F.col("reward"))
     else:
         # (2) The k+1 worst eligible rows per group, in walk order.
-        walk = Window.partitionBy(*KEY).orderBy(
-            F.col("reward").asc(), F.col("exec_ok").asc(), F.col("valid").asc(),
-            F.col("candidate_id").desc(), F.col("ord").desc(),
-        )
-        worst = (
-            rows.filter(F.col("_elig") & _key_ok())
-            .withColumn("pair_idx", F.row_number().over(walk))
-            .filter(F.col("pair_idx") <= k + 1)
-        )
+        if k >= RANKED_WALK_MIN_K:
+            worst = _walk_positions_ranked(rows, k)
+        else:
+            walk = Window.partitionBy(*KEY).orderBy(
+                F.col("reward").asc(), F.col("exec_ok").asc(), F.col("valid").asc(),
+                F.col("candidate_id").desc(), F.col("ord").desc(),
+            )
+            worst = (
+                rows.filter(F.col("_elig") & _key_ok())
+                .withColumn("pair_idx", F.row_number().over(walk))
+                .filter(F.col("pair_idx") <= k + 1)
+            )
         cand = (
             worst.join(pairable.select(*KEY, "chosen", "group_ord"), KEY)
             # The chosen row is the last of the walk: dropping it leaves rows 1..k.
@@ -194,7 +219,13 @@ def build_preferences(rollouts: DataFrame, cfg: PreferenceConfig = PreferenceCon
         # A zero gap is emitted unless some row before it stopped the walk;
         # such a row has 0 < gap < min and lies in the same prefix.
         blocking = (gap > 0) & (gap < F.lit(m))
-        cand = cand.withColumn("_blocked", F.max(blocking.cast("int")).over(Window.partitionBy(*KEY)) > 0)
+        if k >= RANKED_WALK_MIN_K:
+            # Up to k rows per group here: mark blocked groups by a distinct
+            # set of keys (map-side combined) rather than a group window.
+            blocked_keys = cand.filter(blocking).select(*KEY).distinct().withColumn("_blocked", F.lit(True))
+            cand = cand.join(blocked_keys, KEY, "left").withColumn("_blocked", F.coalesce("_blocked", F.lit(False)))
+        else:
+            cand = cand.withColumn("_blocked", F.max(blocking.cast("int")).over(Window.partitionBy(*KEY)) > 0)
         emitted = (gap >= F.lit(m)) | ((gap == 0) & ~F.col("_blocked"))
     else:
         emitted = (gap >= F.lit(m)) & (gap > 0)

@@ -211,3 +211,25 @@ def test_hot_group_holding_a_third_of_rows(spark, cfg):
         (r.id, r.chosen_candidate_id, r.rejected_candidate_id, r.reward_gap) for r in flatten_pairs(res.pairs).collect()
     )
     assert got == want_pairs and _stats(res) == want_stats
+
+
+@pytest.mark.parametrize("ci", [1, 2, 3, 4])
+def test_ranked_walk_matches_window_walk(spark, ci, monkeypatch):
+    """Large max_pairs uses global ranks; force that path on small k."""
+    import rewardloom.operators.preferences as P
+
+    monkeypatch.setattr(P, "RANKED_WALK_MIN_K", 2)
+    cfg = CONFIGS[ci]
+    rows = random_rollouts(300 + ci)
+    df = spark.createDataFrame(
+        [(r["id"], r["db_id"], r["prompt"], r["candidate_id"], f"SELECT {r['candidate_id']}", r["reward"], r["valid"],
+          r["exec_ok"], r["matched"], "ok", r["ord"]) for r in rows],
+        ROLLOUT_DDL,
+    )
+    want_pairs, want_stats = loop_preferences(rows, cfg)
+    res = build_preferences(df, cfg)
+    got = sorted(
+        (r.id, r.chosen_candidate_id, r.rejected_candidate_id, r.reward_gap) for r in flatten_pairs(res.pairs).collect()
+    )
+    assert got == want_pairs and _stats(res) == want_stats
+    assert "row_number()" not in _plan(res.pairs) or cfg.max_pairs_per_example < 2
