@@ -258,11 +258,16 @@ def child_session(spark: SparkSession, views: Mapping[str, DataFrame]) -> tuple[
     return child, shared
 
 
-def guarded_sql(spark: SparkSession, views: Mapping[str, DataFrame], sql: str) -> DataFrame:
+def guarded_sql(
+    spark: SparkSession, views: Mapping[str, DataFrame] | None, sql: str, child: SparkSession | None = None
+) -> DataFrame:
     """Validates one query (X6 + Spark rules) and returns its DataFrame from a
-    child session (lazy; nothing runs until an action)."""
+    child session (lazy; nothing runs until an action). Pass ``child`` (from
+    ``child_session``) to reuse one child session, and its views, across
+    many queries on the same database."""
     reason = spark.range(1).select(spark_guard_reason(F.lit(sql)).alias("r")).first().r
     if reason is not None:
         raise PermissionError(reason)
-    child, _ = child_session(spark, views)
+    if child is None:
+        child, _ = child_session(spark, views or {})
     return child.sql(sql)

@@ -10,9 +10,8 @@ one status row per query.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from rewardloom.operators.guard import GuardConfig, QueryRunner, guarded_sql, tables_catalog
+from rewardloom.operators.guard import GuardConfig, QueryRunner, child_session, guarded_sql, tables_catalog
 from rewardloom.plans.bindings import TABLES, sql_str
 
 # Query surface the reference names (G1-G7); texts are valid in both engines.
@@ -53,9 +52,20 @@ def _views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet") for n in TABLES}
 
 
+# One child session (and one set of shared views) per session and folder.
+_CHILDREN: dict[tuple[str, int, str], SparkSession] = {}
+
+
+def _child(spark: SparkSession, sf_dir: str) -> SparkSession:
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _CHILDREN:
+        _CHILDREN[key], _ = child_session(spark, _views(spark, sf_dir))
+    return _CHILDREN[key]
+
+
 def _g(sql: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return guarded_sql(spark, _views(spark, sf_dir), sql)
+        return guarded_sql(spark, None, sql, child=_child(spark, sf_dir))
 
     return q
 
