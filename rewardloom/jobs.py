@@ -16,7 +16,14 @@ from rewardloom.operators import evaluate as EV
 from rewardloom.operators.guard import Catalog, GuardConfig, QueryRunner
 from rewardloom.operators.preferences import PreferenceConfig, build_preferences
 from rewardloom.operators.reward import RewardConfig
-from rewardloom.operators.rollouts import assemble_rollouts, example_id, gold_gate, rollout_stats, score_candidates
+from rewardloom.operators.rollouts import (
+    assemble_rollouts,
+    example_id,
+    gold_gate,
+    rollout_stats,
+    score_candidates,
+    score_sql_pairs,
+)
 from rewardloom.operators.schema_text import require_fields
 from rewardloom.sources import io as IO
 
@@ -122,13 +129,8 @@ def evaluate_job(
     preds = predictions.join(ex.select("ord", "question", "db_id", F.col("sql").alias("gold_sql")), "ord").withColumn(
         "candidate_sql", TX.extract_sql("text")
     )
-    queries = preds.select("db_id", F.col("gold_sql").alias("sql")).unionByName(preds.select("db_id", F.col("candidate_sql").alias("sql")))
-    run = QueryRunner(spark, catalog, guard_cfg, out_dir=f"{out_dir}/runs").run(queries)
-    keys = run.queries.select("db_id", F.col("sql").alias("_s"), "query_key").dropDuplicates(["query_key"])
-    p = preds.join(keys, (preds.db_id == keys.db_id) & (preds.gold_sql == keys._s)).select(preds["*"], F.col("query_key").alias("gold_key"))
-    p = p.join(keys, (p.db_id == keys.db_id) & (p.candidate_sql == keys._s)).select(p["*"], F.col("query_key").alias("cand_key"))
-    p = p.withColumn("pair_id", F.concat_ws("#", F.col("label"), F.col("ord").cast("string")))
-    scored = score_candidates(p, run.runs, run.result_rows, reward_cfg, strict_gold=False)
+    pairs = preds.withColumn("pair_id", F.concat_ws("#", F.col("label"), F.col("ord").cast("string")))
+    scored, _ = score_sql_pairs(spark, pairs, catalog, reward_cfg, guard_cfg, strict_gold=False, out_dir=f"{out_dir}/runs")
     rows = EV.eval_rows(scored.withColumnRenamed("candidate_sql", "predicted_sql"), F.col("label")).withColumnRenamed(
         "ord", "example_idx"
     )

@@ -152,3 +152,33 @@ def rollout_stats(rollouts: DataFrame, example_col: str = "id") -> DataFrame:
         .cast("double")
         .alias("example_match_rate"),
     )
+
+
+def score_sql_pairs(
+    spark,
+    pairs: DataFrame,
+    catalog,
+    reward_cfg: RewardConfig = RewardConfig(),
+    guard_cfg=None,
+    strict_gold: bool = False,
+    out_dir: str | None = None,
+):
+    """Q5 end to end: ``pairs(pair_id, db_id, gold_sql, candidate_sql, ...)``
+    -> guarded runs of every distinct gold and candidate query (Q1, A9) ->
+    scored pairs (J2, A1, M1-M3). Returns ``(scored, run_result)``."""
+    from rewardloom.operators.guard import GuardConfig, QueryRunner
+
+    queries = pairs.select("db_id", F.col("gold_sql").alias("sql")).unionByName(
+        pairs.select("db_id", F.col("candidate_sql").alias("sql"))
+    )
+    run = QueryRunner(spark, catalog, guard_cfg or GuardConfig(), out_dir=out_dir).run(queries)
+    keys = run.queries.select(
+        F.col("db_id").alias("_db"), F.col("sql").alias("_sql"), "query_key"
+    ).dropDuplicates(["query_key"])
+
+    def attach(df: DataFrame, sql_col: str, out: str) -> DataFrame:
+        on = F.col("db_id").eqNullSafe(F.col("_db")) & F.col(sql_col).eqNullSafe(F.col("_sql"))
+        return df.join(keys, on, "left").drop("_db", "_sql").withColumnRenamed("query_key", out)
+
+    p = attach(attach(pairs, "gold_sql", "gold_key"), "candidate_sql", "cand_key")
+    return score_candidates(p, run.runs, run.result_rows, reward_cfg, strict_gold), run

@@ -144,3 +144,34 @@ def test_rename_and_example_ids(spark):
     ex = rename_raw_examples(raw)
     assert ex.columns[:3] == ["question", "sql", "db_id"]
     assert ex.select(example_id("train", "ord")).first()[0] == "train-000007"
+
+
+def test_score_sql_pairs_f6(spark, users_orders):
+    """F6 through real guarded runs on the F1 database."""
+    from rewardloom.operators.guard import GuardConfig
+    from rewardloom.operators.rollouts import score_sql_pairs
+
+    def catalog(db_id):
+        if db_id != "test_db":
+            raise FileNotFoundError(db_id)
+        return users_orders
+
+    pairs = spark.createDataFrame(
+        [("m", "test_db", "SELECT COUNT(*) FROM users", "SELECT COUNT(*) FROM users"),
+         ("x", "test_db", "SELECT COUNT(*) FROM users", "SELECT COUNT(*) FROM orders WHERE amount > 100"),
+         ("g", "test_db", "SELECT FROM missing", "SELECT COUNT(*) FROM users"),
+         ("s", "test_db", "SELECT COUNT(*) FROM users", "SELECT FROM users"),
+         ("n", "test_db", "SELECT COUNT(*) FROM users", None),
+         ("o", "test_db", "SELECT id, name FROM users", "SELECT name, id FROM users")],
+        "pair_id string, db_id string, gold_sql string, candidate_sql string",
+    )
+    cfg = RewardConfig(match=1.5, exec_mismatch=0.25, syntax_error=-0.3, unknown_error=-0.9)
+    scored, run = score_sql_pairs(spark, pairs, catalog, cfg, GuardConfig(timeout_s=120))
+    got = {r.pair_id: (r.reason, r.reward, r.matched) for r in scored.collect()}
+    assert got["m"] == ("match", 1.5, True)
+    assert got["x"] == ("exec_mismatch", 0.25, False)
+    assert got["g"] == ("gold_failed", -0.9, False)
+    assert got["s"] == ("syntax_error", -0.3, False)
+    assert got["n"] == ("forbidden", -1.0, False)
+    assert got["o"][0] == "exec_mismatch"  # column order matters
+    assert run.runs.count() == 7  # distinct queries run once each
