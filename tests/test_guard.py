@@ -57,3 +57,21 @@ def test_guarded_sql_rejects_and_runs(spark, users_orders):
         guarded_sql(spark, users_orders, "SELECT * FROM users; DROP TABLE users")
     df = guarded_sql(spark, users_orders, "SELECT count(*) AS n FROM orders WHERE amount > 100")
     assert df.first().n == 1
+
+
+def test_parquet_catalog_resolves_folders(spark, users_orders, tmp_path):
+    """db_id = folder of parquet tables; a missing one is an unknown_error run."""
+    from rewardloom.operators.guard import parquet_catalog
+
+    root = tmp_path / "dbs"
+    users_orders["users"].write.parquet(str(root / "test_db" / "users.parquet"))
+    users_orders["orders"].write.parquet(str(root / "test_db" / "orders"))
+    cat = parquet_catalog(str(root), spark)
+    assert sorted(cat("test_db")) == ["orders", "users"]
+    qs = spark.createDataFrame(
+        [("test_db", "SELECT u.name FROM users u JOIN orders o ON o.user_id = u.id"), ("gone", "SELECT 1")],
+        "db_id string, sql string",
+    )
+    runs = {r.db_id: r for r in QueryRunner(spark, cat, GuardConfig(timeout_s=120)).run(qs).runs.collect()}
+    assert runs["test_db"].ok and runs["test_db"].row_count == 3
+    assert runs["gone"].error_type == "unknown_error" and runs["gone"].error_message.startswith("Database not found")
