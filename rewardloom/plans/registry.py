@@ -115,10 +115,11 @@ def queries() -> dict[str, Query]:
     from rewardloom.plans import token_queries as TQ
 
     return {
-        **FQ.queries(),
-        **TQ.queries(),
-        **GQ.queries(),
-        **RQ.queries(),
+        "preferences_by_user": _prefs(False, PREF_DEFAULT),
+        "preferences_by_user_day_ties": _prefs(True, PREF_TIES),
+        "preference_stats_by_user_day": _pref_stats(True, PREF_DEFAULT),
+        "preference_stats_by_user_day_ties": _pref_stats(True, PREF_TIES),
+        "preference_stats_capped": _pref_stats(True, PREF_CAPPED),
         "extract_sql": _extract,
         "strip_code_fences": _fences,
         "validate_sql": _validate,
@@ -134,11 +135,10 @@ def queries() -> dict[str, Query]:
         "eval_running_accuracy": _eval(EV.running_accuracy),
         "result_compare": _result_compare,
         "scored_candidates": _scored,
-        "preferences_by_user": _prefs(False, PREF_DEFAULT),
-        "preferences_by_user_day_ties": _prefs(True, PREF_TIES),
-        "preference_stats_by_user_day": _pref_stats(True, PREF_DEFAULT),
-        "preference_stats_by_user_day_ties": _pref_stats(True, PREF_TIES),
-        "preference_stats_capped": _pref_stats(True, PREF_CAPPED),
+        **RQ.queries(),
+        **TQ.queries(),
+        **FQ.queries(),
+        **GQ.queries(),
     }
 
 
