@@ -5,11 +5,13 @@ result row. Two result sets match when they hold the same rows with the same
 multiplicities, in any order; column names are ignored, column order is not;
 two empty results match.
 
-Many pairs are compared at once with one signed aggregation: gold rows count
-+1, candidate rows -1, grouped by (pair, cells). A pair matches when no group
-is left with a non-zero sum. The aggregation is combined map-side and spread
-by (pair, cells), so one huge result set is split across tasks like any
-other data; no result set is ever sorted or collected.
+Many pairs are compared at once. A per-query fingerprint (row count and two
+sums of row hashes) rules out most unequal pairs without moving their rows;
+the remaining pairs get one signed aggregation: gold rows count +1,
+candidate rows -1, grouped by (pair, cells). A pair matches when no group is
+left with a non-zero sum. Both aggregations are combined map-side, and the
+second is spread by (pair, cells), so one huge result set is split across
+tasks like any other data; no result set is ever sorted or collected.
 """
 
 from __future__ import annotations
@@ -58,17 +60,20 @@ def result_rows(df: DataFrame, query_key, columns: Sequence[str] | None = None,
     return df.select(key.alias("query_key"), normalize_rows(df, columns, float_digits).alias("cells"))
 
 
-def bag_differences(pairs: DataFrame, gold_rows: DataFrame, cand_rows: DataFrame) -> DataFrame:
-    """The ``pair_id`` of every pair whose two result sets differ.
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """Order-independent summary of each result set: row count and two sums
+    of 64-bit row hashes (as decimal, so sums never overflow). Equal bags
+    have equal fingerprints; a per-query aggregate, combined map-side."""
+    h1 = F.xxhash64("cells").cast("decimal(38,0)")
+    h2 = F.xxhash64(F.lit("second"), "cells").cast("decimal(38,0)")
+    return rows.groupBy("query_key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(h1).alias("h1"), F.sum(h2).alias("h2")
+    )
 
-    ``pairs(pair_id, gold_key, cand_key)`` must have unique ``pair_id``.
-    ``gold_rows``/``cand_rows`` are ``(query_key, cells)`` tables. Each row
-    is joined to the pairs that use it, signed (+1 gold, -1 candidate) and
-    summed per (pair_id, cells); a pair differs when any sum is not zero.
-    Pairs missing from the result are equal (two empty results included)."""
-    p = pairs.select("pair_id", "gold_key", "cand_key")
-    g = gold_rows.select(F.col("query_key").alias("gold_key"), "cells").join(p.select("pair_id", "gold_key"), "gold_key")
-    c = cand_rows.select(F.col("query_key").alias("cand_key"), "cells").join(p.select("pair_id", "cand_key"), "cand_key")
+
+def _signed_differences(pairs: DataFrame, gold_rows: DataFrame, cand_rows: DataFrame) -> DataFrame:
+    g = gold_rows.select(F.col("query_key").alias("gold_key"), "cells").join(pairs.select("pair_id", "gold_key"), "gold_key")
+    c = cand_rows.select(F.col("query_key").alias("cand_key"), "cells").join(pairs.select("pair_id", "cand_key"), "cand_key")
     signed = g.select("pair_id", "cells", F.lit(1).alias("sign")).unionByName(
         c.select("pair_id", "cells", F.lit(-1).alias("sign"))
     )
@@ -81,6 +86,36 @@ def bag_differences(pairs: DataFrame, gold_rows: DataFrame, cand_rows: DataFrame
     )
 
 
+def bag_differences(pairs: DataFrame, gold_rows: DataFrame, cand_rows: DataFrame) -> DataFrame:
+    """The ``pair_id`` of every pair whose two result sets differ.
+
+    ``pairs(pair_id, gold_key, cand_key)`` must have unique ``pair_id``.
+    ``gold_rows``/``cand_rows`` are ``(query_key, cells)`` tables. Pairs
+    whose fingerprints differ are different for certain. Only pairs with
+    equal fingerprints are checked exactly: each of their rows is joined to
+    the pair, signed (+1 gold, -1 candidate) and summed per (pair_id, cells);
+    a pair differs when any sum is not zero. So result rows are copied per
+    pair only for likely matches. Pairs missing from the output are equal
+    (two empty results included)."""
+    p = pairs.select("pair_id", "gold_key", "cand_key")
+    zero = F.lit(0).cast("decimal(38,0)")
+
+    def fp(rows: DataFrame, key: str, prefix: str) -> DataFrame:
+        return fingerprints(rows).select(
+            F.col("query_key").alias(key), *[F.col(c).alias(f"{prefix}{c}") for c in ("n", "h1", "h2")]
+        )
+
+    summed = p.join(fp(gold_rows, "gold_key", "g_"), "gold_key", "left").join(fp(cand_rows, "cand_key", "c_"), "cand_key", "left")
+    same_fp = (
+        (F.coalesce("g_n", F.lit(0)) == F.coalesce("c_n", F.lit(0)))
+        & (F.coalesce("g_h1", zero) == F.coalesce("c_h1", zero))
+        & (F.coalesce("g_h2", zero) == F.coalesce("c_h2", zero))
+    )
+    certain = summed.filter(~same_fp).select("pair_id")
+    to_verify = summed.filter(same_fp).select("pair_id", "gold_key", "cand_key")
+    return certain.unionByName(_signed_differences(to_verify, gold_rows, cand_rows))
+
+
 def compare_bags(pairs: DataFrame, gold_rows: DataFrame, cand_rows: DataFrame) -> DataFrame:
     """``pairs(pair_id, gold_key, cand_key)`` (unique pair_id) ->
     ``(pair_id, matched)``."""
