@@ -20,7 +20,7 @@ import uuid
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,11 +148,27 @@ class QueryRunner:
         self.catalog = catalog
         self.cfg = cfg
         self.out_dir = out_dir or scratch_table_path(spark, "guarded-runs")
+        self._children: dict[str, tuple[SparkSession, list[str]]] = {}
+        self._lock = threading.Lock()
+
+    def _child(self, db_id: str) -> SparkSession:
+        """One child session per database for the duration of a run."""
+        with self._lock:
+            if db_id not in self._children:
+                self._children[db_id] = child_session(self.spark, self.catalog(db_id))
+            return self._children[db_id][0]
+
+    def _release(self) -> None:
+        with self._lock:
+            for _, shared in self._children.values():
+                for name in shared:
+                    self.spark.catalog.dropGlobalTempView(name)
+            self._children.clear()
 
     def _run_one(self, key: str, db_id: str, sql: str) -> tuple:
         start = time.monotonic()
         try:
-            views = self.catalog(db_id)
+            child = self._child(db_id)
         except FileNotFoundError as exc:
             msg = str(exc)
             if not msg.startswith(MISSING_DB):
@@ -167,11 +183,9 @@ class QueryRunner:
             sc.cancelJobGroup(group)
 
         timer = threading.Timer(self.cfg.timeout_s, cancel)
-        shared: list[str] = []
         try:
             sc.setJobGroup(group, f"guarded query {key[:12]}", interruptOnCancel=True)
             timer.start()
-            child, shared = child_session(self.spark, views)
             df = child.sql(sql)
             rows = result_rows(df, F.lit(key), float_digits=self.cfg.float_digits).drop("query_key")
             if self.cfg.max_rows is not None:
@@ -182,8 +196,9 @@ class QueryRunner:
             else:
                 rows = rows.withColumn("pos", F.lit(0))
             path = f"{self.out_dir}/rows/query_key={key}"
-            rows.write.mode("overwrite").parquet(path)
-            n = child.read.parquet(path).count()
+            counted = Observation(f"rows-{key[:16]}-{uuid.uuid4().hex[:8]}")
+            rows.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+            n = int(counted.get["n"])
             truncated = self.cfg.max_rows is not None and n > self.cfg.max_rows
             if truncated:
                 n = self.cfg.max_rows
@@ -195,8 +210,6 @@ class QueryRunner:
         finally:
             timer.cancel()
             sc.setLocalProperty("spark.jobGroup.id", None)
-            for name in shared:
-                self.spark.catalog.dropGlobalTempView(name)
 
     def run(self, queries: DataFrame) -> RunResult:
         """``queries(db_id, sql, ...)`` -> runs + result rows (A9: each
@@ -216,8 +229,11 @@ class QueryRunner:
         )
         # Only distinct, valid query texts come to the driver.
         todo = [(r.query_key, r.db_id, r.sql) for r in checked.filter(F.col("_reason").isNull()).toLocalIterator()]
-        with ThreadPoolExecutor(max_workers=self.cfg.max_workers) as pool:
-            statuses = list(pool.map(lambda t: self._run_one(*t), todo))
+        try:
+            with ThreadPoolExecutor(max_workers=self.cfg.max_workers) as pool:
+                statuses = list(pool.map(lambda t: self._run_one(*t), todo))
+        finally:
+            self._release()
         ran = self.spark.createDataFrame(statuses, RUN_SCHEMA)
         runs_path = f"{self.out_dir}/runs"
         ran.unionByName(forbidden).join(checked.select("query_key", "db_id", "sql"), "query_key").write.mode(
