@@ -128,3 +128,12 @@ def test_global_rank_with_coalesced_ranges(spark):
     """Default partitioning: AQE may merge adjacent ranges; ranks stay exact."""
     df = spark.range(0, 3000).select((F.col("id") * 7 % 3000).alias("k"))
     assert all(r.r == r.k + 1 for r in with_global_rank(df, ["k"], name="r").collect())
+
+
+def test_throughput_and_database_exists(spark):
+    """W4 examples/s rounded to 2 places (0.0 without time); S5 for catalog databases."""
+    row = spark.createDataFrame([(1034, 18000.0), (5, 0.0)], "n long, s double").select(
+        EV.throughput(F.col("n"), F.col("s")).alias("x")
+    ).collect()
+    assert [r.x for r in row] == [0.06, 0.0]
+    assert IO.database_exists(spark, "default") and not IO.database_exists(spark, "no_such_db_here")
