@@ -106,13 +106,16 @@ def strip_code_fences(text) -> Column:
     parts = F.split(F.replace(t, F.lit("```sql"), F.lit("```")), "```", -1)
     blocks = F.filter(F.transform(parts, lambda p: strip_ws(p)), lambda b: F.length(b) > 0)
     best = longest_block(blocks)
-    # Text without a fence splits into itself, so ``best`` is the trimmed text.
-    return F.coalesce(F.nullif(best, F.lit("")), t)
+    # Only texts with a fence go through the (interpreted) block logic; an
+    # empty block list falls back to the trimmed text.
+    return F.when(t.contains("```"), F.coalesce(F.nullif(best, F.lit("")), t)).otherwise(t)
 
 
 _PREFIX_RES = tuple("^" + _jre(p) for p in ASSISTANT_PREFIXES)
 _NON_ASCII_TAIL_RE = r"(?s)[^\x00-\x7F].*"
-_MARKER_TAIL_RE = "(?s)(" + "|".join(_jre(m) for m in CORRUPTION_MARKERS) + ").*"
+# Every marker starts with '<', '`' or a newline: the lookahead lets the regex
+# engine reject most positions with one character-class test.
+_MARKER_TAIL_RE = "(?s)(?=[<`\n])(" + "|".join(_jre(m) for m in CORRUPTION_MARKERS) + ").*"
 _SQL_START_RE = r"(?s)^((?i:select|with).*)$"
 
 
