@@ -176,14 +176,15 @@ def validate_sql(sql) -> Column:
 
 
 def add_validation(df: DataFrame, col: str, reason_out: str, valid_out: str | None = None) -> DataFrame:
-    """X6 as DataFrame staging for long texts: the stripped and lowered text
-    are computed once, in their own projection, and shared by every rule."""
-    s_col, l_col = f"_{reason_out}_s", f"_{reason_out}_l"
-    out = df.withColumn(s_col, strip_ws(col)).withColumn(l_col, F.lower(F.col(s_col)))
-    out = out.withColumn(reason_out, _reason_from(F.col(col), F.col(s_col), F.col(l_col)))
+    """X6 as DataFrame staging for long texts: the stripped text is computed
+    once, in its own projection. Lower-casing happens only in the keyword
+    branch, which texts failing the SELECT/WITH prefix test never reach."""
+    s_col = f"_{reason_out}_s"
+    out = df.withColumn(s_col, strip_ws(col))
+    out = out.withColumn(reason_out, _reason_from(F.col(col), F.col(s_col), F.lower(F.col(s_col))))
     if valid_out:
         out = out.withColumn(valid_out, F.col(reason_out).isNull())
-    return out.drop(s_col, l_col)
+    return out.drop(s_col)
 
 
 # --- X7: difficulty ---------------------------------------------------------
