@@ -244,7 +244,9 @@ def sql_token_count(sql) -> Column:
     return F.coalesce(F.regexp_count(blanked, F.lit("[^ ]+")), F.lit(0)).cast("long")
 
 
-_STAR_INTENDED_RE = "(?<!" + WORD_CLASS + ")(?iu:select)" + _WS_CLASS + r"+\*"
+# The leading lookahead is a cheap filter: only 's', 'S' and U+017F (which
+# case-folds to 's') can start a case-insensitive "select".
+_STAR_INTENDED_RE = "(?=[sS\u017f])(?<!" + WORD_CLASS + ")(?iu:select)" + _WS_CLASS + r"+\*"
 _STAR_LITERAL_RE = _STAR_INTENDED_RE + "(?=" + WORD_CLASS + ")"
 
 
