@@ -48,19 +48,27 @@ def read_jsonl(
         return spark.read.schema(schema).option("mode", mode).json(path)
     lines = _ordered_lines(spark, path)
     blank = strip_ws("_line") == ""
-    parsed = lines.filter(~blank).withColumn("_ok", F.try_parse_json("_line").isNotNull())
-    if mode.upper() == "FAILFAST":
-        bad = parsed.filter(~F.col("_ok")).agg(F.min("line_no").alias("n")).first().n
-        if bad is not None:
-            raise ValueError(f"Invalid JSON at line {bad}")
-    records = parsed.select(
+    flagged = lines.withColumn("_blank", blank).withColumn(
+        "_ok", F.col("_blank") | F.try_parse_json("_line").isNotNull()
+    )
+    # One small job over the ranked lines: first malformed line, blank count.
+    summary = flagged.agg(
+        F.min(F.when(~F.col("_ok"), F.col("line_no"))).alias("first_bad"),
+        F.count_if("_blank").alias("n_blank"),
+    ).first()
+    if mode.upper() == "FAILFAST" and summary.first_bad is not None:
+        raise ValueError(f"Invalid JSON at line {summary.first_bad}")
+    records = flagged.filter(~F.col("_blank")).select(
         F.from_json("_line", schema).alias("_r"),
         "line_no",
         F.when(~F.col("_ok"), F.col("_line")).alias("_corrupt_record"),
     ).select("_r.*", "line_no", "_corrupt_record")
-    # Record position among non-blank lines = line_no minus blanks before it;
-    # recomputed from a second ranking to stay distributed.
-    ranked = with_global_rank(records, ["line_no"], name=ORD).withColumn(ORD, F.col(ORD) - 1)
+    if summary.n_blank == 0:
+        # No blank lines: the record position is the line position.
+        ranked = records.withColumn(ORD, F.col("line_no") - 1)
+    else:
+        # Record position among non-blank lines, ranked again (distributed).
+        ranked = with_global_rank(records, ["line_no"], name=ORD).withColumn(ORD, F.col(ORD) - 1)
     if mode.upper() == "FAILFAST":
         ranked = ranked.drop("_corrupt_record")
     return ranked
