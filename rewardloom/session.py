@@ -20,6 +20,8 @@ _DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Ranking checkpoints live in the shared folder; delete them once unused.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
