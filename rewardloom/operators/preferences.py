@@ -172,9 +172,11 @@ def build_preferences(rollouts: DataFrame, cfg: PreferenceConfig = PreferenceCon
 
     # K1: the first max_examples groups by id text (stable on first appearance).
     if cfg.max_examples is not None:
-        ranked = with_global_rank(groups.filter("_key_ok"), ["id", "group_ord"], name="_grank")
-        in_cap = ranked.filter(F.col("_grank") <= cfg.max_examples).select(*KEY, F.lit(True).alias("_in_cap"))
-        groups = groups.join(in_cap, KEY, "left").withColumn("_seen", F.col("_key_ok") & F.coalesce("_in_cap", F.lit(False))).drop("_in_cap")
+        # Rank every group, usable keys first: the rank among usable groups is
+        # then the global rank, and the ranked (checkpointed) table replaces
+        # the aggregate, which is not computed a second time.
+        ranked = with_global_rank(groups, [~F.col("_key_ok"), "id", "group_ord", "db_id", "prompt"], name="_grank")
+        groups = ranked.withColumn("_seen", F.col("_key_ok") & (F.col("_grank") <= cfg.max_examples)).drop("_grank")
     else:
         groups = groups.withColumn("_seen", F.col("_key_ok"))
 
