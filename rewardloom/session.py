@@ -7,8 +7,8 @@ tests).
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -57,7 +57,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
-    # Unset (local tests only): a fresh scratch folder on this machine.
+    # Unset: only a local master may use a folder of this machine.
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError(
+            f"spark.checkpoint.dir is not set; executors of {sc.master} need a shared folder for intermediate tables"
+        )
     local = tempfile.mkdtemp(prefix="rewardloom-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
@@ -65,15 +69,4 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for a written intermediate."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{os.getpid()}-{next(_COUNTER)}"
-
-
-def _counter():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_COUNTER = _counter()
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
