@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rewardloom.session import scratch_table_path
 
 #: Entries after which a worker's word cache starts afresh.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,20 +67,26 @@ def labelled_sample(
 class WordCodes(dict):
     """Memo from a space-separated word to the bytes that stand for it.
 
-    ``code`` must depend on the word alone; the memo starts afresh when full, so
-    its memory is bounded and its content never changes a result.
+    ``code`` must depend on the word alone. When full, the memo becomes the old
+    one and a new one starts, into which words still in use move back; its memory
+    is bounded and its content never changes a result.
     """
 
     def __init__(self, code: Callable[[str], bytes], limit: int = CACHE_ENTRIES):
         super().__init__()
         self.code, self.limit = code, limit
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
+        out = self.old.get(word)
+        if out is None:
+            out = self.code(word)
+            if len(word) > 64:
+                return out
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        out = self.code(word)
-        if len(word) <= 64:
-            self[word] = out
+        self[word] = out
         return out
 
     def of(self, words: list[str]) -> bytes:

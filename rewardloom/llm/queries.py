@@ -4,22 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.llm import simhash
+from rewardloom.llm import bpe, simhash
 from rewardloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_and_decoded(table(spark, sf_dir, "documents"))
+
+
+def encoded_and_decoded(docs: DataFrame) -> DataFrame:
+    """Token counts, and digests of the ids and of the bytes they decode to."""
+    path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    encoded = bpe.encode(docs, path, pattern).withColumn("decoded", bpe.decode_column(F.col("ids"), path, pattern))
+    return encoded.select(
+        "doc_id",
+        F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Query]:
-    return {"op9_simhash_near_dedup": op9_simhash_near_dedup}
+    return {
+        "op2_byte_bpe": op2_byte_bpe,
+        "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
