@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.llm import bpe, simhash
+from rewardloom.llm import bpe, simhash, token_files
 from rewardloom.llm.common import table
+from rewardloom.session import scratch_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+END_ID = 2
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_and_read(table(spark, sf_dir, "documents"))
+
+
+def written_and_read(docs: DataFrame) -> DataFrame:
+    """Writes the ids, looks every key up in the index and reads its ids back."""
+    folder = scratch_table_path(docs.sparkSession, "token_files")
+    files = token_files.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    dtype = files.dtype
+
+    @F.pandas_udf("long")
+    def crc32(ids: pd.Series) -> pd.Series:
+        return pd.Series([zlib.crc32(np.frombuffer(x, dtype).astype("<u4").tobytes()) for x in ids], dtype="int64")
+
+    return files.payloads(files.keys).select("doc_id", "start", "n_tokens", crc32("ids").alias("ids_crc32"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_and_decoded(table(spark, sf_dir, "documents"))
 
@@ -40,6 +62,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_token_files": op1_token_files,
         "op2_byte_bpe": op2_byte_bpe,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
