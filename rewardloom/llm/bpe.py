@@ -29,12 +29,16 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rewardloom.llm.common import WordCodes
 
+#: Texts that a worker holds with their ids at once.
+ROWS = 256
+
 _ODD_SPACE = re.compile(r" \s|\s ")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -167,19 +171,27 @@ def byte_pairs(path: str, pattern: str) -> BytePairs:
     return BytePairs(read_ranks(path), pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """(doc_id, ids): every whole text's ids as little-endian unsigned 32-bit integers.
 
     :param path: file of ranks, on every machine.
+    :param decoded: also decode the ids, as column ``decoded``, in the same worker.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = byte_pairs(path, pattern)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [pairs.encode(t) for t in batch["text"]]})
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                ids = [pairs.encode(t.as_py()) for t in part.column("text")]
+                columns, names = [part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"]
+                if decoded:
+                    columns.append(pa.array([pairs.decode(x) for x in ids], pa.binary()))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInPandas(run, "doc_id long, ids binary")
+    return source.mapInArrow(run, "doc_id long, ids binary" + ", decoded binary" * decoded)
 
 
 def decode_column(ids: Column, path: str, pattern: str) -> Column:

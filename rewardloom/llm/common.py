@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rewardloom.session import scratch_table_path
 
 #: Entries after which a worker's word cache starts afresh.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,11 +8,11 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.llm import bpe, simhash, token_files
-from rewardloom.llm.common import table
+from rewardloom.llm import bpe, langid, simhash, token_files
+from rewardloom.llm.common import remainder, table
 from rewardloom.session import scratch_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,8 +46,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded_and_decoded(docs: DataFrame) -> DataFrame:
     """Token counts, and digests of the ids and of the bytes they decode to."""
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    encoded = bpe.encode(docs, path, pattern).withColumn("decoded", bpe.decode_column(F.col("ids"), path, pattern))
-    return encoded.select(
+    return bpe.encode(docs, path, pattern, decoded=True).select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -55,6 +54,25 @@ def encoded_and_decoded(docs: DataFrame) -> DataFrame:
     )
 
 
+def train_rows(mod: int, held: int) -> Column:
+    """Rows whose label may be learned from; a null id is neither trained on nor held out."""
+    return F.coalesce(remainder(F.col("doc_id"), mod) != held, F.lit(False))
+
+
+def held_out(mod: int, held: int) -> Column:
+    return F.coalesce(remainder(F.col("doc_id"), mod) == held, F.lit(False)).alias("held_out")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
+def languages(docs: DataFrame) -> DataFrame:
+    model = langid.fit(docs, train_rows(4, 2))
+    found = docs.select("doc_id", held_out(4, 2), langid.predict_column(model, F.col("text")).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.margin", "found.rejected")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -64,6 +82,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_files": op1_token_files,
         "op2_byte_bpe": op2_byte_bpe,
+        "op5_language_id": op5_language_id,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
 
