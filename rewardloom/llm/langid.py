@@ -1,7 +1,8 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary of sampled text. A text is
-cut into blocks, each block is compressed with each dictionary, and the language
+Each language has a raw-content zstandard dictionary of sampled text. Dictionary
+and text are in lower case, with a space for each run of ASCII characters that
+are no letters. A text is cut into blocks, each block is compressed with each dictionary, and the language
 with the fewest bytes over the whole text wins. Blocks keep a long text from
 becoming its own dictionary, so that its length doesn't drown the difference.
 The margin is the share of bytes that the best dictionary saves over the next
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 #: Bytes compressed at once.
-BLOCK = 4096
-LEVEL = 1
+BLOCK = 2048
+LEVEL = 6
 MIN_MARGIN = 0.01
-ROWS_PER_LANG, SLICE_CHARS, DICT_BYTES = 400, 600, 96 << 10
+ROWS_PER_LANG, SLICE_CHARS, DICT_BYTES = 400, 300, 128 << 10
 #: The most languages that may be learned; more raise.
 MAX_LANGS = 2000
 
@@ -43,6 +44,14 @@ _LETTER = regex.compile(r"\p{L}")
 RESULT = "struct<lang_pred: string, score: double, margin: double, rejected: boolean>"
 
 
+#: ASCII bytes that are no letters become spaces.
+_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+
+
+def letters(text: str) -> bytes:
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()) + b" "
+
+
 @dataclass(frozen=True)
 class LangModel:
     dictionaries: dict[str, bytes]
@@ -68,7 +77,7 @@ class Scorer:
     def score(self, text: str | None) -> tuple[str, float, float, bool]:
         if not self.langs or not text or not _LETTER.search(text):
             return UNKNOWN, 0.0, 0.0, True
-        content = text.encode("utf-8", "surrogatepass")
+        content = letters(text)
         blocks = [content[k : k + BLOCK] for k in range(0, len(content), BLOCK)]
         sizes = np.array([sum(len(f(b)) for b in blocks) for f in self.compress], dtype=np.float64)
         best = int(np.argmin(sizes[: len(self.langs)]))
@@ -97,7 +106,7 @@ def fit(
     parts: dict[str, list[str]] = {}
     for row in slices.orderBy("lang", F.xxhash64("slice"), "slice").collect():
         parts.setdefault(row["lang"], []).append(row["slice"])
-    return LangModel({k: "\n".join(v[:rows_per_lang]).encode("utf-8", "surrogatepass")[-dict_bytes:] for k, v in parts.items()}, min_margin)
+    return LangModel({k: letters(" ".join(v[:rows_per_lang]))[-dict_bytes:] for k, v in parts.items()}, min_margin)
 
 
 def predict_column(model: LangModel, text: Column) -> Column:
