@@ -41,11 +41,12 @@ def labelled_sample(
     rows_per_class: int,
     max_chars: int,
 ) -> DataFrame:
-    """A sample (doc_id, text, label) of the labelled training rows.
+    """A sample (doc_id, text, label, weight) of the labelled training rows.
 
     About ``rows_per_class`` rows of either class, chosen by a hash of the id,
     of texts of at most ``max_chars`` characters. The chosen ids, at most a few
-    times ``rows_per_class``, are the only rows broadcast.
+    times ``rows_per_class``, are the only rows broadcast. A row's weight is the
+    number of labelled rows that it stands for.
 
     :param train: condition on ``doc_id`` that a row must meet.
     """
@@ -59,7 +60,9 @@ def labelled_sample(
         share = F.when(F.col("label") == value, F.lit(min(1.0, rows_per_class / n))).otherwise(share)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     # A doc_id with several labels takes the smallest.
-    chosen = known.where(place < share).groupBy("doc_id").agg(F.min("label").alias("label"))
+    chosen = known.where(place < share).withColumn("weight", 1.0 / share).groupBy("doc_id").agg(
+        F.min("label").alias("label"), F.max("weight").alias("weight")
+    )
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
     return texts.join(F.broadcast(chosen), "doc_id")
 

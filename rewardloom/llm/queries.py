@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.llm import bpe, langid, simhash, token_files
+from rewardloom.llm import bpe, langid, quality, simhash, token_files
 from rewardloom.llm.common import remainder, table
 from rewardloom.session import scratch_table_path
 
@@ -63,6 +63,16 @@ def held_out(mod: int, held: int) -> Column:
     return F.coalesce(remainder(F.col("doc_id"), mod) == held, F.lit(False)).alias("held_out")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qualities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def qualities(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    model = quality.fit(docs, labels, train_rows(4, 2))
+    scored = docs.select("doc_id", held_out(4, 2), quality.score_column(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
@@ -82,6 +92,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_files": op1_token_files,
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_quality": op3_quality,
         "op5_language_id": op5_language_id,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
