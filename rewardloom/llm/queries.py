@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.llm import bpe, langid, quality, simhash, token_files
+from rewardloom.llm import bpe, langid, quality, simhash, token_files, toxicity
 from rewardloom.llm.common import remainder, table
 from rewardloom.session import scratch_table_path
 
@@ -83,6 +83,16 @@ def languages(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.margin", "found.rejected")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def toxicities(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    model = toxicity.fit(docs, labels, train_rows(5, 0))
+    scored = docs.select("doc_id", held_out(5, 0), toxicity.score_column(model, F.col("text")).alias("found"))
+    return scored.select("doc_id", "held_out", "found.score", (F.col("found.score") >= 0.5).cast("int").alias("predicted"), "found.spans")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -94,6 +104,7 @@ def queries() -> dict[str, Query]:
         "op2_byte_bpe": op2_byte_bpe,
         "op3_quality": op3_quality,
         "op5_language_id": op5_language_id,
+        "op6_toxicity": op6_toxicity,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
 
