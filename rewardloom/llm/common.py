@@ -84,13 +84,16 @@ class WordCodes(dict):
         out = self.old.get(word)
         if out is None:
             out = self.code(word)
-            if len(word) > 64:
-                return out
+        self.put(word, out)
+        return out
+
+    def put(self, word: str, code: bytes) -> None:
+        if len(word) > 64:
+            return
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        self[word] = out
-        return out
+        self[word] = code
 
     def of(self, words: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, words))

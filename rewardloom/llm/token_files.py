@@ -27,6 +27,7 @@ not read.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import uuid
 from collections.abc import Iterator
@@ -45,7 +46,9 @@ from rewardloom.llm.common import WordCodes, offsets, saved
 
 #: Keys of a bucket of the index, on average.
 BUCKET = 4096
-#: Bytes gathered before they are written.
+#: Texts encoded at once, and words in one call of the tokenizer.
+TEXTS, WORDS = 256, 1024
+#: Bytes of ids read before they are passed on.
 BUFFER = 8 << 20
 
 _PLACED = "shard int, place long, doc_id long, copy long, offset long, n_tokens long"
@@ -73,17 +76,40 @@ class Encoder:
         self.by_word = (
             split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not made["normalizer"]
         )
+        #: Bytes of each token: such a tokenizer writes a byte as one character.
+        self.length = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
+        for token, rank in self.tokenizer.get_vocab().items():
+            self.length[rank] = len(token)
         self.at_start = WordCodes(self._ids)
         self.after_space = WordCodes(lambda word: self._ids(" " + word))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words that follow a space, many in one text; the tokens' lengths tell where each ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.cumsum(self.length[ids])
+        wanted = np.cumsum([len(w.encode("utf-8")) + 1 for w in words])
+        cuts = np.searchsorted(ends, wanted) + 1
+        whole, width = ids.tobytes(), ids.itemsize
+        for word, start, end in zip(words, [0, *cuts[:-1].tolist()], cuts.tolist()):
+            self.after_space.put(word, whole[start * width : end * width])
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each whole text."""
         if not self.by_word:
-            return self._ids(text or "")
-        words = words_of(text or "")
-        return self.at_start[words[0]] + self.after_space.of(words[1:])
+            found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(x.ids, self.dtype).tobytes() for x in found]
+        split = [words_of(t or "") for t in texts]
+        known = self.after_space
+        new = [
+            w for w in set(itertools.chain.from_iterable(s[1:] for s in split))
+            if w not in known and w not in known.old and 0 < len(w) <= 64 and not w[0].isspace() and not w[-1].isspace()
+        ]
+        for k in range(0, len(new), WORDS):
+            self._learn(new[k : k + WORDS])
+        return [self.at_start[s[0]] + known.of(s[1:]) for s in split]
 
 
 @functools.lru_cache(maxsize=2)
@@ -231,21 +257,17 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str
         place, offset, copy, last, begun = 0, 0, 0, None, False
         out = None
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            n, copies, held, size = [], [], [], 0
+            n, copies = [], []
             out = out or files.open_output_stream(own)
-            for key, content in zip(ids, batch.column("text").to_pylist()):
-                code = codes.encode(content) + end
-                held.append(code)
-                n.append(len(code) // len(end))
-                copy = copy + 1 if begun and key == last else 0
-                last, begun = key, True
-                copies.append(copy)
-                size += len(code)
-                if size >= BUFFER:
-                    out.write(b"".join(held))
-                    held, size = [], 0
-            out.write(b"".join(held))
+            for k in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(k, TEXTS)
+                coded = codes.encode(part.column("text").to_pylist())
+                out.write(end.join(coded) + end)
+                n += [len(x) // len(end) + 1 for x in coded]
+                for key in part.column("doc_id").to_pylist():
+                    copy = copy + 1 if begun and key == last else 0
+                    last, begun = key, True
+                    copies.append(copy)
             at = offsets(np.array(n, np.int64)) + offset
             yield pa.RecordBatch.from_arrays(
                 [
