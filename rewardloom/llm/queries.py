@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.llm import bpe, langid, quality, simhash, token_files, toxicity
+from rewardloom.llm import bpe, decontaminate, langid, quality, simhash, token_files, toxicity
 from rewardloom.llm.common import remainder, table
 from rewardloom.session import scratch_table_path
 
@@ -73,6 +73,10 @@ def qualities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
@@ -103,6 +107,7 @@ def queries() -> dict[str, Query]:
         "op1_token_files": op1_token_files,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_quality": op3_quality,
+        "op4_decontamination": op4_decontamination,
         "op5_language_id": op5_language_id,
         "op6_toxicity": op6_toxicity,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
