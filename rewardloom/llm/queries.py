@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.llm import bpe, decontaminate, langid, mtree, quality, simhash, token_files, toxicity, url_rules
+from rewardloom.llm import bpe, decontaminate, langid, mtree, quality, secret_scan, simhash, token_files, toxicity, url_rules
 from rewardloom.llm.common import remainder, table
 from rewardloom.session import scratch_table_path
 
@@ -97,6 +97,11 @@ def toxicities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", "held_out", "found.score", (F.col("found.score") >= 0.5).cast("int").alias("predicted"), "found.spans")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", F.length("value").alias("size"), "value", "score")
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -134,6 +139,7 @@ def queries() -> dict[str, Query]:
         "op4_decontamination": op4_decontamination,
         "op5_language_id": op5_language_id,
         "op6_toxicity": op6_toxicity,
+        "op7_secret_scan": op7_secret_scan,
         "op8_top_k": op8_top_k,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_url_filters": op10_url_filters,
