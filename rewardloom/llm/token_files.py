@@ -47,7 +47,9 @@ from rewardloom.llm.common import WordCodes, offsets, saved
 #: Keys of a bucket of the index, on average.
 BUCKET = 4096
 #: Texts encoded at once, and words in one call of the tokenizer.
-TEXTS, WORDS = 256, 1024
+TEXTS, WORDS = 1024, 1024
+#: Words whose ids a worker keeps.
+MEMO = 500_000
 #: Bytes of ids read before they are passed on.
 BUFFER = 8 << 20
 
@@ -81,7 +83,7 @@ class Encoder:
         for token, rank in self.tokenizer.get_vocab().items():
             self.length[rank] = len(token)
         self.at_start = WordCodes(self._ids)
-        self.after_space = WordCodes(lambda word: self._ids(" " + word))
+        self.after_space = WordCodes(lambda word: self._ids(" " + word), MEMO)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
