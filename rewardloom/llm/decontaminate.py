@@ -47,6 +47,8 @@ MIN_WORDS = 8
 BLOCK_WORDS = 500_000
 #: Words of documents searched at once.
 SEARCH_WORDS = 1_000_000
+#: Words whose codes a worker keeps.
+MEMO = 400_000
 SEED = 20_240_607
 _FOUND = "doc_id long, item_id long, first_word long, n_words long, edits int, score double"
 
@@ -79,6 +81,7 @@ class _Group:
     """Items of about one size, in one repetition."""
 
     steps: np.ndarray  # sampled steps, ascending
+    member: np.ndarray  # by code: whether some item's first sampled word
     prefixes: list[np.ndarray]  # sorted keys of the items' first 1, 2, ... sampled words
     items: dict[int, list[int]]  # whole key -> items
 
@@ -94,10 +97,12 @@ class Index:
         self.members = [frozenset(x.tolist()) for x in self.items]
         # Code 0 ends a text, 1 is any word that no item has.
         self.n_codes = len(self.vocabulary) + 2
-        self.codes = WordCodes(lambda w: np.array([self.vocabulary.get(n, 1)], "<i4").tobytes() if (n := normal(w)) else b"")
+        self.codes = WordCodes(lambda w: self.vocabulary.get(n, 1).to_bytes(4, "little") if (n := normal(w)) else b"", MEMO)
         random = np.random.default_rng(SEED)
         sizes = np.array([len(x) for x in self.items], np.int64)
-        self.repetitions: list[tuple[np.ndarray, list[_Group]]] = []
+        #: Key of a first sampled word, by its code.
+        self.first_keys = _next_key(np.uint64(0), np.arange(self.n_codes))
+        self.repetitions: list[tuple[np.ndarray, list[_Group], np.ndarray]] = []
         bounds, groups = [], []
         for size in np.unique(sizes[sizes > 0]):
             if not bounds or size > bounds[-1] * 1.5 or bounds[-1] < MIN_WORDS <= size:
@@ -105,16 +110,20 @@ class Index:
                 groups.append([])
             groups[-1] += np.flatnonzero(sizes == size).tolist()
         self.longest = int(sizes.max(initial=0))
-        for _ in range(repetitions):
+        for repetition in range(repetitions):
             moves = random.integers(0, 2, (2 * max(bounds, default=0), self.n_codes)).astype(np.int32)
             moves[:, 0] = 0
             made = []
             for least, members in zip(bounds, groups):
-                # The first step sampled comes early, so that most windows end there.
-                edges = np.concatenate(([0], np.linspace(min(FIRST, least), 2 * least, samples)))
-                steps = np.unique([int(random.integers(int(a), max(int(a) + 1, int(b)))) for a, b in zip(edges, edges[1:])])
+                # The first step sampled comes early and is the same for all groups: most windows end there.
+                edges = np.linspace(min(FIRST, least), 2 * least, samples).astype(int)
+                first = min(repetition % FIRST, 2 * min(bounds) - 1)
+                steps = np.unique([first, *(int(random.integers(a, max(a + 1, b))) for a, b in zip(edges, edges[1:]))])
                 made.append(self._group(moves, steps, members))
-            self.repetitions.append((moves, made))
+            member = np.zeros(self.n_codes, bool)
+            for group in made:
+                member |= group.member
+            self.repetitions.append((moves, made, member))
 
     def _group(self, moves: np.ndarray, steps: np.ndarray, members: list[int]) -> _Group:
         keys = np.zeros((len(members), len(steps)), np.uint64)
@@ -130,39 +139,45 @@ class Index:
         by_key: dict[int, list[int]] = {}
         for m, item in enumerate(members):
             by_key.setdefault(int(keys[m, -1]), []).append(item)
-        return _Group(steps, [np.unique(keys[:, k]) for k in range(len(steps))], by_key)
+        prefixes = [np.unique(keys[:, k]) for k in range(len(steps))]
+        return _Group(steps, np.isin(self.first_keys, prefixes[0]), prefixes, by_key)
 
     def candidates(self, codes: np.ndarray) -> set[tuple[int, int]]:
         """(first word, item) for texts one after the other, each ended by code 0."""
         found: set[tuple[int, int]] = set()
         starts = np.flatnonzero(codes).astype(np.int32)
-        for moves, groups in self.repetitions:
-            at, step = starts.copy(), 0
-            for group in sorted(groups, key=lambda g: g.steps[0]):
-                while step < group.steps[0]:
-                    at += moves[step][codes[at]]
-                    step += 1
-                # Most windows end here: one lookup in a table of the items' words.
-                word = codes[at]
-                member = np.zeros(self.n_codes, bool)
-                keys = _next_key(np.uint64(0), np.arange(self.n_codes))
-                member[np.isin(keys, group.prefixes[0])] = True
-                left = np.flatnonzero(member[word])
-                own, key, k = at[left], keys[word[left]], 1
-                for s in range(step, int(group.steps[-1]) + 1):
-                    word = codes[own]
+        word, move = np.empty(len(starts), codes.dtype), np.empty(len(starts), np.int32)
+        for moves, groups, member in self.repetitions:
+            if not groups:
+                continue
+            at = starts.copy()
+            first = int(groups[0].steps[0])
+            for step in range(first):
+                np.take(codes, at, out=word, mode="clip")
+                np.take(moves[step], word, out=move, mode="clip")
+                at += move
+            np.take(codes, at, out=word, mode="clip")
+            # Most windows end here: their word is no item's.
+            some = np.flatnonzero(member.take(word))
+            some_at, some_word = at[some], word[some]
+            for group in groups:
+                mine = np.flatnonzero(group.member[some_word])
+                left, own, own_word = some[mine], some_at[mine], some_word[mine]
+                key, k = self.first_keys[own_word], 1
+                for s in range(first, int(group.steps[-1]) + 1):
+                    if s > first:
+                        own_word = codes[own]
                     if k < len(group.steps) and s == group.steps[k]:
-                        key = _next_key(key, word)
+                        key = _next_key(key, own_word)
                         place = np.searchsorted(group.prefixes[k], key)
                         kept = group.prefixes[k][np.minimum(place, len(group.prefixes[k]) - 1)] == key
-                        left, own, key, word = left[kept], own[kept], key[kept], word[kept]
+                        left, own, key, own_word = left[kept], own[kept], key[kept], own_word[kept]
                         k += 1
                         if not len(left):
                             break
-                    own = own + moves[s][word]
-                if len(left):
-                    for place, whole in zip(left.tolist(), key.tolist()):
-                        found.update((int(starts[place]), item) for item in group.items.get(whole, ()))
+                    own = own + moves[s][own_word]
+                for place, whole in zip(left.tolist(), key.tolist()):
+                    found.update((int(starts[place]), item) for item in group.items.get(whole, ()))
         return found
 
     def leaks(self, codes: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
