@@ -60,7 +60,7 @@ def labelled_sample(
         share = F.when(F.col("label") == value, F.lit(min(1.0, rows_per_class / n))).otherwise(share)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     # A doc_id with several labels takes the smallest.
-    chosen = known.where(place < share).withColumn("weight", 1.0 / share).groupBy("doc_id").agg(
+    chosen = known.where(place < share).withColumn("weight", F.try_divide(F.lit(1.0), share)).groupBy("doc_id").agg(
         F.min("label").alias("label"), F.max("weight").alias("weight")
     )
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))

@@ -258,7 +258,7 @@ def fit(
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["label"].nunique() < 2:
-            return pd.DataFrame({"weights": [], "rest": []})
+            return pd.DataFrame({"weights": [], "rest": []}, dtype=object)
         rows = rows.sort_values("place", kind="stable")
         m = train_field(rows["text"].tolist(), rows["label"].to_numpy(np.int64), rows["weight"].to_numpy(float))
         return pd.DataFrame({"weights": [m.weights.astype("<f8").tobytes()], "rest": [[m.bias, *m.trans.ravel().tolist(), *m.link]]})

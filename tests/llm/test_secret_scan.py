@@ -1,0 +1,63 @@
+from __future__ import annotations
+
+import re
+
+from rewardloom.llm import queries as Q
+from rewardloom.llm import secret_scan as S
+
+from .conftest import SF_MORE
+
+
+def test_planted_assignments_are_found_at_their_offsets(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF_MORE}/documents.parquet").select("doc_id", "text").collect()}
+    rows = Q.op7_secret_scan(spark, SF_MORE).collect()
+    assert all(texts[r["doc_id"]][r["start"] : r["start"] + r["size"]] == r["value"] for r in rows)
+    want = {(i, m.start(1)) for i, t in texts.items() for m in re.finditer(r'(?i)\btoken\S* =\S* "([0-9a-f]{40})"', t)}
+    assert want and want == {(r["doc_id"], r["start"]) for r in rows}
+
+
+def test_no_python_in_the_plan(spark):
+    docs = spark.read.parquet(f"{SF_MORE}/documents.parquet")
+    plan = S.redacted(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_candidates_against_plain_scan(spark):
+    text = 'a=  "short" b = "longer_value_1" /usr/lib/python3/dist-packages/x 1234567890123456 word abcdefghijklmnopq A1' + "b2" * 10
+    rows = S.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    found = {r["value"]: r["start"] for r in rows}
+    assert found == {v: text.index(v) for v in ("longer_value_1", "/usr/lib/python3/dist-packages/x", "1234567890123456", "A1" + "b2" * 10)}
+
+
+def test_forest_removes_false_positives(spark):
+    good = [(k, f'api_key = "k{k:03d}Zx9QpLm{k * 7919 % 100000:05d}vB"') for k in range(60)]
+    bad = [(100 + k, f"see /usr/share/doc/page-{k:04d}/index.html and order 12345678901234{k:02d}") for k in range(60)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    found = S.candidates(docs)
+    model = S.fit(found, S.dictionary(docs, size=50))
+    assert model.forest is not None
+    kept = {r["doc_id"] for r in S.secrets(docs, model=model).collect()}
+    assert kept == {k for k, _ in good}
+
+
+def test_given_labels_are_learned(spark):
+    docs = spark.createDataFrame([(k, f"id {'f' if k % 2 else 'Q'}{k:020d}") for k in range(80)], "doc_id long, text string")
+    found = S.candidates(docs)
+    model = S.fit(found, ["word"], label=(found["doc_id"] % 2).cast("double"))
+    scores = {r["doc_id"]: r["score"] for r in S.scored(found, model).collect()}
+    assert all((s >= 0.5) == bool(k % 2) for k, s in scores.items())
+
+
+def test_redaction_and_awkward_rows(spark, awkward):
+    key = 'token = "abcd1234abcd1234abcd"'
+    extra = spark.createDataFrame([(8, f"{key} x {key}"), (8, f"{key} x {key}"), (None, key)], "doc_id long, text string")
+    docs = awkward.unionByName(extra, allowMissingColumns=True)
+    out = S.redacted(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    texts = sorted(r["text"] for r in out.where("text like '%SECRET%'").collect())
+    assert texts == ['token = "[SECRET]"'] + ['token = "[SECRET]" x token = "[SECRET]"'] * 2
+    plain = awkward.select("text").collect()
+    kept = out.where("text is null or text not like '%SECRET%'").select("text").collect()
+    assert sorted(map(str, plain)) == sorted(map(str, kept))
+    assert S.secrets(docs).count() == 5
+    assert S.redacted(docs.limit(0)).collect() == [] and S.secrets(docs.limit(0)).collect() == []
