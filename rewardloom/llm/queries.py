@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +27,7 @@ def written_and_read(docs: DataFrame) -> DataFrame:
     """Writes the ids, looks every key up in the index and reads its ids back."""
     folder = scratch_table_path(docs.sparkSession, "token_files")
     files = token_files.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
-    dtype = files.dtype
-
-    @F.pandas_udf("long")
-    def crc32(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.frombuffer(x, dtype).astype("<u4").tobytes()) for x in ids], dtype="int64")
-
-    return files.payloads(files.keys).select("doc_id", "start", "n_tokens", crc32("ids").alias("ids_crc32"))
+    return files.payloads(files.keys, wide=True).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

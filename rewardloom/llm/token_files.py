@@ -49,7 +49,7 @@ BUCKET = 4096
 #: Texts encoded at once, and words in one call of the tokenizer.
 TEXTS, WORDS = 1024, 1024
 #: Words whose ids a worker keeps.
-MEMO = 500_000
+MEMO = 400_000
 #: Bytes of ids read before they are passed on.
 BUFFER = 8 << 20
 
@@ -199,9 +199,12 @@ class TokenFiles:
         asked = asked.withColumn("bucket", F.pmod("h1", F.lit(self.n_buckets)))
         return asked.groupBy("bucket").cogroup(self.index.groupBy("bucket")).applyInArrow(find, _FOUND)
 
-    def payloads(self, keys: DataFrame) -> DataFrame:
-        """(doc_id, copy, start, n_tokens, ids): the ids of the given keys, as stored."""
-        folder, width = self.folder, np.dtype(self.dtype).itemsize
+    def payloads(self, keys: DataFrame, wide: bool = False) -> DataFrame:
+        """(doc_id, copy, start, n_tokens, ids): the ids of the given keys, as stored.
+
+        :param wide: give every id 4 bytes.
+        """
+        folder, dtype, width = self.folder, self.dtype, np.dtype(self.dtype).itemsize
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             system, root = store(folder)
@@ -216,7 +219,8 @@ class TokenFiles:
                             if file is not None:
                                 file.close()
                             opened, file = shard[k], system.open_input_file(f"{root}/{_shard_name(shard[k])}")
-                        held.append(file.read_at(n[k] * width, offset[k] * width))
+                        stored = file.read_at(n[k] * width, offset[k] * width)
+                        held.append(np.frombuffer(stored, dtype).astype("<u4").tobytes() if wide else stored)
                         size += len(held[-1])
                         if size >= BUFFER or k + 1 == batch.num_rows:
                             rows = batch.slice(done, k + 1 - done)
