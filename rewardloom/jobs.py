@@ -58,7 +58,7 @@ def preferences_job(spark: SparkSession, rollouts_path: str, out_dir: str, cfg:
     IO.write_json_document(
         spark, {"input_rollouts": rollouts_path, "config": dataclasses.asdict(cfg), "stats": stats}, f"{out_dir}/run_meta"
     )
-    return spark.read.json(f"{out_dir}/preferences")
+    return spark.read.schema(res.ordered_pairs.schema).json(f"{out_dir}/preferences")
 
 
 def _gold_and_candidate_queries(examples: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -77,6 +77,7 @@ def rollouts_job(
     reward_cfg: RewardConfig = RewardConfig(),
     guard_cfg: GuardConfig = GuardConfig(),
     keep_empty_gold: bool = False,
+    max_examples: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Examples ``(question, sql, db_id, schema, ord)`` + generations
     ``(ord, candidate_id, text)`` -> rollouts + stats.
@@ -84,11 +85,11 @@ def rollouts_job(
     Example ids come from the position before filtering (P4); examples with
     an empty field are skipped (P2); the gold query must run and (unless
     ``keep_empty_gold``) return rows (P7); each distinct query runs once."""
-    ex = examples.withColumn("id", example_id(split, "ord"))
+    ex = IO.first_n(examples, max_examples).withColumn("id", example_id(split, "ord"))
     ex, _ = require_fields(ex, ["question", "schema", "sql", "db_id"])
     ex = ex.withColumn("prompt", TX.chatml_prompt("schema", "question"))
     cands = generations.join(ex.select("ord", "id", "db_id", "prompt", F.col("sql").alias("gold_sql")), "ord").withColumn(
-        "candidate_sql", TX.extract_sql("text")
+        "candidate_sql", F.coalesce(TX.extract_sql("text"), F.lit(""))
     )
     runner = QueryRunner(spark, catalog, guard_cfg, out_dir=f"{out_dir}/runs")
     run = runner.run(_gold_and_candidate_queries(ex, cands))
@@ -121,26 +122,24 @@ def evaluate_job(
     base_label: str | None = None,
     reward_cfg: RewardConfig = RewardConfig(),
     guard_cfg: GuardConfig = GuardConfig(),
+    max_examples: int | None = None,
 ) -> DataFrame:
     """Examples ``(ord, question, sql, db_id)`` + predictions ``(label,
     ord, text)`` -> per-example eval rows (D11), metrics per label, deltas vs
     ``base_label`` and a summary document. All models in one job."""
-    ex, _ = require_fields(examples, ["question", "sql", "db_id"])
+    ex, _ = require_fields(IO.first_n(examples, max_examples), ["question", "sql", "db_id"])
     preds = predictions.join(ex.select("ord", "question", "db_id", F.col("sql").alias("gold_sql")), "ord").withColumn(
-        "candidate_sql", TX.extract_sql("text")
+        "candidate_sql", F.coalesce(TX.extract_sql("text"), F.lit(""))
     )
     pairs = preds.withColumn("pair_id", F.concat_ws("#", F.col("label"), F.col("ord").cast("string")))
     scored, _ = score_sql_pairs(spark, pairs, catalog, reward_cfg, guard_cfg, strict_gold=False, out_dir=f"{out_dir}/runs")
     rows = EV.eval_rows(scored.withColumnRenamed("candidate_sql", "predicted_sql"), F.col("label")).withColumnRenamed(
         "ord", "example_idx"
     )
-    IO.write_jsonl(
-        rows.select("label", "example_idx", "question", "db_id", "gold_sql", "predicted_sql", "matched", "reward",
-                    "reason", "error_type", "difficulty", "gold_failed"),
-        f"{out_dir}/eval_results",
-        order_by=["label", "example_idx"],
-    )
-    results = spark.read.json(f"{out_dir}/eval_results")
+    rows = rows.select("label", "example_idx", "question", "db_id", "gold_sql", "predicted_sql", "matched", "reward",
+                       "reason", "error_type", "difficulty", "gold_failed")
+    IO.write_jsonl(rows, f"{out_dir}/eval_results", order_by=["label", "example_idx"])
+    results = spark.read.schema(rows.schema).json(f"{out_dir}/eval_results")
     EV.metrics_summary(results).coalesce(1).write.mode("overwrite").json(f"{out_dir}/metrics")
     if base_label is not None:
         EV.comparison_summary(results, base_label).coalesce(1).write.mode("overwrite").json(f"{out_dir}/comparison")

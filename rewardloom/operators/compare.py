@@ -30,6 +30,8 @@ def cell_text(col: Column, dtype: T.DataType, float_digits: int | None = None) -
 
     Booleans become 1/0 (integers in SQLite), floats and decimals go through
     double (optionally rounded), integers stay integers, binary becomes hex.
+    A decimal of more than 15 significant digits keeps its exact digits
+    without trailing zeros, since a double would merge neighbours.
     """
     if isinstance(dtype, T.BooleanType):
         txt = col.cast("int").cast("string")
@@ -38,6 +40,11 @@ def cell_text(col: Column, dtype: T.DataType, float_digits: int | None = None) -
         if float_digits is not None:
             d = F.round(d, float_digits)
         txt = d.cast("string")
+        if isinstance(dtype, T.DecimalType) and dtype.precision > 15:
+            exact = col.cast("string")
+            exact = F.when(exact.contains("."), F.regexp_replace(exact, r"\.?0+$", "")).otherwise(exact)
+            digits = F.regexp_replace(F.regexp_replace(exact, r"[-.]", ""), "^0+", "")
+            txt = F.when(F.length(digits) > 15, exact).otherwise(txt)
     elif isinstance(dtype, T.BinaryType):
         txt = F.hex(col)
     elif isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
@@ -48,14 +55,24 @@ def cell_text(col: Column, dtype: T.DataType, float_digits: int | None = None) -
 
 
 def normalize_rows(df: DataFrame, columns: Sequence[str] | None = None, float_digits: int | None = None) -> Column:
-    """A2: the row as ``array<string>`` in column order."""
+    """A2: the row as ``array<string>`` in column order, for columns of distinct names."""
     names = list(columns) if columns is not None else df.columns
     types = dict((f.name, f.dataType) for f in df.schema.fields)
-    return F.array(*[cell_text(F.col(f"`{n}`"), types[n], float_digits) for n in names])
+    return F.array(*[cell_text(F.col(_quoted(n)), types[n], float_digits) for n in names])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def result_rows(df: DataFrame, query_key, columns: Sequence[str] | None = None, float_digits: int | None = None) -> DataFrame:
-    """A query's result DataFrame -> ``(query_key, cells)`` rows."""
+    """A query's result DataFrame -> ``(query_key, cells)`` rows.
+
+    Without ``columns`` or a key column, cells are taken by position, so that
+    result columns may share a name or have any name."""
+    if columns is None and not isinstance(query_key, Column):
+        cells = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+        return cells.select(F.lit(query_key).alias("query_key"), normalize_rows(cells, None, float_digits).alias("cells"))
     key = query_key if isinstance(query_key, Column) else F.lit(query_key)
     return df.select(key.alias("query_key"), normalize_rows(df, columns, float_digits).alias("cells"))
 

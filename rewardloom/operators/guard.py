@@ -2,9 +2,10 @@
 A9, S5, X6, X10).
 
 Every distinct ``(db_id, sql)`` is validated (X6 plus Spark-only rules), then
-run as its own Spark job in a child session that sees only that database's
-views, with reserved keywords enforced and SQL-on-files disabled. A timer
-cancels the job group when the timeout passes. Result rows are normalized to
+run as its own Spark job in a child session that holds that database's
+views, with reserved keywords enforced and SQL-on-files disabled; a query that
+names any other table is a runtime error. Once the timeout passes, the job
+group is cancelled until the query ends. Result rows are normalized to
 text cells (A2) and written straight from the executors into a per-query
 folder under an output directory; nothing but the distinct query texts and
 one status tuple per query passes through the driver. The number of distinct
@@ -14,6 +15,7 @@ queries is the benchmark's size, independent of the data volume.
 from __future__ import annotations
 
 import dataclasses
+import re
 import threading
 import time
 import uuid
@@ -31,6 +33,8 @@ from rewardloom.session import scratch_table_path
 # Spark features that would let a SELECT start a process or
 # call arbitrary JVM methods; rejected in addition to the X6 rules.
 SPARK_FORBIDDEN = ("transform", "reflect", "java_method", "try_reflect")
+#: Seconds between attempts to cancel a query over its time.
+CANCEL_EVERY_S = 0.1
 MISSING_DB = "Database not found"
 
 RUN_SCHEMA = T.StructType(
@@ -53,7 +57,7 @@ class GuardConfig:
     timeout_s: float = 60.0  # well above Spark's per-job latency
     max_rows: int | None = None  # None: full results (default); else K2 cap
     max_workers: int = 4
-    float_digits: int | None = None
+    float_digits: int | None = 10  # double sums may differ in their last digits
 
     def __post_init__(self) -> None:
         if self.timeout_s <= 0:
@@ -130,7 +134,7 @@ def _classify(exc: BaseException, cancelled: bool) -> tuple[str, str]:
         return "timeout", msg
     if isinstance(exc, ParseException):
         return "syntax_error", msg
-    if isinstance(exc, AnalysisException):
+    if isinstance(exc, (AnalysisException, ForeignRelation)):
         return "runtime_error", msg
     name = type(exc).__name__
     if name in ("Py4JJavaError", "SparkRuntimeException", "ArithmeticException", "NumberFormatException",
@@ -148,19 +152,20 @@ class QueryRunner:
         self.catalog = catalog
         self.cfg = cfg
         self.out_dir = out_dir or scratch_table_path(spark, "guarded-runs")
-        self._children: dict[str, tuple[SparkSession, list[str]]] = {}
+        self._children: dict[str, tuple[SparkSession, list[str], frozenset[str]]] = {}
         self._lock = threading.Lock()
 
     def _child(self, db_id: str) -> SparkSession:
         """One child session per database for the duration of a run."""
         with self._lock:
             if db_id not in self._children:
-                self._children[db_id] = child_session(self.spark, self.catalog(db_id))
+                found = self.catalog(db_id)
+                self._children[db_id] = (*child_session(self.spark, found), frozenset(n.lower() for n in found))
             return self._children[db_id][0]
 
     def _release(self) -> None:
         with self._lock:
-            for _, shared in self._children.values():
+            for _, shared, _ in self._children.values():
                 for name in shared:
                     self.spark.catalog.dropGlobalTempView(name)
             self._children.clear()
@@ -169,6 +174,7 @@ class QueryRunner:
         start = time.monotonic()
         try:
             child = self._child(db_id)
+            views = self._children[db_id][2]
         except FileNotFoundError as exc:
             msg = str(exc)
             if not msg.startswith(MISSING_DB):
@@ -176,18 +182,22 @@ class QueryRunner:
             return (key, False, "unknown_error", msg, 0, False, 0)
         sc = self.spark.sparkContext
         group = f"rewardloom-{uuid.uuid4().hex}"
-        cancelled = threading.Event()
+        cancelled, over = threading.Event(), threading.Event()
 
-        def cancel() -> None:
-            cancelled.set()
-            sc.cancelJobGroup(group)
+        def watch() -> None:
+            # Cancelling reaches the jobs active at that moment only, so it is repeated until the query ends.
+            if not over.wait(self.cfg.timeout_s):
+                cancelled.set()
+                while not over.wait(CANCEL_EVERY_S):
+                    sc.cancelJobGroup(group)
 
-        timer = threading.Timer(self.cfg.timeout_s, cancel)
+        watcher = threading.Thread(target=watch, daemon=True)
         try:
             sc.setJobGroup(group, f"guarded query {key[:12]}", interruptOnCancel=True)
-            timer.start()
+            watcher.start()
+            reject_foreign_relations(child, sql, views)
             df = child.sql(sql)
-            rows = result_rows(df, F.lit(key), float_digits=self.cfg.float_digits).drop("query_key")
+            rows = result_rows(df, key, float_digits=self.cfg.float_digits).drop("query_key")
             if self.cfg.max_rows is not None:
                 # K2: a deterministic cap (sorted cells) keeping one extra row
                 # to detect truncation; at most max_rows + 1 rows are ranked.
@@ -203,12 +213,14 @@ class QueryRunner:
             if truncated:
                 n = self.cfg.max_rows
             elapsed = int((time.monotonic() - start) * 1000)
+            if cancelled.is_set():
+                return (key, False, "timeout", f"query ran beyond {self.cfg.timeout_s} s", 0, False, elapsed)
             return (key, True, "ok", "", int(n), bool(truncated), elapsed)
         except Exception as exc:  # noqa: BLE001
             etype, msg = _classify(exc, cancelled.is_set())
-            return (key, False, etype, msg[:2000], 0, False, int((time.monotonic() - start) * 1000))
+            return (key, False, etype, msg, 0, False, int((time.monotonic() - start) * 1000))
         finally:
-            timer.cancel()
+            over.set()
             sc.setLocalProperty("spark.jobGroup.id", None)
 
     def run(self, queries: DataFrame) -> RunResult:
@@ -257,8 +269,9 @@ class QueryRunner:
 
 
 def child_session(spark: SparkSession, views: Mapping[str, DataFrame]) -> tuple[SparkSession, list[str]]:
-    """A child session that sees exactly ``views`` (by their bare names), with
-    reserved keywords enforced and SQL on files disabled. The views are
+    """A child session with ``views`` under their bare names, reserved
+    keywords enforced and SQL on files disabled. It still sees the shared
+    catalog; ``reject_foreign_relations`` keeps queries to the views. The views are
     handed over through uniquely named global temp views; the caller drops
     the returned names when done."""
     child = spark.newSession()
@@ -274,6 +287,27 @@ def child_session(spark: SparkSession, views: Mapping[str, DataFrame]) -> tuple[
     return child, shared
 
 
+def reject_foreign_relations(child: SparkSession, sql: str, views) -> None:
+    """Raises if ``sql`` names a relation that is none of ``views`` and no name
+    that the query itself defines.
+
+    Relations are read from the parsed plan's text, subqueries included. A name
+    defined by the query is accepted only if the catalog has no table of it, for
+    its own definition could read that table."""
+    known = {v.lower() for v in views}
+    plan = child._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()  # noqa: SLF001
+    own = {n.strip().lower() for names in re.findall(r"CTE \[([^\]]*)\]", plan) for n in names.split(",")}
+    for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan):
+        plain = name.strip().lower()
+        if plain in known or (plain in own and not child.catalog.tableExists(plain)):
+            continue
+        raise ForeignRelation(f"Table not found in this database: {name}")
+
+
+class ForeignRelation(Exception):
+    """A query names a table outside its database."""
+
+
 def guarded_sql(
     spark: SparkSession, views: Mapping[str, DataFrame] | None, sql: str, child: SparkSession | None = None
 ) -> DataFrame:
@@ -286,4 +320,6 @@ def guarded_sql(
         raise PermissionError(reason)
     if child is None:
         child, _ = child_session(spark, views or {})
+    if views is not None:
+        reject_foreign_relations(child, sql, views)
     return child.sql(sql)

@@ -18,8 +18,9 @@ prefix. So each group needs only:
 
 1. one aggregate (chosen row as ``max(struct)``, counts, "any eligible row
    matched"), which Spark combines map-side, and
-2. the k+1 worst eligible rows, via ``row_number() <= k+1``, which Spark
-   limits per map task *before* the shuffle (partial WindowGroupLimit).
+2. for k > 1, the k+1 worst eligible rows: positions come from one global
+   ranking of the rows' rank fields (range-partitioned, so that a hot group is
+   spread over many tasks); their texts are attached once the k+1 are known.
 
 Neither step ever moves a whole group into one task, so a group holding a
 third of all rows costs the same as any other. The two group-level results
@@ -30,17 +31,13 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rewardloom.functions import text as T
 from rewardloom.operators.ordinal import with_global_rank
 
 KEY = ["id", "db_id", "prompt"]
-# From this many pairs per example on, walk positions come from a global
-# ranking (range-partitioned, so a hot group is spread over many tasks)
-# instead of the per-task window limit, whose per-task output grows with k.
-RANKED_WALK_MIN_K = 64
 
 # Skip-reason names and the stats counters' names.
 SKIP_REASONS = ("small_group", "no_valid", "chosen_not_matched", "gap")
@@ -76,7 +73,7 @@ class PreferenceConfig:
 
 @dataclasses.dataclass
 class PreferenceResult:
-    """Lazily planned outputs; they share their scans and aggregates."""
+    """Lazily planned outputs. Each is computed on its own when an action runs."""
 
     pairs: DataFrame  # P9 rows: id, db_id, prompt, chosen, rejected, meta
     ordered_pairs: DataFrame  # pairs + (group_ord, pair_idx) for ordered sinks
@@ -133,14 +130,17 @@ def _walk_positions_ranked(rows: DataFrame, k: int) -> DataFrame:
         F.col("reward").asc(), F.col("exec_ok").asc(), F.col("valid").asc(),
         F.col("candidate_id").desc(), F.col("ord").desc(),
     ]
-    ranked = with_global_rank(rows.filter(F.col("_elig") & _key_ok()), walk_order, name="_grank")
+    narrow = rows.filter(F.col("_elig") & _key_ok()).select(*KEY, "reward", "exec_ok", "valid", "candidate_id", "ord")
+    ranked = with_global_rank(narrow, walk_order, name="_grank")
     starts = ranked.groupBy(*KEY).agg(F.min("_grank").alias("_start"))
-    return (
+    worst = (
         ranked.join(starts, KEY)
         .withColumn("pair_idx", F.col("_grank") - F.col("_start") + 1)
         .filter(F.col("pair_idx") <= k + 1)
         .drop("_grank", "_start")
     )
+    # ``ord`` identifies a row.
+    return worst.join(rows.select("ord", "candidate_sql", "error_type"), "ord")
 
 
 def build_preferences(rollouts: DataFrame, cfg: PreferenceConfig = PreferenceConfig(), ord_col: str = "ord") -> PreferenceResult:
@@ -195,18 +195,7 @@ def build_preferences(rollouts: DataFrame, cfg: PreferenceConfig = PreferenceCon
         ).withColumn("reward_gap", F.col("chosen.reward") - F.col("reward"))
     else:
         # (2) The k+1 worst eligible rows per group, in walk order.
-        if k >= RANKED_WALK_MIN_K:
-            worst = _walk_positions_ranked(rows, k)
-        else:
-            walk = Window.partitionBy(*KEY).orderBy(
-                F.col("reward").asc(), F.col("exec_ok").asc(), F.col("valid").asc(),
-                F.col("candidate_id").desc(), F.col("ord").desc(),
-            )
-            worst = (
-                rows.filter(F.col("_elig") & _key_ok())
-                .withColumn("pair_idx", F.row_number().over(walk))
-                .filter(F.col("pair_idx") <= k + 1)
-            )
+        worst = _walk_positions_ranked(rows, k)
         cand = (
             worst.join(pairable.select(*KEY, "chosen", "group_ord"), KEY)
             # The chosen row is the last of the walk: dropping it leaves rows 1..k.
@@ -221,13 +210,10 @@ def build_preferences(rollouts: DataFrame, cfg: PreferenceConfig = PreferenceCon
         # A zero gap is emitted unless some row before it stopped the walk;
         # such a row has 0 < gap < min and lies in the same prefix.
         blocking = (gap > 0) & (gap < F.lit(m))
-        if k >= RANKED_WALK_MIN_K:
-            # Up to k rows per group here: mark blocked groups by a distinct
-            # set of keys (map-side combined) rather than a group window.
-            blocked_keys = cand.filter(blocking).select(*KEY).distinct().withColumn("_blocked", F.lit(True))
-            cand = cand.join(blocked_keys, KEY, "left").withColumn("_blocked", F.coalesce("_blocked", F.lit(False)))
-        else:
-            cand = cand.withColumn("_blocked", F.max(blocking.cast("int")).over(Window.partitionBy(*KEY)) > 0)
+        # Up to k rows per group here: mark blocked groups by a distinct
+        # set of keys (map-side combined) rather than a group window.
+        blocked_keys = cand.filter(blocking).select(*KEY).distinct().withColumn("_blocked", F.lit(True))
+        cand = cand.join(blocked_keys, KEY, "left").withColumn("_blocked", F.coalesce("_blocked", F.lit(False)))
         emitted = (gap >= F.lit(m)) | ((gap == 0) & ~F.col("_blocked"))
     else:
         emitted = (gap >= F.lit(m)) & (gap > 0)

@@ -26,6 +26,8 @@ from rewardloom.functions import text as T
 from rewardloom.operators.ordinal import with_global_rank
 
 PAD_ID = 0
+#: Id of a token that the vocabulary lacks, unless the caller names one; no vocabulary has it.
+UNKNOWN_ID = -1
 IGNORE_INDEX = -100
 _BLANKS = " " * len(T.WS)
 
@@ -63,12 +65,14 @@ def token_ids(
     vocabulary: DataFrame | None = None,
     tokenizer: Tokenizer | None = None,
     suffix: str = "_ids",
+    unknown_id: int = UNKNOWN_ID,
 ) -> DataFrame:
     """Adds ``{col}{suffix}`` = array<int> for each text column.
 
     With ``tokenizer`` the function is applied column-wise (U1). Otherwise
     ids come from ``vocabulary`` (built from these columns when omitted);
-    tokens missing from it are dropped. ``key`` must identify rows."""
+    a token missing from it becomes ``unknown_id``, so positions and lengths
+    hold. ``key`` must identify rows."""
     if tokenizer is not None:
         out = df
         for c in cols:
@@ -77,7 +81,9 @@ def token_ids(
     vocab = vocabulary if vocabulary is not None else build_vocabulary(df, cols)
     tagged = [F.transform(whitespace_tokens(c), _tag(f)) for f, c in enumerate(cols)]
     occ = df.select(key, F.explode(F.concat(*tagged)).alias("o")).select(key, "o.f", "o.pos", "o.token")
-    ided = occ.join(vocab.select("token", F.col("id").alias("_vid")), "token")
+    ided = occ.join(vocab.select("token", F.col("id").alias("_vid")), "token", "left").withColumn(
+        "_vid", F.coalesce("_vid", F.lit(unknown_id))
+    )
     back = ided.groupBy(key).agg(
         *[
             F.array_sort(F.collect_list(F.when(F.col("f") == f, F.struct("pos", "_vid")))).alias(f"_s{f}")

@@ -500,18 +500,25 @@ def sql_schema_text() -> str:
       SELECT db_id, string_agg(block, {nl} || {nl} ORDER BY table_name) AS schema FROM blocks GROUP BY db_id)"""
 
 
-def examples_from_conversations(conversations: DataFrame) -> DataFrame:
+def examples_from_conversations(conversations: DataFrame, part: DataFrame) -> DataFrame:
     """Examples (D2 without schema): a user turn is the question and the
-    assistant turn right after it the target text."""
+    assistant turn right after it the target text. A conversation belongs to
+    the database of part ``conv_id * 37 % (largest part key) + 1``, so that
+    conversations reach the databases of all key blocks."""
     c = conversations.select("conv_id", "turn", "role", "text")
     u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
     a = c.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("sql")
     )
-    return u.join(a, ["conv_id", "turn"]).select(
+    top = part.agg(F.max("p_partkey")).first()[0] or 1
+    homes = part.select(
+        F.col("p_partkey").alias("_part"),
+        F.concat("p_brand", F.lit("/"), F.floor(F.col("p_partkey") / 200).cast("string")).alias("db_id"),
+    )
+    both = u.join(a, ["conv_id", "turn"]).withColumn("_part", F.col("conv_id") * 37 % F.lit(top) + 1)
+    return both.join(homes, "_part").select(
         F.concat(F.lit("c"), F.lpad(F.col("conv_id").cast("string"), 6, "0"), F.lit("-"), F.col("turn").cast("string")).alias("id"),
-        "question", "sql",
-        F.concat(F.lit("Brand#"), (F.col("conv_id") % 25 + 1).cast("string"), F.lit("/0")).alias("db_id"),
+        "question", "sql", "db_id",
         (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"),
     )
 
@@ -519,10 +526,11 @@ def examples_from_conversations(conversations: DataFrame) -> DataFrame:
 def sql_examples() -> str:
     return """(SELECT 'c' || lpad(CAST(u.conv_id AS VARCHAR), 6, '0') || '-' || CAST(u.turn AS VARCHAR) AS id,
           u.text AS question, a.text AS sql,
-          'Brand#' || CAST(u.conv_id % 25 + 1 AS VARCHAR) || '/0' AS db_id,
+          h.p_brand || '/' || CAST(h.p_partkey // 200 AS VARCHAR) AS db_id,
           u.conv_id * 1000 + u.turn AS ord
         FROM conversations u JOIN conversations a
           ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+        JOIN part h ON h.p_partkey = u.conv_id * 37 % (SELECT max(p_partkey) FROM part) + 1
         WHERE u.role = 'user')"""
 
 

@@ -15,7 +15,7 @@ from rewardloom.sources import io as IO
 LOAD_CAP = 2000
 
 
-def _written_pairs(spark: SparkSession, sf_dir: str) -> str:
+def written_pairs(spark: SparkSession, sf_dir: str) -> str:
     from rewardloom.plans.registry import PREF_TIES, _rollouts
 
     res = build_preferences(_rollouts(spark, sf_dir, True), PREF_TIES)
@@ -29,15 +29,25 @@ def _written_pairs(spark: SparkSession, sf_dir: str) -> str:
 
 
 def preference_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, _ = IO.load_preferences(spark, _written_pairs(spark, sf_dir), max_examples=LOAD_CAP)
+    kept, _ = IO.load_preferences(spark, written_pairs(spark, sf_dir))
+    return kept
+
+
+def preference_file_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loader's ``max_examples``."""
+    kept, _ = IO.load_preferences(spark, written_pairs(spark, sf_dir), max_examples=LOAD_CAP)
     return kept
 
 
 def queries() -> dict:
-    return {"preference_file_rows": preference_file_rows}
+    return {"preference_file_rows": preference_file_rows, "preference_file_first": preference_file_first}
 
 
 def oracle_sql() -> dict:
     from rewardloom.plans.registry import PREF_TIES
 
-    return {"preference_file_rows": O.preference_file_rows(B.sql_rollouts_from_events(by_day=True), PREF_TIES, LOAD_CAP)}
+    rollouts = B.sql_rollouts_from_events(by_day=True)
+    return {
+        "preference_file_rows": O.preference_file_rows(rollouts, PREF_TIES, None),
+        "preference_file_first": O.preference_file_rows(rollouts, PREF_TIES, LOAD_CAP),
+    }

@@ -112,7 +112,7 @@ def preference_stats(rollouts_sql: str, cfg: PreferenceConfig) -> str:
     FROM o"""
 
 
-def preference_file_rows(rollouts_sql: str, cfg: PreferenceConfig, max_examples: int) -> str:
+def preference_file_rows(rollouts_sql: str, cfg: PreferenceConfig, max_examples: int | None) -> str:
     """Pairs in file order (groups by id then first appearance, pairs in walk
     order), first ``max_examples`` records, fields trimmed, incomplete dropped."""
     trimmed = ", ".join(f"trim(coalesce({c}, ''), {WS}) AS {c}" for c in ("prompt", "chosen", "rejected"))
@@ -122,5 +122,5 @@ def preference_file_rows(rollouts_sql: str, cfg: PreferenceConfig, max_examples:
              {sql_ensure_im_end('p.candidate_sql')} AS rejected,
              row_number() OVER (ORDER BY p.id, g.gord, p.rk DESC) - 1 AS ord
       FROM p JOIN g ON g.id = p.id AND g.db_id = p.db_id AND g.prompt = p.prompt),
-    capped AS (SELECT CAST(ord AS BIGINT) AS ord, {trimmed} FROM out WHERE ord < {int(max_examples)})
+    capped AS (SELECT CAST(ord AS BIGINT) AS ord, {trimmed} FROM out{'' if max_examples is None else f' WHERE ord < {int(max_examples)}'})
     SELECT * FROM capped WHERE prompt <> '' AND chosen <> '' AND rejected <> ''"""

@@ -28,7 +28,7 @@ def schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sft_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ex = B.examples_from_conversations(B.table(spark, sf_dir, "conversations"))
+    ex = B.examples_from_conversations(B.table(spark, sf_dir, "conversations"), B.table(spark, sf_dir, "part"))
     kept, _ = SC.require_fields(ex, ["question", "sql", "db_id"])
     with_schema = SC.attach_schemas(kept, schemas(spark, sf_dir), on_missing="raise")
     kept2, _ = SC.require_fields(with_schema, ["schema"])
@@ -109,12 +109,11 @@ def token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preference_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S6/A7 on the pairs table: trim the three fields, drop incomplete rows."""
-    from rewardloom.plans.registry import PREF_TIES, _rollouts
+    """The loader's counts on the written pairs."""
+    from rewardloom.plans.file_queries import written_pairs
+    from rewardloom.sources.io import load_preferences
 
-    pairs = build_preferences(_rollouts(spark, sf_dir, True), PREF_TIES).pairs
-    trimmed = pairs.select(*[T.strip_ws(c).alias(c) for c in ("prompt", "chosen", "rejected")])
-    _, counts = SC.require_fields(trimmed, ["prompt", "chosen", "rejected"], trim=False)
+    _, counts = load_preferences(spark, written_pairs(spark, sf_dir))
     return counts.select(*[F.col(c).cast("long") for c in counts.columns])
 
 

@@ -1,9 +1,9 @@
 """Readers and writers.
 
-JSONL is read as text so that every line keeps its line number: the line's
-position is ranked globally from (file, block start, position in the block)
-without a single-partition window (``operators.ordinal``). Blank lines are
-skipped; a malformed line fails the read with its line number (FAILFAST) or
+JSONL is read as text so that every line keeps its line number: lines are
+numbered within their split (file, block start), and a count of each split's
+lines gives where it begins; no text moves. Blank lines are skipped; a malformed
+or mistyped line fails the read with its line number (FAILFAST) or
 comes back in ``_corrupt_record`` (PERMISSIVE). ``with_line_numbers=False``
 uses Spark's JSON reader directly (no ordinals, no line numbers).
 """
@@ -14,7 +14,7 @@ import json
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,14 +25,16 @@ from rewardloom.operators.schema_text import require_fields
 ORD = "ord"
 
 
-def _ordered_lines(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).select(
-        F.col("value").alias("_line"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_mid"),
-    )
-    return with_global_rank(lines, ["_file", "_block", "_mid"], name="line_no").drop("_file", "_block", "_mid")
+_SPLIT = ["_file", "_block"]
+
+
+def _first_of_splits(rows: DataFrame, mid: str, name: str) -> DataFrame:
+    """(file, block, first id of the split, rows of all splits before it).
+
+    One row a split of the input, of which the driver already holds the list."""
+    sizes = rows.groupBy(*_SPLIT).agg(F.min(mid).alias(f"_{name}_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(*_SPLIT).rowsBetween(Window.unboundedPreceding, -1))
+    return sizes.withColumn(f"_{name}_before", F.coalesce(before, F.lit(0))).drop("_n")
 
 
 def read_jsonl(
@@ -43,35 +45,46 @@ def read_jsonl(
     with_line_numbers: bool = True,
 ) -> DataFrame:
     """JSONL with an explicit schema. Adds ``ord`` (0-based record
-    position, blank lines not counted) and ``line_no`` (1-based file line)."""
+    position, blank lines not counted) and ``line_no`` (1-based file line).
+
+    A line is bad if it isn't one JSON object or a value doesn't have its
+    field's type."""
     if not with_line_numbers:
         return spark.read.schema(schema).option("mode", mode).json(path)
-    lines = _ordered_lines(spark, path)
-    blank = strip_ws("_line") == ""
-    flagged = lines.withColumn("_blank", blank).withColumn(
-        "_ok", F.col("_blank") | F.try_parse_json("_line").isNotNull()
+    lines = spark.read.text(path).select(
+        F.col("value").alias("_line"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line_id"),
+    )
+    # Ids number a task's rows in order, so a row's place in its split is its id less the split's first.
+    records = lines.filter(strip_ws("_line") != "").withColumn("_record_id", F.monotonically_increasing_id())
+    starts = _first_of_splits(lines, "_line_id", "line").join(_first_of_splits(records, "_record_id", "record"), _SPLIT)
+    parsed = F.from_json(
+        "_line", T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())]),
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
     )
-    # One small job over the ranked lines: first malformed line, blank count.
-    summary = flagged.agg(
-        F.min(F.when(~F.col("_ok"), F.col("line_no"))).alias("first_bad"),
-        F.count_if("_blank").alias("n_blank"),
-    ).first()
-    if mode.upper() == "FAILFAST" and summary.first_bad is not None:
-        raise ValueError(f"Invalid JSON at line {summary.first_bad}")
-    records = flagged.filter(~F.col("_blank")).select(
-        F.from_json("_line", schema).alias("_r"),
-        "line_no",
-        F.when(~F.col("_ok"), F.col("_line")).alias("_corrupt_record"),
-    ).select("_r.*", "line_no", "_corrupt_record")
-    if summary.n_blank == 0:
-        # No blank lines: the record position is the line position.
-        ranked = records.withColumn(ORD, F.col("line_no") - 1)
-    else:
-        # Record position among non-blank lines, ranked again (distributed).
-        ranked = with_global_rank(records, ["line_no"], name=ORD).withColumn(ORD, F.col(ORD) - 1)
+    placed = (
+        records.join(F.broadcast(starts), _SPLIT)  # a row a split
+        .withColumn("line_no", F.col("_line_before") + F.col("_line_id") - F.col("_line_first") + 1)
+        .withColumn(ORD, F.col("_record_before") + F.col("_record_id") - F.col("_record_first"))
+        .withColumn("_r", parsed)
+    )
+    # Anything but an object parses to nothing.
+    bad = F.col("_r").isNull() | F.col("_r._corrupt_record").isNotNull() | ~F.substring(strip_ws("_line"), 1, 1).eqNullSafe("{")
     if mode.upper() == "FAILFAST":
-        ranked = ranked.drop("_corrupt_record")
-    return ranked
+        first = placed.agg(F.min(F.when(bad, F.col("line_no")))).first()[0]
+        if first is not None:
+            raise ValueError(f"Invalid JSON at line {first}")
+        return placed.select(*[F.col(f"_r.{_quoted(f.name)}").alias(f.name) for f in schema.fields], "line_no", ORD)
+    return placed.select(
+        *[F.when(~bad, F.col(f"_r.{_quoted(f.name)}")).alias(f.name) for f in schema.fields],
+        "line_no", F.when(bad, F.col("_line")).alias("_corrupt_record"), ORD,
+    )
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

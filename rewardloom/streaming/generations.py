@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rewardloom.functions import text as TX
-from rewardloom.session import checkpoint_dir
 
 GENERATION_SCHEMA = T.StructType(
     [
@@ -50,7 +49,8 @@ def start(
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .json(source_dir)
     )
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/generations-stream"
+    # Beside the sink's files, where a restart finds it again; readers pass over names that begin with "_".
+    ckpt = checkpoint or f"{sink_dir.rstrip('/')}/_generations_checkpoint"
     writer = (
         checked_generations(src)
         .withColumn("checked_at", F.current_timestamp())

@@ -1,13 +1,14 @@
-"""Fixtures and randomized loop-vs-plan agreement."""
+"""Fixtures, properties and random rollouts against the DuckDB statements."""
 
 from __future__ import annotations
 
 import random
-from collections import defaultdict
 
+import duckdb
 import pytest
 
-from rewardloom.operators.preferences import STATS_COLUMNS, PreferenceConfig, build_preferences, flatten_pairs
+from rewardloom.operators.preferences import PreferenceConfig, build_preferences, flatten_pairs
+from rewardloom.plans import oracle as O
 
 ROLLOUT_DDL = (
     "id string, db_id string, prompt string, candidate_id long, candidate_sql string, reward double, "
@@ -76,54 +77,35 @@ def test_invalid_options(kw):
         PreferenceConfig(**kw)
 
 
-# --- randomized: the loop as the reference describes it vs the Spark plan ---
-def loop_preferences(rows, cfg):
-    groups = defaultdict(list)
-    for r in rows:
-        if r["id"] and r["db_id"] and r["prompt"]:
-            groups[(r["id"], r["db_id"], r["prompt"])].append(r)
-    items = sorted(groups.items(), key=lambda kv: kv[0][0])
-    if cfg.max_examples is not None:
-        items = items[: cfg.max_examples]
-    stats = dict.fromkeys(STATS_COLUMNS, 0)
-    stats["rollouts_read"] = len(rows)
-    out = []
-
-    def ok(r):
-        return (not cfg.require_valid_sql or r["valid"]) and (not cfg.require_exec_ok or r["exec_ok"])
-
-    for key, rs in items:
-        stats["examples_seen"] += 1
-        if len(rs) < 2:
-            stats["examples_skipped_small_group"] += 1
-            continue
-        el = [r for r in rs if ok(r)]
-        pairs = []
-        if len(el) >= 2:
-            el_sorted = sorted(el, key=lambda r: (r["reward"], r["exec_ok"], r["valid"], -r["candidate_id"]), reverse=True)
-            chosen = el_sorted[0]
-            if not (cfg.require_chosen_matched and not chosen["matched"]):
-                for rej in reversed(el_sorted):
-                    if rej is chosen:
-                        continue
-                    gap = chosen["reward"] - rej["reward"]
-                    if gap < cfg.min_reward_gap and not (cfg.allow_ties and gap == 0):
-                        break
-                    if not cfg.allow_ties and gap <= 0:
-                        continue
-                    pairs.append((chosen["candidate_id"], rej["candidate_id"], gap))
-                    if len(pairs) >= cfg.max_pairs_per_example:
-                        break
-        if pairs:
-            out += [(key[0],) + p for p in pairs]
-            stats["preferences_written"] += len(pairs)
-        elif len(el) < 2:
-            stats["examples_skipped_no_valid"] += 1
-        elif cfg.require_chosen_matched and not any(r["matched"] for r in el):
-            stats["examples_skipped_chosen_not_matched"] += 1
-        else:
-            stats["examples_skipped_gap"] += 1
-    return sorted(out), stats
+# --- randomized: the DuckDB statement and stated properties -----------------
+def frame(rows):
+    return [(r["id"], r["db_id"], r["prompt"], r["candidate_id"], f"SELECT {r['candidate_id']}", r["reward"], r["valid"],
+             r["exec_ok"], r["matched"], "ok", r["ord"]) for r in rows]
+
+
+def check_against_sql(df, cfg):
+    """Pairs and counters equal the statement's; returns the pairs."""
+    res = build_preferences(df, cfg)
+    got, stats = flatten_pairs(res.pairs).toPandas(), _stats(res)
+    with duckdb.connect() as con:
+        con.register("rollouts", df.toPandas())
+        want = con.execute(O.preferences("rollouts", cfg)).df()
+        totals = con.execute(O.preference_stats("rollouts", cfg)).df().iloc[0].to_dict()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(map(tuple, got[columns].to_numpy().tolist())) == sorted(map(tuple, want[columns].to_numpy().tolist()))
+    assert stats == {k: int(v) for k, v in totals.items()}
+    return got, stats
+
+
+def check_properties(pairs, stats, rows, cfg):
+    assert len(pairs) == stats["preferences_written"]
+    skipped = sum(v for k, v in stats.items() if k.startswith("examples_skipped"))
+    per_group = pairs.groupby(["id", "db_id", "prompt"]).size()
+    assert stats["rollouts_read"] == len(rows) and stats["examples_seen"] == skipped + len(per_group)
+    assert (per_group <= cfg.max_pairs_per_example).all()
+    wide = (pairs["reward_gap"] >= cfg.min_reward_gap) & ((pairs["reward_gap"] > 0) | cfg.allow_ties)
+    assert (wide | (cfg.allow_ties & (pairs["reward_gap"] == 0))).all()
 
 
 def random_rollouts(seed, n_groups=60):
@@ -157,21 +139,11 @@ CONFIGS = [
 
 
 @pytest.mark.parametrize("ci", range(len(CONFIGS)))
-def test_plan_matches_loop(spark, ci):
+def test_random_rollouts(spark, ci):
     cfg = CONFIGS[ci]
     rows = random_rollouts(100 + ci)
-    df = spark.createDataFrame(
-        [(r["id"], r["db_id"], r["prompt"], r["candidate_id"], f"SELECT {r['candidate_id']}", r["reward"], r["valid"],
-          r["exec_ok"], r["matched"], "ok", r["ord"]) for r in rows],
-        ROLLOUT_DDL,
-    )
-    want_pairs, want_stats = loop_preferences(rows, cfg)
-    res = build_preferences(df, cfg)
-    got = sorted(
-        (r.id, r.chosen_candidate_id, r.rejected_candidate_id, r.reward_gap) for r in flatten_pairs(res.pairs).collect()
-    )
-    assert got == want_pairs
-    assert _stats(res) == want_stats
+    pairs, stats = check_against_sql(spark.createDataFrame(frame(rows), ROLLOUT_DDL), cfg)
+    check_properties(pairs, stats, rows, cfg)
 
 
 def _plan(df):
@@ -180,17 +152,17 @@ def _plan(df):
 
 def test_plans_never_move_a_whole_group(spark):
     """k = 1: one map-side-combined aggregate, one exchange, no window.
-    k > 1: the walk window is limited per map task before its exchange."""
+    k > 1: no window over a group either."""
     one = _plan(build_preferences(sample_rollouts(spark), PreferenceConfig()).pairs)
     assert one.count("Exchange") == 1 and "Window" not in one
     many = _plan(build_preferences(sample_rollouts(spark), PreferenceConfig(max_pairs_per_example=3)).pairs)
-    assert "WindowGroupLimit" in many and "Partial" in many
+    assert "windowspecdefinition(id#" not in many
 
 
 @pytest.mark.parametrize("cfg", [PreferenceConfig(require_chosen_matched=False),
                                  PreferenceConfig(allow_ties=True, max_pairs_per_example=3, min_reward_gap=0.2)])
 def test_hot_group_holding_a_third_of_rows(spark, cfg):
-    """One example group holds a third of all rollouts; results equal the loop."""
+    """One example group holds a third of all rollouts; results equal the statement."""
     rng = random.Random(11)
     rows = []
     for i in range(30000):
@@ -200,36 +172,16 @@ def test_hot_group_holding_a_third_of_rows(spark, cfg):
             "candidate_id": i, "reward": rng.choice([1.0, 0.9, 0.1, -0.2, -0.4, -1.0]),
             "valid": rng.random() < 0.9, "exec_ok": rng.random() < 0.7, "matched": rng.random() < 0.3, "ord": i,
         })
-    df = spark.createDataFrame(
-        [(r["id"], r["db_id"], r["prompt"], r["candidate_id"], f"SELECT {r['candidate_id']}", r["reward"], r["valid"],
-          r["exec_ok"], r["matched"], "ok", r["ord"]) for r in rows],
-        ROLLOUT_DDL,
-    ).repartition(8)
-    want_pairs, want_stats = loop_preferences(rows, cfg)
-    res = build_preferences(df, cfg)
-    got = sorted(
-        (r.id, r.chosen_candidate_id, r.rejected_candidate_id, r.reward_gap) for r in flatten_pairs(res.pairs).collect()
-    )
-    assert got == want_pairs and _stats(res) == want_stats
-
-
-@pytest.mark.parametrize("ci", [1, 2, 3, 4])
-def test_ranked_walk_matches_window_walk(spark, ci, monkeypatch):
-    """Large max_pairs uses global ranks; force that path on small k."""
-    import rewardloom.operators.preferences as P
-
-    monkeypatch.setattr(P, "RANKED_WALK_MIN_K", 2)
-    cfg = CONFIGS[ci]
-    rows = random_rollouts(300 + ci)
-    df = spark.createDataFrame(
-        [(r["id"], r["db_id"], r["prompt"], r["candidate_id"], f"SELECT {r['candidate_id']}", r["reward"], r["valid"],
-          r["exec_ok"], r["matched"], "ok", r["ord"]) for r in rows],
-        ROLLOUT_DDL,
-    )
-    want_pairs, want_stats = loop_preferences(rows, cfg)
-    res = build_preferences(df, cfg)
-    got = sorted(
-        (r.id, r.chosen_candidate_id, r.rejected_candidate_id, r.reward_gap) for r in flatten_pairs(res.pairs).collect()
-    )
-    assert got == want_pairs and _stats(res) == want_stats
-    assert "row_number()" not in _plan(res.pairs) or cfg.max_pairs_per_example < 2
+    df = spark.createDataFrame(frame(rows), ROLLOUT_DDL).repartition(8)
+    pairs, stats = check_against_sql(df, cfg)
+    check_properties(pairs, stats, rows, cfg)
+
+
+@pytest.mark.parametrize("k", [2, 3, 63, 64, 200])
+def test_walk_of_a_long_group(spark, k):
+    """One group with 100 losing rows, from the worst: the k worst are paired, in order."""
+    rows = [("e", "d", "p", 0, "SELECT 0", 1.0, True, True, True, "ok", 0)]
+    rows += [("e", "d", "p", i, f"SELECT {i}", -i / 100, True, False, False, "ok", i) for i in range(1, 101)]
+    res = build_preferences(spark.createDataFrame(rows, ROLLOUT_DDL), PreferenceConfig(max_pairs_per_example=k))
+    got = [(r["pair_idx"], r["meta"]["rejected_candidate_id"]) for r in res.ordered_pairs.orderBy("pair_idx").collect()]
+    assert got == [(n, 101 - n) for n in range(1, min(k, 100) + 1)]
