@@ -83,54 +83,62 @@ def fingerprints(rows: DataFrame) -> DataFrame:
     have equal fingerprints; a per-query aggregate, combined map-side."""
     h1 = F.xxhash64("cells").cast("decimal(38,0)")
     h2 = F.xxhash64(F.lit("second"), "cells").cast("decimal(38,0)")
-    return rows.groupBy("query_key").agg(
+    keys = [c for c in ("side", "query_key") if c in rows.columns]
+    return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum(h1).alias("h1"), F.sum(h2).alias("h2")
     )
 
 
-def _signed_differences(pairs: DataFrame, gold_rows: DataFrame, cand_rows: DataFrame) -> DataFrame:
-    g = gold_rows.select(F.col("query_key").alias("gold_key"), "cells").join(pairs.select("pair_id", "gold_key"), "gold_key")
-    c = cand_rows.select(F.col("query_key").alias("cand_key"), "cells").join(pairs.select("pair_id", "cand_key"), "cand_key")
-    signed = g.select("pair_id", "cells", F.lit(1).alias("sign")).unionByName(
-        c.select("pair_id", "cells", F.lit(-1).alias("sign"))
-    )
-    return (
-        signed.groupBy("pair_id", "cells")
-        .agg(F.sum("sign").alias("net"))
-        .filter(F.col("net") != 0)
-        .select("pair_id")
-        .distinct()
-    )
-
-
 def bag_differences(pairs: DataFrame, gold_rows: DataFrame, cand_rows: DataFrame) -> DataFrame:
     """The ``pair_id`` of every pair whose two result sets differ.
 
     ``pairs(pair_id, gold_key, cand_key)`` must have unique ``pair_id``.
-    ``gold_rows``/``cand_rows`` are ``(query_key, cells)`` tables. Pairs
-    whose fingerprints differ are different for certain. Only pairs with
-    equal fingerprints are checked exactly: each of their rows is joined to
-    the pair, signed (+1 gold, -1 candidate) and summed per (pair_id, cells);
-    a pair differs when any sum is not zero. So result rows are copied per
-    pair only for likely matches. Pairs missing from the output are equal
-    (two empty results included)."""
-    p = pairs.select("pair_id", "gold_key", "cand_key")
+    ``gold_rows``/``cand_rows`` are ``(query_key, cells)`` tables; pass the same
+    DataFrame for both where gold and candidate results share a table, and it is
+    read twice in all. Distinct key pairs are compared, whatever the number of
+    pairs that have them. Key pairs whose fingerprints differ are different for
+    certain; the others are checked exactly: their rows are joined to the key
+    pair, signed (+1 gold, -1 candidate) and summed per (key pair, cells), and a
+    pair differs when any sum is not zero. Pairs missing from the output are
+    equal (two empty results included)."""
+    shared = gold_rows is cand_rows
+    cand_side = 0 if shared else 1
+    rows = gold_rows.select(F.lit(0).alias("side"), "query_key", "cells")
+    if not shared:
+        rows = rows.unionByName(cand_rows.select(F.lit(1).alias("side"), "query_key", "cells"))
+    keyed = pairs.select("pair_id", "gold_key", "cand_key")
+    both = keyed.select("gold_key", "cand_key").distinct()
+    if shared:
+        both = both.filter(~F.col("gold_key").eqNullSafe(F.col("cand_key")))
+    prints = fingerprints(rows)
     zero = F.lit(0).cast("decimal(38,0)")
 
-    def fp(rows: DataFrame, key: str, prefix: str) -> DataFrame:
-        return fingerprints(rows).select(
-            F.col("query_key").alias(key), *[F.col(c).alias(f"{prefix}{c}") for c in ("n", "h1", "h2")]
-        )
+    def side(which: int, key: str, prefix: str) -> DataFrame:
+        own = prints.filter(F.col("side") == which)
+        return own.select(F.col("query_key").alias(key), *[F.col(c).alias(f"{prefix}{c}") for c in ("n", "h1", "h2")])
 
-    summed = p.join(fp(gold_rows, "gold_key", "g_"), "gold_key", "left").join(fp(cand_rows, "cand_key", "c_"), "cand_key", "left")
-    same_fp = (
+    summed = both.join(side(0, "gold_key", "g_"), "gold_key", "left").join(side(cand_side, "cand_key", "c_"), "cand_key", "left")
+    alike = (
         (F.coalesce("g_n", F.lit(0)) == F.coalesce("c_n", F.lit(0)))
         & (F.coalesce("g_h1", zero) == F.coalesce("c_h1", zero))
         & (F.coalesce("g_h2", zero) == F.coalesce("c_h2", zero))
     )
-    certain = summed.filter(~same_fp).select("pair_id")
-    to_verify = summed.filter(same_fp).select("pair_id", "gold_key", "cand_key")
-    return certain.unionByName(_signed_differences(to_verify, gold_rows, cand_rows))
+    certain = summed.filter(~alike).select("gold_key", "cand_key")
+    wanted = summed.filter(alike).select(
+        "gold_key", "cand_key",
+        F.explode(F.array(
+            F.struct(F.lit(0).alias("side"), F.col("gold_key").alias("query_key"), F.lit(1).alias("sign")),
+            F.struct(F.lit(cand_side).alias("side"), F.col("cand_key").alias("query_key"), F.lit(-1).alias("sign")),
+        )).alias("w"),
+    ).select("gold_key", "cand_key", "w.*")
+    uneven = (
+        rows.join(wanted, ["side", "query_key"])
+        .groupBy("gold_key", "cand_key", "cells").agg(F.sum("sign").alias("net"))
+        .filter(F.col("net") != 0).select("gold_key", "cand_key").distinct()
+    )
+    unequal = certain.unionByName(uneven).select(F.col("gold_key").alias("_g"), F.col("cand_key").alias("_c"))
+    same_keys = F.col("gold_key").eqNullSafe(F.col("_g")) & F.col("cand_key").eqNullSafe(F.col("_c"))
+    return keyed.join(unequal, same_keys, "left_semi").select("pair_id")
 
 
 def compare_bags(pairs: DataFrame, gold_rows: DataFrame, cand_rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ false); the by-reason counts use all rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rewardloom.functions.text import DIFFICULTIES, difficulty
@@ -49,26 +49,26 @@ def metrics(results: DataFrame) -> DataFrame:
     )
 
 
+def _scope_counts(results: DataFrame) -> DataFrame:
+    """One row per label: counts of valid rows, and of matches among them, for
+    every difficulty, beside the overall counts. One pass over the rows."""
+    valid = ~F.col("gold_failed")
+    counts = {"total": F.lit(True), "matched": F.col("matched"), "_valid_total": valid, "_valid_matched": F.col("matched") & valid}
+    for i, d in enumerate(DIFFICULTIES):
+        own = valid & F.coalesce(F.col("difficulty") == d, F.lit(False))
+        counts |= {f"_n{i}": own, f"_m{i}": own & F.col("matched")}
+    return results.groupBy("label").agg(*[F.count_if(c).cast("long").alias(n) for n, c in counts.items()])
+
+
 def metrics_by_difficulty(results: DataFrame) -> DataFrame:
     """A6 + J6: per label and difficulty (valid rows only), all four
     difficulties present with zeros where a bucket is empty."""
-    labels = results.select("label").distinct()
-    buckets = labels.select("label", F.explode(F.array(*[F.lit(d) for d in DIFFICULTIES])).alias("difficulty"))
-    agg = (
-        results.filter(~F.col("gold_failed"))
-        .groupBy("label", "difficulty")
-        .agg(
-            F.count(F.lit(1)).cast("long").alias("total"),
-            F.count_if(F.col("matched")).cast("long").alias("matched"),
-        )
-    )
+    buckets = F.array(*[
+        F.struct(F.lit(d).alias("difficulty"), F.col(f"_n{i}").alias("total"), F.col(f"_m{i}").alias("matched"))
+        for i, d in enumerate(DIFFICULTIES)
+    ])
     return (
-        buckets.join(agg, ["label", "difficulty"], "left")
-        .select(
-            "label", "difficulty",
-            F.coalesce("total", F.lit(0)).cast("long").alias("total"),
-            F.coalesce("matched", F.lit(0)).cast("long").alias("matched"),
-        )
+        _scope_counts(results).select("label", F.explode(buckets).alias("b")).select("label", "b.*")
         .withColumn("accuracy", _ratio("matched", "total"))
     )
 
@@ -83,33 +83,29 @@ def metrics_by_reason(results: DataFrame) -> DataFrame:
 def accuracy_table(results: DataFrame) -> DataFrame:
     """Overall and per-difficulty accuracy in one long table
     ``(label, scope, accuracy, accuracy_valid)``; scope 'all' is overall."""
-    overall = metrics(results).select(
-        "label", F.lit(OVERALL).alias("scope"), "execution_accuracy", "execution_accuracy_valid"
-    )
-    by_diff = metrics_by_difficulty(results).select(
-        "label", F.col("difficulty").alias("scope"),
-        F.col("accuracy").alias("execution_accuracy"), F.col("accuracy").alias("execution_accuracy_valid"),
-    )
-    return overall.unionByName(by_diff)
+    scopes = [(OVERALL, "matched", "total", "_valid_matched", "_valid_total")]
+    scopes += [(d, f"_m{i}", f"_n{i}", f"_m{i}", f"_n{i}") for i, d in enumerate(DIFFICULTIES)]
+    rows = F.array(*[
+        F.struct(F.lit(s).alias("scope"), _ratio(m, n).alias("execution_accuracy"), _ratio(vm, vn).alias("execution_accuracy_valid"))
+        for s, m, n, vm, vn in scopes
+    ])
+    return _scope_counts(results).select("label", F.explode(rows).alias("r")).select("label", "r.*")
 
 
 def compare_with_base(results: DataFrame, base_label: str) -> DataFrame:
     """J5 + M6: per other label and scope, accuracy minus the base model's,
-    rounded to 4 places. An equi-join on scope, no cross join."""
-    acc = accuracy_table(results)
-    base = acc.filter(F.col("label") == base_label).select(
-        "scope",
-        F.col("execution_accuracy").alias("_b"),
-        F.col("execution_accuracy_valid").alias("_bv"),
+    rounded to 4 places. One pass over the rows; a scope has a row a model."""
+    own_base = F.col("label") == base_label
+    scope = Window.partitionBy("scope")
+    acc = accuracy_table(results).select(
+        "*",
+        F.max(F.when(own_base, F.col("execution_accuracy"))).over(scope).alias("_b"),
+        F.max(F.when(own_base, F.col("execution_accuracy_valid"))).over(scope).alias("_bv"),
     )
-    return (
-        acc.filter(F.col("label") != base_label)
-        .join(base, "scope")
-        .select(
-            "label", "scope",
-            F.round(F.col("execution_accuracy") - F.col("_b"), 4).alias("delta_accuracy"),
-            F.round(F.col("execution_accuracy_valid") - F.col("_bv"), 4).alias("delta_accuracy_valid"),
-        )
+    return acc.filter(~own_base & F.col("_b").isNotNull()).select(
+        "label", "scope",
+        F.round(F.col("execution_accuracy") - F.col("_b"), 4).alias("delta_accuracy"),
+        F.round(F.col("execution_accuracy_valid") - F.col("_bv"), 4).alias("delta_accuracy_valid"),
     )
 
 

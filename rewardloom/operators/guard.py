@@ -15,6 +15,7 @@ queries is the benchmark's size, independent of the data volume.
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import re
 import threading
 import time
@@ -35,6 +36,8 @@ from rewardloom.session import scratch_table_path
 SPARK_FORBIDDEN = ("transform", "reflect", "java_method", "try_reflect")
 #: Seconds between attempts to cancel a query over its time.
 CANCEL_EVERY_S = 0.1
+#: Query texts and statuses that the driver holds at once.
+BATCH = 500
 MISSING_DB = "Database not found"
 
 RUN_SCHEMA = T.StructType(
@@ -239,33 +242,28 @@ class QueryRunner:
             F.lit(False).alias("truncated"),
             F.lit(0).cast("long").alias("elapsed_ms"),
         )
-        # Only distinct, valid query texts come to the driver.
-        todo = [(r.query_key, r.db_id, r.sql) for r in checked.filter(F.col("_reason").isNull()).toLocalIterator()]
+        # Distinct, valid query texts come to the driver in batches; each batch's statuses are written before the next.
+        runs_path, rows_path = f"{self.out_dir}/runs", f"{self.out_dir}/rows"
+        schema = "cells array<string>, pos int, query_key string"
+        self.spark.createDataFrame([], schema).write.partitionBy("query_key").mode("append").parquet(rows_path)
+        texts = checked.select("query_key", "db_id", "sql")
+        forbidden.join(texts, "query_key").write.mode("overwrite").parquet(runs_path)
+        todo = checked.filter(F.col("_reason").isNull()).select("query_key", "db_id", "sql").toLocalIterator()
         try:
             with ThreadPoolExecutor(max_workers=self.cfg.max_workers) as pool:
-                statuses = list(pool.map(lambda t: self._run_one(*t), todo))
+                while batch := list(itertools.islice(todo, BATCH)):
+                    statuses = list(pool.map(lambda r: self._run_one(r["query_key"], r["db_id"], r["sql"]), batch))
+                    ran = [(*s, r["db_id"], r["sql"]) for s, r in zip(statuses, batch)]
+                    fields = [*RUN_SCHEMA.fields, T.StructField("db_id", T.StringType()), T.StructField("sql", T.StringType())]
+                    self.spark.createDataFrame(ran, T.StructType(fields)).write.mode("append").parquet(runs_path)
         finally:
             self._release()
-        ran = self.spark.createDataFrame(statuses, RUN_SCHEMA)
-        runs_path = f"{self.out_dir}/runs"
-        ran.unionByName(forbidden).join(checked.select("query_key", "db_id", "sql"), "query_key").write.mode(
-            "overwrite"
-        ).parquet(runs_path)
         runs = self.spark.read.parquet(runs_path)
-        ok_keys = [s[0] for s in statuses if s[1]]
-        if ok_keys:
-            schema = "cells array<string>, pos int, query_key string"
-            rows = (
-                self.spark.read.option("basePath", f"{self.out_dir}/rows")
-                .schema(schema)
-                .parquet(*[f"{self.out_dir}/rows/query_key={k}" for k in ok_keys])
-            )
-            if self.cfg.max_rows is not None:
-                rows = rows.filter(F.col("pos") <= self.cfg.max_rows)
-            rows = rows.select("query_key", "cells")
-        else:
-            rows = self.spark.createDataFrame([], "query_key string, cells array<string>")
-        return RunResult(queries=keyed, runs=runs, result_rows=rows)
+        rows = self.spark.read.schema(schema).parquet(rows_path)
+        rows = rows.join(runs.filter("ok").select("query_key"), "query_key", "left_semi")
+        if self.cfg.max_rows is not None:
+            rows = rows.filter(F.col("pos") <= self.cfg.max_rows)
+        return RunResult(queries=keyed, runs=runs, result_rows=rows.select("query_key", "cells"))
 
 
 def child_session(spark: SparkSession, views: Mapping[str, DataFrame]) -> tuple[SparkSession, list[str]]:

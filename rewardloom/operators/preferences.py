@@ -172,11 +172,13 @@ def build_preferences(rollouts: DataFrame, cfg: PreferenceConfig = PreferenceCon
 
     # K1: the first max_examples groups by id text (stable on first appearance).
     if cfg.max_examples is not None:
-        # Rank every group, usable keys first: the rank among usable groups is
-        # then the global rank, and the ranked (checkpointed) table replaces
-        # the aggregate, which is not computed a second time.
-        ranked = with_global_rank(groups, [~F.col("_key_ok"), "id", "group_ord", "db_id", "prompt"], name="_grank")
-        groups = ranked.withColumn("_seen", F.col("_key_ok") & (F.col("_grank") <= cfg.max_examples)).drop("_grank")
+        # Only ids and positions are ranked; a group's first position identifies it.
+        first = rows.filter(_key_ok()).groupBy(*KEY).agg(F.min("ord").alias("group_ord")).select("id", "group_ord")
+        ranked = with_global_rank(first, ["id", "group_ord"], name="_grank")
+        seen = ranked.filter(F.col("_grank") <= cfg.max_examples).select("group_ord", F.lit(True).alias("_in"))
+        groups = groups.join(seen, "group_ord", "left").withColumn(
+            "_seen", F.col("_key_ok") & F.coalesce(F.col("_in"), F.lit(False))
+        ).drop("_in")
     else:
         groups = groups.withColumn("_seen", F.col("_key_ok"))
 

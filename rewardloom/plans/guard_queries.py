@@ -10,8 +10,11 @@ one status row per query.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rewardloom.operators.guard import GuardConfig, QueryRunner, child_session, guarded_sql, tables_catalog
+from rewardloom.operators.reward import RewardConfig
+from rewardloom.operators.rollouts import score_sql_pairs
 from rewardloom.plans.bindings import TABLES, sql_str
 
 # Query surface the reference names (G1-G7); texts are valid in both engines.
@@ -27,7 +30,7 @@ G_QUERIES = {
     "g4_order_limit": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
     "g5_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "g5_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "g5_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier",
+    "g5_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey < 10",
     "g6_subqueries": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN "
     "(SELECT o_custkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders))",
     "g6_from_subquery": "SELECT t.k, t.n FROM (SELECT o_custkey AS k, count(*) AS n FROM orders "
@@ -85,9 +88,59 @@ def guarded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: (pair, gold, candidate, reason): every outcome of a scored pair.
+PAIRS = (
+    ("same", "SELECT n_nationkey, n_name FROM nation", "SELECT n_nationkey, n_name FROM nation", "match"),
+    ("reordered", "SELECT c_nationkey, count(*) FROM customer GROUP BY c_nationkey",
+     "SELECT c_nationkey AS k, count(c_custkey) AS n FROM customer GROUP BY c_nationkey ORDER BY n", "match"),
+    ("repeated_names", "SELECT a.n_name, b.n_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_nationkey",
+     "SELECT a.n_name AS x, b.n_name AS y FROM nation b JOIN nation a ON a.n_regionkey = b.n_nationkey", "match"),
+    ("sums", "SELECT l_suppkey, sum(l_extendedprice * l_discount) FROM lineitem GROUP BY l_suppkey",
+     "SELECT l_suppkey, sum(l_discount * l_extendedprice) FROM lineitem GROUP BY l_suppkey", "match"),
+    ("columns_swapped", "SELECT n_nationkey, n_regionkey FROM nation", "SELECT n_regionkey, n_nationkey FROM nation", "exec_mismatch"),
+    ("multiplicity", "SELECT o_orderstatus FROM orders", "SELECT DISTINCT o_orderstatus FROM orders", "exec_mismatch"),
+    ("empty_gold", "SELECT o_orderkey FROM orders WHERE o_orderkey < 0", "SELECT o_custkey FROM orders WHERE o_custkey < 0", "match"),
+    ("syntax", "SELECT n_name FROM nation", "SELECT FROM nation", "syntax_error"),
+    ("runtime", "SELECT n_name FROM nation", "SELECT no_such FROM nation", "runtime_error"),
+    ("forbidden", "SELECT n_name FROM nation", "DELETE FROM nation", "forbidden"),
+    ("gold_fails", "SELECT no_such FROM nation", "SELECT n_name FROM nation", "gold_failed"),
+    ("missing_database", "SELECT n_name FROM nation", "SELECT n_name FROM nation", "gold_failed"),
+)
+_FAILED = {"syntax_error", "runtime_error", "forbidden"}
+
+
+def scored_sql_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5: guarded runs of gold and candidate SQL, bag comparison, reward."""
+    rows = [(p, "elsewhere" if p == "missing_database" else "main", g, c) for p, g, c, _ in PAIRS]
+    pairs = spark.createDataFrame(rows, "pair_id string, db_id string, gold_sql string, candidate_sql string")
+    scored, _ = score_sql_pairs(
+        spark, pairs, tables_catalog(spark, sf_dir, TABLES), guard_cfg=GuardConfig(timeout_s=300.0, max_workers=4)
+    )
+    return scored.select("pair_id", "matched", "reason", "reward", "exec_ok", "error_type")
+
+
+CELLS_SQL = (
+    "SELECT o_orderkey, o_totalprice, o_totalprice > 150000 AS b, NULL AS b, o_orderstatus, "
+    "CAST(o_totalprice AS DECIMAL(12,2)) AS d, o_orderkey FROM orders"
+)
+
+
+def guarded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: the cells of a run whose columns have many types and repeated names."""
+    runner = QueryRunner(spark, tables_catalog(spark, sf_dir, TABLES), GuardConfig(timeout_s=300.0))
+    res = runner.run(spark.createDataFrame([("main", CELLS_SQL)], "db_id string, sql string"))
+    c = [F.get("cells", F.lit(i)) for i in range(7)]
+    return res.result_rows.select(
+        c[0].cast("long").alias("key"), c[1].cast("double").alias("price"), c[2].alias("flag"), c[3].alias("nothing"),
+        c[4].alias("status"), c[5].cast("double").alias("exact"), c[6].cast("long").alias("again"),
+    )
+
+
 def queries() -> dict:
     out = {f"guarded_{k}": _g(v) for k, v in G_QUERIES.items()}
     out["guarded_runs"] = guarded_runs
+    out["scored_sql_pairs"] = scored_sql_pairs
+    out["guarded_cells"] = guarded_cells
     return out
 
 
@@ -103,4 +156,19 @@ def oracle_sql() -> dict:
         for i, (_, et) in enumerate(BAD_QUERIES)
     ]
     out["guarded_runs"] = " UNION ALL ".join(parts)
+    reward = RewardConfig()
+    outcomes = []
+    for pair, _, _, reason in PAIRS:
+        failed = pair == "missing_database" or reason in _FAILED
+        error = "unknown_error" if pair == "missing_database" else reason if failed else "ok"
+        worth = getattr(reward, "unknown_error" if reason == "gold_failed" else reason)
+        outcomes.append(
+            f"SELECT {sql_str(pair)} AS pair_id, {reason == 'match'} AS matched, {sql_str(reason)} AS reason, "
+            f"CAST({worth} AS DOUBLE) AS reward, {not failed} AS exec_ok, {sql_str(error)} AS error_type"
+        )
+    out["scored_sql_pairs"] = " UNION ALL ".join(outcomes)
+    out["guarded_cells"] = """SELECT CAST(o_orderkey AS BIGINT) AS key, CAST(o_totalprice AS DOUBLE) AS price,
+        CASE WHEN o_totalprice > 150000 THEN '1' WHEN o_totalprice <= 150000 THEN '0' ELSE 'NULL' END AS flag, 'NULL' AS nothing,
+        o_orderstatus AS status, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) AS exact, CAST(o_orderkey AS BIGINT) AS again
+        FROM orders"""
     return out
