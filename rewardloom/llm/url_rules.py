@@ -27,6 +27,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rewardloom.llm.common import saved
+
 #: Fixed rules of the contract: (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.01, 0.8, 4
@@ -139,7 +141,8 @@ def judge(
     )
     order = F.struct("confidence", F.size("needs").alias("size"), "support", (F.col("verdict") == "block").alias("block"))
     best = fits.groupBy("own").agg(F.max(F.struct(order.alias("order"), "verdict", "name", "confidence")).alias("best"))
-    judged = split.join(best, "own", "left")
+    # Written, so that the join deals both sides anew and a token set with many urls can be split.
+    judged = split.join(saved(best, "verdicts"), "own", "left")
     return judged.select(
         "page_id", "host", "path", F.col("fixed.rule").alias("rule"),
         F.coalesce("fixed.verdict", "best.verdict", F.lit(default)).alias("verdict"),
