@@ -109,7 +109,9 @@ def rollouts_job(
     IO.write_jsonl(rollouts, f"{out_dir}/rollouts", order_by=["id", "candidate_id"])
     written = spark.read.schema(ROLLOUT_SCHEMA).json(f"{out_dir}/rollouts")
     stats = rollout_stats(written)
-    IO.write_json_document(spark, {**stats.first().asDict(), **gate.first().asDict()}, f"{out_dir}/run_meta")
+    # ``candidates`` counts them before the gold gate, ``candidates_kept`` after it.
+    totals = {"candidates": cands.count(), **stats.first().asDict(), **gate.first().asDict()}
+    IO.write_json_document(spark, totals, f"{out_dir}/run_meta")
     return written, stats
 
 

@@ -113,8 +113,8 @@ def running_totals(
         *group_cols,
         *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_off_{c}") for c in ["_n", *vals]],
     )
-    # Inside a partition: a window on (partition, group) ordered by the keys;
-    # rows are already clustered that way, so Spark only sorts locally.
+    # Inside a partition: a window on (partition, group) ordered by the keys. Spark
+    # deals the rows by that pair once more, each pair's rows already lying together.
     inside = Window.partitionBy(_PID, *group_cols).orderBy(*_cols(order_cols)).rowsBetween(
         Window.unboundedPreceding, 0
     )

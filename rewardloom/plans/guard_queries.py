@@ -109,6 +109,20 @@ PAIRS = (
 _FAILED = {"syntax_error", "runtime_error", "forbidden"}
 
 
+CAP = 5
+
+
+def guarded_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results capped at ``max_rows``; a text given twice runs once."""
+    rows = [(f"{n}-{k}", "main", s) for n, s in G_QUERIES.items() for k in (1, 2)]
+    queries = spark.createDataFrame(rows, "query_id string, db_id string, sql string")
+    runner = QueryRunner(spark, tables_catalog(spark, sf_dir, TABLES), GuardConfig(timeout_s=300.0, max_rows=CAP))
+    res = runner.run(queries)
+    sizes = res.result_rows.groupBy("query_key").agg(F.count("*").alias("stored"))
+    runs = res.runs.select("query_key", "row_count", "truncated").join(sizes, "query_key", "left")
+    return res.queries.join(runs, "query_key").select("query_id", "row_count", "truncated", F.coalesce("stored", F.lit(0)).alias("stored"))
+
+
 def scored_sql_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q5: guarded runs of gold and candidate SQL, bag comparison, reward."""
     rows = [(p, "elsewhere" if p == "missing_database" else "main", g, c) for p, g, c, _ in PAIRS]
@@ -141,6 +155,7 @@ def queries() -> dict:
     out["guarded_runs"] = guarded_runs
     out["scored_sql_pairs"] = scored_sql_pairs
     out["guarded_cells"] = guarded_cells
+    out["guarded_capped"] = guarded_capped
     return out
 
 
@@ -156,6 +171,14 @@ def oracle_sql() -> dict:
         for i, (_, et) in enumerate(BAD_QUERIES)
     ]
     out["guarded_runs"] = " UNION ALL ".join(parts)
+    capped = []
+    for n, s in G_QUERIES.items():
+        for k in (1, 2):
+            capped.append(
+                f"SELECT {sql_str(f'{n}-{k}')} AS query_id, least(c, {CAP}) AS row_count, c > {CAP} AS truncated, least(c, {CAP}) AS stored "
+                f"FROM (SELECT CAST(count(*) AS BIGINT) AS c FROM ({s}))"
+            )
+    out["guarded_capped"] = " UNION ALL ".join(capped)
     reward = RewardConfig()
     outcomes = []
     for pair, _, _, reason in PAIRS:

@@ -35,6 +35,12 @@ def sft_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SC.sft_text(kept2).select("id", "prompt", "completion")
 
 
+def raw_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source examples whose field ``query`` becomes ``sql``."""
+    ex = B.examples_from_conversations(B.table(spark, sf_dir, "conversations"), B.table(spark, sf_dir, "part"))
+    return SC.rename_raw_examples(ex.withColumnRenamed("sql", "query")).select("id", "question", "sql", "db_id")
+
+
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TK.build_vocabulary(sft_text(spark, sf_dir), ["prompt", "completion"])
 
@@ -121,6 +127,7 @@ def queries() -> dict:
     return {
         "schema_text": schemas,
         "sft_text": sft_text,
+        "raw_examples": raw_examples,
         "vocabulary": vocabulary,
         "sft_rows": sft_rows,
         "sft_length_filter": sft_length_filter,
@@ -224,6 +231,7 @@ def oracle_sql() -> dict:
     return {
         "schema_text": f"SELECT * FROM {B.sql_schema_text()}",
         "sft_text": f"SELECT * FROM {st}",
+        "raw_examples": f"SELECT id, question, sql, db_id FROM {B.sql_examples()}",
         "vocabulary": f"SELECT * FROM {voc}",
         "sft_rows": sft_rows_sql,
         "sft_length_filter": length,
