@@ -7,7 +7,9 @@ tests).
 
 from __future__ import annotations
 
+import atexit
 import pathlib
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -49,6 +51,13 @@ def get_session(
     return spark
 
 
+def _own_folder(prefix: str) -> str:
+    """A new folder on this machine, gone when this process ends."""
+    made = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Returns the shared checkpoint folder, setting a local one only if unset."""
     sc = spark.sparkContext
@@ -64,7 +73,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         raise ValueError(
             f"spark.checkpoint.dir is not set; executors of {sc.master} need a shared folder for intermediate tables"
         )
-    local = tempfile.mkdtemp(prefix="rewardloom-ckpt-")
+    local = _own_folder("rewardloom-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 
@@ -78,7 +87,7 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = pathlib.Path(__file__).resolve().parent
-    path = pathlib.Path(tempfile.mkdtemp(prefix="rewardloom-code-")) / "rewardloom_code.zip"
+    path = pathlib.Path(_own_folder("rewardloom-code-")) / "rewardloom_code.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
         for file in sorted(root.rglob("*.py")):
             archive.write(file, str(file.relative_to(root.parent)))
