@@ -17,7 +17,7 @@ of its smallest item. ``REPETITIONS`` is set for a recall of 0.99 at an edit in
 ten words (measured on planted items: 1.00 at one in twenty, 0.97 at three in
 twenty, 0.89 at one in five); an exact copy is never missed.
 A candidate becomes a leak by its exact edit distance to the best window that begins
-within ``max_share`` of the item's size from there.
+within ``max_share`` of the item's size from there; every such start is compared.
 
 Items are broadcast in blocks of at most ``BLOCK_WORDS`` words, one pass over the
 documents a block.
@@ -80,6 +80,21 @@ def best_window(item: np.ndarray, words: np.ndarray, limit: int) -> tuple[int, i
     return (int(row[at]), at) if row[at] <= limit else None
 
 
+def best_start(item: np.ndarray, words: np.ndarray, starts: int, limit: int) -> tuple[int, int] | None:
+    """(edits, start) of the window nearest to ``item``, begun at one of the first ``starts`` words; None beyond ``limit``."""
+    size, back = len(words), words[::-1]
+    place = np.arange(size + 1)
+    row = np.zeros(size + 1, np.int64)  # from the end: a window may end anywhere
+    for k, word in enumerate(item[::-1], 1):
+        step = np.minimum(row[:-1] + (back != word), row[1:] + 1)
+        row = np.minimum.accumulate(np.concatenate(([k], step)) - place) + place
+        if row.min() > limit:
+            return None
+    by_start = row[::-1][:starts]
+    at = int(np.argmin(by_start))
+    return (int(by_start[at]), at) if by_start[at] <= limit else None
+
+
 @dataclass
 class _Group:
     """Items of about one size, in one repetition."""
@@ -193,29 +208,33 @@ class Index:
 
     def leaks(self, codes: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, edits): the best window of each item in each text."""
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        tried = set()
+        # Places where a window of the item may begin: a few words off a candidate's.
+        places: dict[tuple[int, int], list[list[int]]] = {}
         for first, item in sorted(self.candidates(codes)):
             own = self.items[item]
             limit = int(self.max_share * len(own)) if len(own) >= MIN_WORDS else 0
             text = int(np.searchsorted(begin, first, "right")) - 1
             end = int(begin[text + 1]) - 1
-            nearby = codes[max(int(begin[text]), first - limit) : min(end, first + len(own) + 2 * limit)]
+            low, high = max(int(begin[text]), first - limit), min(end, first + limit + 1)
+            nearby = codes[low : min(end, first + len(own) + 2 * limit)]
             if sum(map(self.members[item].__contains__, nearby.tolist())) < len(own) - limit:
                 continue  # too few of the item's words for any window here
-            # The window may begin a few words off the candidate's place.
-            for start in range(max(int(begin[text]), first - limit), min(end, first + limit + 1)):
-                if (start, item) in tried:
-                    continue
-                tried.add((start, item))
-                known = best.get((text, item))
-                if codes[start] != own[0] and start != first:
-                    continue  # begins no nearer window than its neighbours do
-                near = best_window(own, codes[start : min(end, start + len(own) + limit)], limit if known is None else min(limit, known[0]))
-                if near and (known is None or (near[0], start) < known[:2]):
-                    best[text, item] = (near[0], start, near[1])
-        for (text, item), (edits, start, n) in best.items():
-            yield text, item, start - int(begin[text]), n, edits
+            ranges = places.setdefault((text, item), [])
+            if ranges and low <= ranges[-1][1]:
+                ranges[-1][1] = max(high, ranges[-1][1])
+            else:
+                ranges.append([low, high])
+        for (text, item), ranges in places.items():
+            own, best = self.items[item], None
+            limit = int(self.max_share * len(own)) if len(own) >= MIN_WORDS else 0
+            for low, high in ranges:
+                words = codes[low : min(int(begin[text + 1]) - 1, high - 1 + len(own) + limit)]
+                near = best_start(own, words, high - low, limit)
+                if near and (best is None or near[0] < best[0]):
+                    best, limit = (near[0], low + near[1]), near[0]
+            if best:
+                n = best_window(own, codes[best[1] : min(int(begin[text + 1]) - 1, best[1] + len(own) + limit)], limit)[1]
+                yield text, item, best[1] - int(begin[text]), n, best[0]
 
 
 def _next_key(key: np.ndarray | np.uint64, code: np.ndarray | int) -> np.ndarray:

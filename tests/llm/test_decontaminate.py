@@ -93,3 +93,28 @@ def test_case_marks_and_awkward_rows(spark, awkward):
     short = [(i, 5, 0) for i in (50, None, 51, 51) if " ".join(WORDS[:2]) == "bala beno"]
     assert got == sorted(want + short, key=str)
     assert D.leaks(docs.limit(0), items).collect() == [] and D.leaks(docs, items.limit(0)).collect() == []
+
+
+def test_start_after_an_earlier_candidate_is_compared():
+    """The first word is replaced, the edits are at the limit, and a candidate lies just before."""
+    rng = random.Random(5)
+    item = rng.sample(WORDS, 20)
+    near = list(item)
+    for at in (0, 6, 11, 17):
+        near[at] = "unknown"
+    index = D.Index([(7, item)], D.MAX_SHARE, D.REPETITIONS, D.SAMPLES)
+    text = rng.choices(WORDS, k=15) + near + rng.choices(WORDS, k=15)
+    codes = np.array([index.vocabulary.get(w, 1) for w in text] + [0])
+    for earlier in (1, 2, 3):
+        index.candidates = lambda codes, e=earlier: {(15 - e, 0), (15, 0)}
+        assert list(index.leaks(codes, np.array([0, len(codes)]))) == [(0, 0, 15, 20, 4)]
+
+
+def test_best_start_equals_brute_force():
+    rng = random.Random(3)
+    for _ in range(60):
+        item, words = rng.choices(range(4), k=rng.randrange(1, 9)), rng.choices(range(4), k=rng.randrange(1, 12))
+        starts = rng.randrange(1, len(words) + 1)
+        every = [(min(distance(item, words[s:e]) for e in range(s, len(words) + 1)), s) for s in range(starts)]
+        want = min(every)
+        assert D.best_start(np.array(item), np.array(words), starts, 3) == (want if want[0] <= 3 else None)
