@@ -15,7 +15,8 @@ words sampled so far equal some item's, which leaves few after the first. Items
 grouped by size (a factor of 1.5), and a group's walk takes two steps for each word
 of its smallest item. ``REPETITIONS`` is set for a recall of 0.99 at an edit in every
 ten words (measured on planted items: 1.00 at one in twenty, 0.97 at three in
-twenty, 0.89 at one in five); an exact copy is never missed.
+twenty, 0.89 at one in five). Besides, the first ``MIN_WORDS`` words of each item, or all
+of a shorter one, are sought as they are, so that an exact copy is never missed.
 A candidate becomes a leak by its exact edit distance to the best window that begins
 within ``max_share`` of the item's size from there; every such start is compared.
 
@@ -123,14 +124,20 @@ class Index:
         self.first_keys = _next_key(np.uint64(0), np.arange(self.n_codes))
         self.repetitions: list[tuple[np.ndarray, list[_Group], np.ndarray]] = []
         bounds, groups = [], []
-        for size in np.unique(sizes[sizes > 0]):
-            if not bounds or size > bounds[-1] * 1.5 or bounds[-1] < MIN_WORDS <= size:
+        for size in np.unique(sizes[sizes >= MIN_WORDS]):
+            if not bounds or size > bounds[-1] * 1.5:
                 bounds.append(int(size))
                 groups.append([])
             groups[-1] += np.flatnonzero(sizes == size).tolist()
         self.longest = int(sizes.max(initial=0))
-        for repetition in range(repetitions):
-            moves = random.integers(0, 2, (2 * max(bounds, default=0), self.n_codes)).astype(np.int32)
+        # Exact copies: every word of a short item, the first words of a longer one.
+        onward = np.ones((MIN_WORDS, self.n_codes), np.int8)
+        onward[:, 0] = 0
+        heads = np.minimum(sizes, MIN_WORDS)
+        made = [self._group(onward, np.arange(n), np.flatnonzero(heads == n).tolist()) for n in np.unique(heads[heads > 0])]
+        self.exact = (onward, made, self._member(made))
+        for repetition in range(repetitions if bounds else 0):
+            moves = random.integers(0, 2, (2 * max(bounds), self.n_codes)).astype(np.int8)
             moves[:, 0] = 0
             # Walks of a family share their first steps, so that each goes on from the one before it.
             if repetition % FIRST:
@@ -139,15 +146,16 @@ class Index:
             for least, members in zip(bounds, groups):
                 # The first step sampled comes early and is the same for all groups: most windows end there.
                 # The second follows soon, for the same reason.
-                soon = min(FIRST + SECOND, 2 * least)
-                edges = np.concatenate(([min(FIRST, least)], np.linspace(soon, 2 * least, samples - 1))).astype(int)
-                first = min(repetition % FIRST, 2 * min(bounds) - 1)
-                steps = np.unique([first, *(int(random.integers(a, max(a + 1, b))) for a, b in zip(edges, edges[1:]))])
+                edges = np.concatenate(([FIRST], np.linspace(FIRST + SECOND, 2 * least, samples - 1))).astype(int)
+                steps = np.unique([repetition % FIRST, *(int(random.integers(a, max(a + 1, b))) for a, b in zip(edges, edges[1:]))])
                 made.append(self._group(moves, steps, members))
-            member = np.zeros(self.n_codes, bool)
-            for group in made:
-                member |= group.member
-            self.repetitions.append((moves, made, member))
+            self.repetitions.append((moves, made, self._member(made)))
+
+    def _member(self, groups: list[_Group]) -> np.ndarray:
+        member = np.zeros(self.n_codes, bool)
+        for group in groups:
+            member |= group.member
+        return member
 
     def _group(self, moves: np.ndarray, steps: np.ndarray, members: list[int]) -> _Group:
         keys = np.zeros((len(members), len(steps)), np.uint64)
@@ -170,10 +178,8 @@ class Index:
         """(first word, item) for texts one after the other, each ended by code 0."""
         found: set[tuple[int, int]] = set()
         starts = np.flatnonzero(codes).astype(np.int32)
-        word, move = np.empty(len(starts), codes.dtype), np.empty(len(starts), np.int32)
+        word, move = np.empty(len(starts), codes.dtype), np.empty(len(starts), np.int8)
         for repetition, (moves, groups, member) in enumerate(self.repetitions):
-            if not groups:
-                continue
             if repetition % FIRST == 0:
                 at, done = starts.copy(), 0
             first = int(groups[0].steps[0])
@@ -187,30 +193,56 @@ class Index:
             some = np.flatnonzero(member.take(word))
             some_at, some_word = at[some], word[some]
             for group in groups:
-                mine = np.flatnonzero(group.member[some_word])
-                left, own, own_word = some[mine], some_at[mine], some_word[mine]
-                key, k = self.first_keys[own_word], 1
-                for s in range(first, int(group.steps[-1]) + 1):
-                    if s > first:
-                        own_word = codes[own]
-                    if k < len(group.steps) and s == group.steps[k]:
-                        key = _next_key(key, own_word)
-                        place = np.searchsorted(group.prefixes[k], key)
-                        kept = group.prefixes[k][np.minimum(place, len(group.prefixes[k]) - 1)] == key
-                        left, own, key, own_word = left[kept], own[kept], key[kept], own_word[kept]
-                        k += 1
-                        if not len(left):
-                            break
-                    own = own + moves[s][own_word]
-                for place, whole in zip(left.tolist(), key.tolist()):
-                    found.update((int(starts[place]), item) for item in group.items.get(whole, ()))
+                for left, whole in zip(*self._walked(codes, moves, group, some, some_at, some_word)):
+                    found.update((int(starts[left]), item) for item in group.items.get(int(whole), ()))
         return found
 
+    def copies(self, codes: np.ndarray, begin: np.ndarray) -> set[tuple[int, int]]:
+        """(first word, item) of the exact beginnings of items; of short items the first in each text."""
+        found: set[tuple[int, int]] = set()
+        moves, groups, member = self.exact
+        starts = np.flatnonzero(member.take(codes)).astype(np.int32)
+        for group in groups:
+            left, keys = self._walked(codes, moves, group, starts, starts, codes[starts])
+            if len(group.steps) < MIN_WORDS and len(left):
+                # Nothing is left to compare: the first place in a text is its best window.
+                text = np.searchsorted(begin, left, "right")
+                order = np.lexsort((left, keys, text))
+                left, keys, text = left[order], keys[order], text[order]
+                new = np.ones(len(left), bool)
+                new[1:] = (text[1:] != text[:-1]) | (keys[1:] != keys[:-1])
+                left, keys = left[new], keys[new]
+            for first, whole in zip(left.tolist(), keys.tolist()):
+                found.update((first, item) for item in group.items.get(whole, ()))
+        return found
+
+    def _walked(
+        self, codes: np.ndarray, moves: np.ndarray, group: _Group, left: np.ndarray, at: np.ndarray, word: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(windows, keys) whose sampled words are an item's, of windows ``left`` that stand at ``at`` on ``word``."""
+        mine = np.flatnonzero(group.member[word])
+        left, own, own_word = left[mine], at[mine], word[mine]
+        key, k = self.first_keys[own_word], 1
+        first = int(group.steps[0])
+        for s in range(first, int(group.steps[-1]) + 1):
+            if s > first:
+                own_word = codes[own]
+            if k < len(group.steps) and s == group.steps[k]:
+                key = _next_key(key, own_word)
+                place = np.searchsorted(group.prefixes[k], key)
+                kept = group.prefixes[k][np.minimum(place, len(group.prefixes[k]) - 1)] == key
+                left, own, key, own_word = left[kept], own[kept], key[kept], own_word[kept]
+                k += 1
+                if not len(left):
+                    break
+            own = own + moves[s][own_word]
+        return left, key
+
     def leaks(self, codes: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, edits): the best window of each item in each text."""
         # Places where a window of the item may begin: a few words off a candidate's.
         places: dict[tuple[int, int], list[list[int]]] = {}
-        for first, item in sorted(self.candidates(codes)):
+        for first, item in sorted(self.candidates(codes) | self.copies(codes, begin)):
             own = self.items[item]
             limit = int(self.max_share * len(own)) if len(own) >= MIN_WORDS else 0
             text = int(np.searchsorted(begin, first, "right")) - 1

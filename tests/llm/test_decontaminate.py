@@ -118,3 +118,17 @@ def test_best_start_equals_brute_force():
         every = [(min(distance(item, words[s:e]) for e in range(s, len(words) + 1)), s) for s in range(starts)]
         want = min(every)
         assert D.best_start(np.array(item), np.array(words), starts, 3) == (want if want[0] <= 3 else None)
+
+
+def test_exact_copies_of_items_of_any_size():
+    rng = random.Random(11)
+    for sizes in [(n,) for n in range(1, 16)] + [tuple(range(1, 16))]:
+        items = [(k, rng.choices(WORDS, k=sizes[k % len(sizes)])) for k in range(90)]
+        index = D.Index(items, D.MAX_SHARE, D.REPETITIONS, D.SAMPLES)
+        texts = [rng.choices(WORDS, k=9) + words + rng.choices(WORDS, k=9) for _, words in items]
+        codes = [[index.vocabulary.get(w, 1) for w in t] + [0] for t in texts]
+        begin = np.cumsum([0] + [len(c) for c in codes])
+        found = {(r[0], r[1]): r for r in index.leaks(np.concatenate(codes), begin)}
+        for k, (text, (_, words)) in enumerate(zip(texts, items)):
+            first = next(s for s in range(10) if text[s : s + len(words)] == words)
+            assert found[k, k] == (k, k, first, len(words), 0)
