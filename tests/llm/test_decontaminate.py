@@ -132,3 +132,20 @@ def test_exact_copies_of_items_of_any_size():
         for k, (text, (_, words)) in enumerate(zip(texts, items)):
             first = next(s for s in range(10) if text[s : s + len(words)] == words)
             assert found[k, k] == (k, k, first, len(words), 0)
+
+
+@pytest.mark.parametrize("size", [10, 20, 60])
+def test_recall_at_the_largest_share_of_edits(size):
+    rng = random.Random(size)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    items = [(k, rng.choices(vocabulary, k=size)) for k in range(200)]
+    index = D.Index(items, D.MAX_SHARE, D.REPETITIONS, D.SAMPLES)
+    found = 0
+    for k, words in items:
+        near = list(words)
+        for at in rng.sample(range(size), int(D.MAX_SHARE * size)):
+            near[at] = "unknown"
+        text = rng.choices(vocabulary, k=20) + near + rng.choices(vocabulary, k=20)
+        codes = np.array([index.vocabulary.get(w, 1) for w in text] + [0])
+        found += any(r[1] == k for r in index.leaks(codes, np.array([0, len(codes)])))
+    assert found >= 0.98 * len(items)
