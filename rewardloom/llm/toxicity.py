@@ -8,9 +8,9 @@ a logistic function of its largest marginal and of its marginals' sum; its spans
 are the character offsets of the words whose marginal is at least one half.
 
 Labelled words come from labelled documents: a word of a toxic document is toxic
-if, in the sample, the word stands in toxic documents far more often than in
-clean ones, and in several different surroundings there, so that a word that only
-copies of one text share is not taken for toxic. The field is trained on a
+if, among the sample's distinct texts, the word stands in toxic ones far more often than
+in clean ones, and in several different surroundings there, so that a word that only
+near copies of one text share is not taken for toxic; exact copies count once. The field is trained on a
 bounded sample of labelled rows, in one task; all texts are scored, and whole.
 
 Cases: a null text counts as empty; a text without words has the score of no
@@ -139,21 +139,23 @@ def _neighbour_shift(values: np.ndarray, lengths: np.ndarray, back: bool) -> np.
 
 def toxic_words(texts: list[list[str]], labels: np.ndarray) -> set[str]:
     """Words that mark toxic documents."""
-    n = np.bincount(labels, minlength=2)
+    # Copies of a text count once, so that no group of them hides or makes a word.
+    distinct = list(dict.fromkeys((tuple(words), int(label)) for words, label in zip(texts, labels)))
+    n = np.bincount([label for _, label in distinct], minlength=2)
     found = [Counter(), Counter()]
-    for words, label in zip(texts, labels):
+    for words, label in distinct:
         found[label].update(set(words))
     likely = {
         w for w, k in found[1].items()
         if k >= MIN_PLACES and np.log((k + 0.5) / (n[1] + 1)) - np.log((found[0][w] + 0.5) / (n[0] + 1)) >= MIN_LOG_RATIO
     }
     around: dict[str, set] = {w: set() for w in likely}
-    for words, label in zip(texts, labels):
+    for words, label in distinct:
         if label:
             for k, w in enumerate(words):
                 if w in likely:
                     around[w].add((words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""))
-    # Copies of a text share both neighbours: as many surroundings as documents are asked for, nearly.
+    # Near copies of a text share both neighbours: as many surroundings as texts are asked for, nearly.
     return {w for w in likely if len(around[w]) >= max(MIN_PLACES, 0.5 * found[1][w])}
 
 

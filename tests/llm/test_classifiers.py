@@ -123,3 +123,15 @@ def test_toxicity_awkward_rows(spark, awkward, more):
     tagger = toxicity.Tagger(toxicity.ToxicModel(np.zeros(toxicity.DIM), -4.0, np.zeros((2, 2)), (-2.0, 0.1, 0.1)))
     scores = [s for s, _ in tagger.score([None, "", "!!!", "a b", "a b"])]
     assert scores[0] == scores[1] == scores[2] and scores[3] == scores[4]
+
+
+def test_copies_of_a_toxic_text_hide_no_word():
+    rng = np.random.default_rng(4)
+    plain, bad = [f"w{k}" for k in range(500)], ["scum", "vermin", "filth"]
+
+    def toxic():
+        return list(rng.permutation([*rng.choice(plain, 30), *bad]))
+
+    texts = [toxic()] * 1000 + [toxic() for _ in range(100)] + [list(rng.choice(plain, 30)) for _ in range(1000)]
+    labels = np.array([1] * 1100 + [0] * 1000)
+    assert toxicity.toxic_words(texts, labels) == set(bad)
