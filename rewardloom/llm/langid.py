@@ -9,7 +9,7 @@ The margin is the share of bytes that the best dictionary saves over the next
 best; a margin below ``min_margin`` is a rejection. The score is
 ``margin / (margin + min_margin)``, at least one half exactly if not rejected.
 
-The dictionaries come from ``rows_per_lang`` sampled documents a language, with a
+The dictionaries come from ``rows_per_lang`` sampled distinct texts a language, with a
 slice of ``slice_chars`` from each, up to ``dict_bytes``. Only these slices pass
 through the driver. All texts are scored, and whole.
 
@@ -92,8 +92,10 @@ def fit(
 ) -> LangModel:
     """Learns a dictionary for each non-null language of the rows that meet ``train``."""
     known = docs.where(train & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    # Languages are few; the count doesn't read the texts' content beyond the test for a letter.
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
+    # Distinct texts, for the draw below is one of texts: copies must not lower a language's share. Only hashes are dealt.
+    prints = known.select("lang", F.xxhash64("text").alias("print")).distinct()
+    # Languages are few.
+    counts = {r["lang"]: r["n"] for r in prints.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
     if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not counts:

@@ -135,3 +135,12 @@ def test_copies_of_a_toxic_text_hide_no_word():
     texts = [toxic()] * 1000 + [toxic() for _ in range(100)] + [list(rng.choice(plain, 30)) for _ in range(1000)]
     labels = np.array([1] * 1100 + [0] * 1000)
     assert toxicity.toxic_words(texts, labels) == set(bad)
+
+
+def test_a_language_of_copies_is_learned(spark):
+    words = {"aa": "lami lore leta lusi lano", "bb": "zutka zatpo zetmi zokra zipla"}
+    rows = [("aa", f"{words['aa']} {chr(97 + k)}lo ") for k in range(5)] * 2000 + [("bb", f"{words['bb']} {k}") for k in range(100)]
+    docs = spark.createDataFrame([(k, t * 9, lang) for k, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True), rows_per_lang=20)
+    assert set(model.dictionaries) == {"aa", "bb"}
+    assert model.scorer().score(rows[0][1] * 5)[0] == "aa"
