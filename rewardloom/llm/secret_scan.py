@@ -1,7 +1,9 @@
 """Secret scans: candidates by pattern, a random forest to remove false positives.
 
-Candidates are quoted values after ``=`` or ``:``, private key blocks, and runs of
-16 or more key characters with a digit among them. Each has figures of its length,
+Candidates are quoted values after ``=`` or ``:``, private key blocks, JWTs, unquoted values
+of 8 or more characters after a credential's name and ``=`` or ``:`` or after ``Bearer``, and
+runs of 16 or more key characters that hold a digit or begin as a known key does. A name
+before ``=`` is no part of the value. Each has figures of its length,
 its kinds of characters and the changes between them, the letter pairs that words
 of the corpus also have, the share that words of the corpus cover, marks of paths
 and urls, and its neighbouring words. A random forest of Spark ML, trained on
@@ -12,7 +14,7 @@ The dictionary is the ``DICTIONARY`` most frequent words of the whole corpus, co
 over all documents; the pairs are those of its words.
 Labelled findings may be given; without them, ``reviewed`` labels the corpus's own
 candidates by strict rules: known prefixes, and values with digits assigned to a
-credential's name, are secrets; the rest, with placeholders among it, are not. The
+credential's name (no urls or dotted names), are secrets; the rest, with placeholders among it, are not. The
 forest sees a bounded sample of the findings; every candidate is scored.
 
 Cases: a null or empty text has no findings; texts of any length are scanned whole;
@@ -40,16 +42,25 @@ THRESHOLD = 0.5
 CONTEXT = 40
 MARK = "[SECRET]"
 
-_KEY = r"A-Za-z0-9_+/=\-"
+_KEY = r"A-Za-z0-9_+/\-"
+_KNOWN = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-|sk-[A-Za-z0-9]{20,}|AIza[0-9A-Za-z_\-]{30,}"
+_NAMES = r"(?:token|secret|passw(?:or)?d|pwd|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|credential|authorization|bearer)"
+#: An unquoted value: to white space, a quote or a bracket, without marks of a sentence at its end.
+_VALUE = r"(?![=:>])[^\s\"'<>&(){}\[\]]{7,}[^\s\"'<>&(){}\[\],;.:]"
 #: Fixed patterns.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
     r"|(?<=[=:] {0,2}[\"'])[^\s\"']{8,}+"
-    rf"|(?<![{_KEY}])(?=[A-Za-z_+/=\-]*+[0-9])[{_KEY}]{{16,}}+"
+    rf"|(?<![{_KEY}.])eyJ[A-Za-z0-9_\-]{{5,}}+\.[A-Za-z0-9_\-]{{5,}}+(?:\.[A-Za-z0-9_\-]*+)?"
+    rf"|(?<=[=:>] {{0,2}})(?<=(?i:{_NAMES})\w{{0,40}}[\"']? {{0,2}}(?:=>|=|:) {{0,2}})(?!(?i:bearer) ){_VALUE}"
+    rf"|(?<=[Bb](?:earer|EARER) {{1,2}}){_VALUE}"
+    rf"|(?<![{_KEY}])(?=[A-Za-z_+/\-]*+[0-9]|{_KNOWN})[{_KEY}]{{16,}}+(?:={{1,2}}(?![{_KEY}=]))?"
 )
-PREFIX = r"^(?:-----BEGIN|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-|sk-[A-Za-z0-9]{20,}|AIza[0-9A-Za-z_\-]{30,}|eyJ[A-Za-z0-9_\-]+\.)"
-NAME = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|credential|authorization|bearer)"
-ASSIGNED = NAME + r"\w*[\"']? {0,2}(?:=|:|=>) {0,2}[\"']?$"
+PREFIX = rf"^(?:-----BEGIN|{_KNOWN}|eyJ[A-Za-z0-9_\-]+\.)"
+NAME = "(?i)" + _NAMES
+ASSIGNED = NAME + r"\w*[\"']? {0,2}(?:=|:|=>) {0,2}[\"']?$|bearer {1,2}$"
+#: Unquoted values that name something else.
+REFERENCE = r"(?i)^(?:https?://.*|[a-z_]\w*(?:\.[a-z_]\w*)+)$"
 PLACEHOLDER = r"(?i)^(?:(.)\1*|.*(?:example|changeme|placeholder|your[_\-]).*|x{4,}.*)$"
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _FROM = _LETTERS + _LETTERS.upper() + "0123456789"
@@ -83,11 +94,13 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     ends = F.aggregate(
         sizes, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n))
     )
-    rows = found.withColumn("ends", ends).select("doc_id", "text_hash", "gaps", "ends", F.posexplode("values").alias("k", "value"))
+    rows = found.withColumn("ends", ends).select("doc_id", "text_hash", "gaps", "ends", "values", F.posexplode("values").alias("k", "value"))
     before, after = F.get("gaps", F.col("k")), F.get("gaps", F.col("k") + 1)
+    # What is before: the gap, and the candidate before it, which may be the value's name.
+    context = F.concat(F.when(F.col("k") > 0, F.get("values", F.col("k") - 1)).otherwise(""), before)
     return rows.select(
         "doc_id", "text_hash", "value", (F.get("ends", F.col("k")) + F.length(before)).alias("start"),
-        F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"),
+        F.right(context, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"),
     )
 
 
@@ -128,7 +141,7 @@ def with_figures(found: DataFrame, words: list[str]) -> DataFrame:
 
 def reviewed() -> Column:
     """The label of a finding by strict rules: 1 secret, 0 not."""
-    named = F.col("before").rlike(ASSIGNED) & F.col("value").rlike("[0-9]") & (F.length("value") >= 12)
+    named = F.col("before").rlike(ASSIGNED) & F.col("value").rlike("[0-9]") & (F.length("value") >= 8) & ~F.col("value").rlike(REFERENCE)
     return ((F.col("value").rlike(PREFIX) | named) & ~F.col("value").rlike(PLACEHOLDER)).cast("double")
 
 
