@@ -77,3 +77,28 @@ def test_mined_rules_equal_counting(spark):
     pages = spark.createDataFrame([(1, "http://ads.site1.com/z/1"), (2, "http://www.site1.com/y/7"), (3, "http://other.host/")], "page_id long, url string")
     verdicts = {r["page_id"]: r["verdict"] for r in U.judge(pages, [], df, min_support=0.05, min_confidence=0.9).collect()}
     assert verdicts == {1: "block", 2: "allow", 3: "allow"}
+
+
+def test_deep_segments_late_keys_and_extensions(spark):
+    deep, keys = "a/b/c/d/e/f", "&".join(f"k{c}=1" for c in "abcdefg")
+    urls = [(f"http://h{k % 5}.com/{deep}/{'ads' if k % 2 else 'text'}", "block" if k % 2 else "allow") for k in range(40)]
+    urls += [(f"http://q.com/s?{keys}&{'track' if k % 2 else 'page'}=1", "block" if k % 2 else "allow") for k in range(40)]
+    urls += [(f"http://x.com/f{'ab'[k % 2]}.{'exe' if k % 2 else 'html'}", "block" if k % 2 else "allow") for k in range(40)]
+    df = spark.createDataFrame(urls, "url string, verdict string")
+    pages = [f"http://new.com/{deep}/ads", f"http://new.com/{deep}/text", f"http://q.com/t?{keys}&track=2", f"http://q.com/t?track=2&{keys}", "http://new.com/z/other.exe"]
+    table = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["mined_rule"]) for r in U.judge(table, [], df, min_support=0.1, max_tokens=2).collect()}
+    assert [got[k][0] for k in range(5)] == ["block", "allow", "block", "block", "block"]
+    assert got[2] == got[3] and "extension exe" in got[4][1] and "path6 ads" in got[0][1]
+
+
+def test_counting_by_size_gives_the_rules_of_growth(spark, monkeypatch):
+    urls = [(f"http://{s}.site{k % 3}.com/{p}/{k}", "block" if s == "ads" or (p == "x" and k % 3 == 0) else "allow") for k in range(30) for s in ("ads", "www") for p in ("x", "y")]
+    df = spark.createDataFrame(urls, "url string, verdict string")
+    grown = sorted(tuple(r) for r in U.mine(df, 0.05, 0.9, 3).collect())
+    monkeypatch.setattr(U, "GROWTH_TOKENS", 0)
+    assert grown and sorted(tuple(r) for r in U.mine(df, 0.05, 0.9, 3).collect()) == grown
+    many = [(f"http://h.com/{'/'.join(chr(97 + j) * 2 for j in range(24))}/{'ads' if k % 2 else 'text'}", "block" if k % 2 else "allow") for k in range(20)]
+    monkeypatch.undo()
+    rules = U.mine(spark.createDataFrame(many, "url string, verdict string"), 0.1, 0.9, 2).collect()
+    assert {r["name"] for r in rules} == {"path24 ads", "path24 text"}
