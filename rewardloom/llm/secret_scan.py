@@ -74,7 +74,7 @@ FIGURES = [
 
 def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> list[str]:
     """The most frequent words of the whole corpus."""
-    words = docs.select(F.explode(F.split(F.lower(text), " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = docs.select(F.explode(F.split(F.lower(text), r"\s+")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     # Marks beside a word fall off once each distinct form has been counted.
     plain = words.select(F.regexp_extract("word", r"^\P{L}*(\p{L}+)\P{L}*$", 1).alias("word"), "n").where(F.length("word") >= MIN_WORD)
     top = plain.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)

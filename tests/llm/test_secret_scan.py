@@ -82,3 +82,8 @@ def test_unquoted_forms_are_found_without_their_names(spark):
     kept = {(r["doc_id"], r["value"]) for r in S.secrets(docs.unionAll(more)).collect()}
     assert {(k, value) for k, (_, value) in enumerate(forms[:12])} <= kept
     assert all(r["text"].count("[SECRET]") for r in S.redacted(docs.where("doc_id < 12").unionAll(more)).where("doc_id < 12").collect())
+
+
+def test_dictionary_counts_words_on_lines_of_their_own(spark):
+    docs = spark.createDataFrame([("alpha\nbeta\talpha gamma\r\nalpha beta",), (None,), ("",)], "text string")
+    assert S.dictionary(docs) == ["alpha", "beta", "gamma"]
