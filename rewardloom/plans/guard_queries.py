@@ -48,6 +48,10 @@ BAD_QUERIES = (
     ("SELECT FROM orders", "syntax_error"),
     ("SELECT no_such_column FROM orders", "runtime_error"),
     ("SELECT * FROM parquet.`/etc`", "runtime_error"),
+    ("SELECT * FROM IDENTIFIER('global_temp' || '.orders')", "runtime_error"),
+    ("SELECT TRANSFORM (o_orderkey) USING 'cat' FROM orders", "forbidden"),
+    ("SELECT raise_error('no') FROM nation", "runtime_error"),
+    ("WITH orders AS (SELECT * FROM elsewhere) SELECT * FROM orders", "runtime_error"),
 )
 
 
@@ -68,7 +72,7 @@ def _child(spark: SparkSession, sf_dir: str) -> SparkSession:
 
 def _g(sql: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return guarded_sql(spark, None, sql, child=_child(spark, sf_dir))
+        return guarded_sql(spark, dict.fromkeys(TABLES), sql, child=_child(spark, sf_dir))
 
     return q
 
