@@ -75,7 +75,7 @@ class GuardConfig:
     timeout_s: float = 60.0  # well above Spark's per-job latency
     max_rows: int | None = None  # None: full results (default); else K2 cap
     max_workers: int = 4
-    float_digits: int | None = 10  # decimals kept, see ``compare.cell_text``
+    float_digits: int | None = None  # decimals kept in cells; comparison rounds by itself
     batch_size: int = 100  # queries of one job; 1 gives each query's own time
 
     def __post_init__(self) -> None:

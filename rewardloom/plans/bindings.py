@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _padded(text: Column) -> Column:
+    """At least six characters, with zeros before; longer ones whole."""
+    return F.lpad(text, F.greatest(F.lit(6), F.length(text)), F.lit("0"))
+
+
 def sql_str(s: str) -> str:
     """A DuckDB string literal holding ``s`` verbatim (raw characters)."""
     return "'" + s.replace("'", "''") + "'"
@@ -69,7 +74,7 @@ def rollouts_from_events(events: DataFrame, by_day: bool = False, cfg: RewardCon
     e = events.select("event_id", "ts", "user_id", "event_type", "value")
     uid = F.col("user_id").cast("string")
     day = F.date_format(F.col("ts"), "yyyy-MM-dd")
-    ident = F.concat(F.lit("u"), F.lpad(uid, 6, "0"))
+    ident = F.concat(F.lit("u"), _padded(uid))
     question = F.concat(F.lit("Which events did user "), uid, F.lit(" have"))
     if by_day:
         ident = F.concat(ident, F.lit("-"), day)
@@ -154,7 +159,7 @@ def sql_chatml_prompt(schema: str, question: str) -> str:
 def sql_rollouts_from_events(by_day: bool = False, cfg: RewardConfig = ROLLOUT_REWARD) -> str:
     uid = "CAST(user_id AS VARCHAR)"
     day = "strftime(ts, '%Y-%m-%d')"
-    ident = f"('u' || lpad({uid}, 6, '0'))"
+    ident = f"('u' || lpad({uid}, greatest(6, length({uid})), '0'))"
     question = f"('Which events did user ' || {uid} || ' have')"
     if by_day:
         ident = f"({ident} || '-' || {day})"
@@ -263,23 +268,22 @@ def _li_cells(first: str, second: str) -> Column:
     return F.array(F.col(first), F.col(second), F.col("l_linenumber").cast("string"))
 
 
+def _candidate_cells() -> tuple[Column, Column]:
+    """A line's cells in its supplier's candidate result, and how often it stands there."""
+    v, line = F.col("l_suppkey") % 4, F.col("l_linenumber")
+    cells = F.when(v == 3, _li_cells("l_linestatus", "l_returnflag")).otherwise(_li_cells("l_returnflag", "l_linestatus"))
+    return cells, F.when((v == 1) & (line == 1), 0).when((v == 2) & (line == 2), 2).otherwise(1)
+
+
 def result_sets_from_lineitem(lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Gold result per supplier = its (returnflag, linestatus, linenumber)
     rows. The candidate result of supplier s depends on s % 4: 0 identical,
     1 without line 1, 2 with line 2 twice, 3 first two columns swapped."""
     li = lineitem.select("l_suppkey", "l_returnflag", "l_linestatus", "l_linenumber")
-    key = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    v = F.col("l_suppkey") % 4
-    gold = li.select(key.alias("query_key"), _li_cells("l_returnflag", "l_linestatus").alias("cells"))
-    cand_base = li.filter(~((v == 1) & (F.col("l_linenumber") == 1))).select(
-        key.alias("query_key"),
-        F.when(v == 3, _li_cells("l_linestatus", "l_returnflag"))
-        .otherwise(_li_cells("l_returnflag", "l_linestatus")).alias("cells"),
-    )
-    extra = li.filter((v == 2) & (F.col("l_linenumber") == 2)).select(
-        key.alias("query_key"), _li_cells("l_returnflag", "l_linestatus").alias("cells")
-    )
-    return gold, cand_base.unionByName(extra)
+    key = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("query_key")
+    cells, times = _candidate_cells()
+    gold = li.select(key, _li_cells("l_returnflag", "l_linestatus").alias("cells"))
+    return gold, li.select(key, F.explode(F.array_repeat(cells, times)).alias("cells"))
 
 
 SQL_LI_GOLD = """(SELECT 's' || CAST(l_suppkey AS VARCHAR) AS query_key,
@@ -307,34 +311,27 @@ def scoring_inputs_from_lineitem(lineitem: DataFrame) -> tuple[DataFrame, DataFr
     query per supplier; the gold run fails when supplier % 8 = 7; the
     candidate run status follows RUN_STATUS; candidate rows as in
     ``result_sets_from_lineitem``."""
-    gold, cand = result_sets_from_lineitem(lineitem)
-    gold = gold.withColumn("query_key", F.concat(F.lit("g-"), F.col("query_key")))
-    cand = cand.withColumn("query_key", F.concat(F.lit("c-"), F.col("query_key")))
-    rows = gold.unionByName(cand)
-    sup = lineitem.select("l_suppkey").distinct()
     s = F.col("l_suppkey")
     skey = F.concat(F.lit("s"), s.cast("string"))
+    cells, times = _candidate_cells()
+    row = lambda prefix, c: F.struct(F.concat(F.lit(prefix), skey).alias("query_key"), c.alias("cells"))
+    both = F.concat(F.array(row("g-", _li_cells("l_returnflag", "l_linestatus"))), F.array_repeat(row("c-", cells), times))
+    rows = lineitem.select(F.explode(both).alias("r")).select("r.*")
+    # One aggregate serves runs and candidates: what they need of a supplier.
+    sup = lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n_gold"), F.sum(times).alias("n_cand"))
     status = F.element_at(F.array(*[F.lit(x) for x in RUN_STATUS]), (s % 8 + 1).cast("int"))
-    gold_runs = sup.select(
-        F.concat(F.lit("g-"), skey).alias("query_key"),
-        (s % 8 != 7).alias("ok"),
-        F.when(s % 8 == 7, F.lit("runtime_error")).otherwise(F.lit("ok")).alias("error_type"),
-        F.lit("").alias("error_message"),
-        F.lit(False).alias("truncated"),
-        ((s * 37) % 3000).alias("elapsed_ms"),
-    )
-    cand_runs = sup.select(
-        F.concat(F.lit("c-"), skey).alias("query_key"),
-        (status == "ok").alias("ok"),
-        status.alias("error_type"),
-        F.lit("").alias("error_message"),
-        F.lit(False).alias("truncated"),
-        ((s * 53) % 3000).alias("elapsed_ms"),
-    )
-    counts = rows.groupBy("query_key").agg(F.count(F.lit(1)).alias("row_count"))
-    runs = gold_runs.unionByName(cand_runs).join(counts, "query_key", "left").withColumn(
-        "row_count", F.when(F.col("ok"), F.coalesce("row_count", F.lit(0))).otherwise(F.lit(0)).cast("long")
-    )
+
+    def run(prefix: str, ok: Column, error: Column, n: Column, elapsed: Column) -> Column:
+        return F.struct(
+            F.concat(F.lit(prefix), skey).alias("query_key"), ok.alias("ok"), error.alias("error_type"), F.lit("").alias("error_message"),
+            F.lit(False).alias("truncated"), elapsed.alias("elapsed_ms"), F.when(ok, n).otherwise(0).cast("long").alias("row_count"),
+        )
+
+    gold_error = F.when(s % 8 == 7, F.lit("runtime_error")).otherwise(F.lit("ok"))
+    runs = sup.select(F.explode(F.array(
+        run("g-", s % 8 != 7, gold_error, F.col("n_gold"), (s * 37) % 3000),
+        run("c-", status == "ok", status, F.col("n_cand"), (s * 53) % 3000),
+    )).alias("r")).select("r.*")
     candidates = sup.select(
         skey.alias("pair_id"),
         F.concat(F.lit("g-"), skey).alias("gold_key"),
@@ -517,14 +514,14 @@ def examples_from_conversations(conversations: DataFrame, part: DataFrame) -> Da
     )
     both = u.join(a, ["conv_id", "turn"]).withColumn("_part", F.col("conv_id") * 37 % F.lit(top) + 1)
     return both.join(homes, "_part").select(
-        F.concat(F.lit("c"), F.lpad(F.col("conv_id").cast("string"), 6, "0"), F.lit("-"), F.col("turn").cast("string")).alias("id"),
+        F.concat(F.lit("c"), _padded(F.col("conv_id").cast("string")), F.lit("-"), F.col("turn").cast("string")).alias("id"),
         "question", "sql", "db_id",
         (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"),
     )
 
 
 def sql_examples() -> str:
-    return """(SELECT 'c' || lpad(CAST(u.conv_id AS VARCHAR), 6, '0') || '-' || CAST(u.turn AS VARCHAR) AS id,
+    return """(SELECT 'c' || lpad(CAST(u.conv_id AS VARCHAR), greatest(6, length(CAST(u.conv_id AS VARCHAR))), '0') || '-' || CAST(u.turn AS VARCHAR) AS id,
           u.text AS question, a.text AS sql,
           h.p_brand || '/' || CAST(h.p_partkey // 200 AS VARCHAR) AS db_id,
           u.conv_id * 1000 + u.turn AS ord

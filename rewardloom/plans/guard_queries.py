@@ -101,6 +101,12 @@ PAIRS = (
      "SELECT a.n_name AS x, b.n_name AS y FROM nation b JOIN nation a ON a.n_regionkey = b.n_nationkey", "match"),
     ("sums", "SELECT l_suppkey, sum(l_extendedprice * l_discount) FROM lineitem GROUP BY l_suppkey",
      "SELECT l_suppkey, sum(l_discount * l_extendedprice) FROM lineitem GROUP BY l_suppkey", "match"),
+    ("sums_in_another_order", "SELECT sum(l_extendedprice) FROM lineitem",
+     "SELECT sum(s) FROM (SELECT sum(l_extendedprice) AS s FROM lineitem GROUP BY l_suppkey)", "match"),
+    ("grouped_sums_in_another_order", "SELECT l_returnflag, sum(l_extendedprice), avg(l_quantity) FROM lineitem GROUP BY l_returnflag",
+     "SELECT l_returnflag, sum(s), sum(q) / sum(n) FROM (SELECT l_returnflag, sum(l_extendedprice) AS s, sum(l_quantity) AS q, "
+     "count(*) AS n FROM lineitem GROUP BY l_returnflag, l_suppkey) GROUP BY l_returnflag", "match"),
+    ("changed_cents", "SELECT sum(l_extendedprice) FROM lineitem", "SELECT sum(l_extendedprice) + 0.05 FROM lineitem", "exec_mismatch"),
     ("columns_swapped", "SELECT n_nationkey, n_regionkey FROM nation", "SELECT n_regionkey, n_nationkey FROM nation", "exec_mismatch"),
     ("multiplicity", "SELECT o_orderstatus FROM orders", "SELECT DISTINCT o_orderstatus FROM orders", "exec_mismatch"),
     ("empty_gold", "SELECT o_orderkey FROM orders WHERE o_orderkey < 0", "SELECT o_custkey FROM orders WHERE o_custkey < 0", "match"),
@@ -113,6 +119,23 @@ PAIRS = (
 _FAILED = {"syntax_error", "runtime_error", "forbidden"}
 
 
+def _same_sql(pair: str, gold: str, candidate: str) -> str:
+    """Whether DuckDB finds the same rows, sums up to rounding."""
+    near = lambda *columns: " AND ".join(f"abs(g.{c} - c.{c}) <= 1e-12 * abs(g.{c})" for c in columns)
+    if pair in ("sums_in_another_order", "changed_cents"):
+        return f"(SELECT {near('a')} FROM ({gold}) g(a), ({candidate}) c(a))"
+    if pair in ("sums", "grouped_sums_in_another_order"):
+        names, checked = ("k, a", "a") if pair == "sums" else ("k, a, b", "ab")
+        return (
+            f"(SELECT bool_and(coalesce({near(*checked)}, FALSE)) FROM ({gold}) g({names}) FULL JOIN ({candidate}) c({names}) USING (k))"
+        )
+    return f"NOT EXISTS (({gold} EXCEPT ALL {_bare(candidate)}) UNION ALL ({_bare(candidate)} EXCEPT ALL {gold}))"
+
+
+def _bare(sql: str) -> str:
+    return f"SELECT * FROM ({sql})"
+
+
 CAP = 5
 
 
@@ -163,6 +186,49 @@ def queries() -> dict:
     return out
 
 
+def oracle_sql() -> dict:
+    out = {f"guarded_{k}": v for k, v in G_QUERIES.items()}
+    parts = [
+        f"SELECT {sql_str(n)} AS query_id, TRUE AS ok, 'ok' AS error_type, "
+        f"(SELECT CAST(count(*) AS BIGINT) FROM ({s})) AS row_count, FALSE AS truncated"
+        for n, s in G_QUERIES.items()
+    ]
+    parts += [
+        f"SELECT {sql_str(f'bad_{i}')}, FALSE, {sql_str(et)}, CAST(0 AS BIGINT), FALSE"
+        for i, (_, et) in enumerate(BAD_QUERIES)
+    ]
+    out["guarded_runs"] = " UNION ALL ".join(parts)
+    capped = []
+    for n, s in G_QUERIES.items():
+        for k in (1, 2):
+            capped.append(
+                f"SELECT {sql_str(f'{n}-{k}')} AS query_id, least(c, {CAP}) AS row_count, c > {CAP} AS truncated, least(c, {CAP}) AS stored "
+                f"FROM (SELECT CAST(count(*) AS BIGINT) AS c FROM ({s}))"
+            )
+    out["guarded_capped"] = " UNION ALL ".join(capped)
+    reward = RewardConfig()
+    outcomes = []
+    for pair, gold, candidate, reason in PAIRS:
+        failed = pair == "missing_database" or reason in _FAILED
+        error = "unknown_error" if pair == "missing_database" else reason if failed else "ok"
+        if reason in ("match", "exec_mismatch"):
+            outcomes.append(
+                f"SELECT {sql_str(pair)} AS pair_id, same AS matched, CASE WHEN same THEN 'match' ELSE 'exec_mismatch' END AS reason, "
+                f"CAST(CASE WHEN same THEN {reward.match} ELSE {reward.exec_mismatch} END AS DOUBLE) AS reward, TRUE AS exec_ok, "
+                f"'ok' AS error_type FROM (SELECT {_same_sql(pair, gold, candidate)} AS same)"
+            )
+            continue
+        worth = getattr(reward, "unknown_error" if reason == "gold_failed" else reason)
+        outcomes.append(
+            f"SELECT {sql_str(pair)} AS pair_id, FALSE AS matched, {sql_str(reason)} AS reason, "
+            f"CAST({worth} AS DOUBLE) AS reward, {not failed} AS exec_ok, {sql_str(error)} AS error_type"
+        )
+    out["scored_sql_pairs"] = scored_sql_pairs
+    out["guarded_cells"] = guarded_cells
+    out["guarded_capped"] = guarded_capped
+    return out
+
+
 def oracle_sql() -> dict:
     out = {f"guarded_{k}": v for k, v in G_QUERIES.items()}
     parts = [

@@ -14,7 +14,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -98,3 +98,10 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for a written intermediate."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` under the shared checkpoint folder and reads it back; cuts its lineage."""
+    path = scratch_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
