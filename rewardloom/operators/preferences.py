@@ -18,26 +18,34 @@ prefix. So each group needs only:
 
 1. one aggregate (chosen row as ``max(struct)``, counts, "any eligible row
    matched"), which Spark combines map-side, and
-2. for k > 1, the k+1 worst eligible rows: positions come from one global
-   ranking of the rows' rank fields (range-partitioned, so that a hot group is
-   spread over many tasks); their texts are attached once the k+1 are known.
+2. for k > 1, the k + 1 worst eligible rows, in two stages: first of each (group, salt),
+   then of each group. Spark limits both before their exchange, and the last task of a
+   group gets at most ``SALTS`` * (k + 1) rows, however many the group or the map tasks.
+
+Groups are told by a 128-bit hash of their key, so that neither prompts nor SQL texts are in
+these exchanges; texts are attached by ``ord`` to the rows of pairs alone. For the
+default of one pair an example, texts ride in the aggregate instead (the rejected row
+is its ``min(struct)``): one scan, one exchange of partial aggregates, no join. Counters
+never read texts beyond the hash.
 
 Neither step ever moves a whole group into one task, so a group holding a
-third of all rows costs the same as any other. The two group-level results
-are joined on the group key; both sides are already hash-partitioned on it.
+third of all rows costs the same as any other, and nothing runs while a plan is built.
 """
 
 from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rewardloom.functions import text as T
-from rewardloom.operators.ordinal import with_global_rank
 
 KEY = ["id", "db_id", "prompt"]
+#: The 128-bit hash of a group's key.
+GROUP = ["_g1", "_g2"]
+#: Shares that a group's rows are dealt into before its worst rows are taken.
+SALTS = 32
 
 # Skip-reason names and the stats counters' names.
 SKIP_REASONS = ("small_group", "no_valid", "chosen_not_matched", "gap")
@@ -122,104 +130,96 @@ def _key_ok() -> Column:
     )
 
 
-def _walk_positions_ranked(rows: DataFrame, k: int) -> DataFrame:
-    """Eligible rows with ``pair_idx`` = 1-based position in their group's
-    walk, kept up to k + 1, computed without gathering any group."""
-    walk_order = [
-        *[F.col(c) for c in KEY],
-        F.col("reward").asc(), F.col("exec_ok").asc(), F.col("valid").asc(),
-        F.col("candidate_id").desc(), F.col("ord").desc(),
-    ]
-    narrow = rows.filter(F.col("_elig") & _key_ok()).select(*KEY, "reward", "exec_ok", "valid", "candidate_id", "ord")
-    ranked = with_global_rank(narrow, walk_order, name="_grank")
-    starts = ranked.groupBy(*KEY).agg(F.min("_grank").alias("_start"))
-    worst = (
-        ranked.join(starts, KEY)
-        .withColumn("pair_idx", F.col("_grank") - F.col("_start") + 1)
-        .filter(F.col("pair_idx") <= k + 1)
-        .drop("_grank", "_start")
-    )
-    # ``ord`` identifies a row.
-    return worst.join(rows.select("ord", "candidate_sql", "error_type"), "ord")
-
+def worst_of_groups(rows: DataFrame, k: int) -> DataFrame:
+    """The ``k`` worst eligible rows of each group, ``pair_idx`` = place in the walk from 1."""
+    order = [F.col("reward").asc(), F.col("exec_ok").asc(), F.col("valid").asc(), F.col("candidate_id").desc(), F.col("ord").desc()]
+    narrow = rows.filter(F.col("_elig") & F.col("_key_ok")).select(*GROUP, "reward", "exec_ok", "valid", "candidate_id", "ord")
+    salted = narrow.withColumn("_salt", F.pmod(F.xxhash64("ord"), F.lit(SALTS)))
+    of_salt = salted.withColumn("pair_idx", F.row_number().over(Window.partitionBy(*GROUP, "_salt").orderBy(*order))).filter(F.col("pair_idx") <= k)
+    of_group = of_salt.withColumn("pair_idx", F.row_number().over(Window.partitionBy(*GROUP).orderBy(*order)))
+    return of_group.filter(F.col("pair_idx") <= k).drop("_salt")
 
-def build_preferences(rollouts: DataFrame, cfg: PreferenceConfig = PreferenceConfig(), ord_col: str = "ord") -> PreferenceResult:
-    """Rollouts -> preference pairs + per-group outcomes + stats."""
-    rows = prepare_rollouts(rollouts, ord_col).withColumn("_elig", _eligible(cfg))
 
-    # (1) One aggregate per group, over all rows (rows with an empty key form
-    # their own groups and only count towards rollouts_read).
+def _grouped(rows: DataFrame, keys: list[str], texts: bool, k: int) -> DataFrame:
+    """One aggregate per group, over all rows (rows with an empty key form
+    their own groups and only count towards rollouts_read)."""
     rank_struct = F.struct(
         F.col("reward"), F.col("exec_ok"), F.col("valid"),
         (-F.col("candidate_id")).alias("neg_cid"), (-F.col("ord")).alias("neg_ord"),
         F.col("candidate_id"), F.col("ord"), F.col("matched"),
-        F.col("candidate_sql"), F.col("error_type"),
+        *([F.col("candidate_sql"), F.col("error_type")] if texts else []),
     )
-    k = int(cfg.max_pairs_per_example)
     aggs = [
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("_elig")).alias("n_eligible"),
         F.coalesce(F.bool_or(F.col("_elig") & F.col("matched")), F.lit(False)).alias("any_eligible_matched"),
         F.max(F.when(F.col("_elig"), rank_struct)).alias("chosen"),
         F.min("ord").alias("group_ord"),
+        F.bool_or("_key_ok").alias("_key_ok"),
     ]
     if k == 1:
         # The walk starts at the worst eligible row: the minimum of the same
         # rank struct. It can only be the chosen row when fewer than two rows
         # are eligible, and then the group yields no pair anyway.
         aggs.append(F.min(F.when(F.col("_elig"), rank_struct)).alias("worst"))
-    groups = rows.groupBy(*KEY).agg(*aggs).withColumn("_key_ok", _key_ok())
-
-    # K1: the first max_examples groups by id text (stable on first appearance).
-    if cfg.max_examples is not None:
-        # Only ids and positions are ranked; a group's first position identifies it.
-        first = rows.filter(_key_ok()).groupBy(*KEY).agg(F.min("ord").alias("group_ord")).select("id", "group_ord")
-        ranked = with_global_rank(first, ["id", "group_ord"], name="_grank")
-        seen = ranked.filter(F.col("_grank") <= cfg.max_examples).select("group_ord", F.lit(True).alias("_in"))
-        groups = groups.join(seen, "group_ord", "left").withColumn(
-            "_seen", F.col("_key_ok") & F.coalesce(F.col("_in"), F.lit(False))
-        ).drop("_in")
-    else:
-        groups = groups.withColumn("_seen", F.col("_key_ok"))
+    return rows.groupBy(*keys).agg(*aggs)
+
+
+def _with_seen(groups: DataFrame, rows: DataFrame, cfg: PreferenceConfig) -> DataFrame:
+    """K1: marks the first ``max_examples`` groups by id text (stable on first appearance)."""
+    if cfg.max_examples is None:
+        return groups.withColumn("_seen", F.col("_key_ok"))
+    first = rows.filter("_key_ok").groupBy(*GROUP).agg(F.min("id").alias("id"), F.min("ord").alias("_first"))
+    seen = first.orderBy("id", "_first").limit(cfg.max_examples).select("_first", F.lit(True).alias("_in"))
+    marked = groups.join(seen, F.col("group_ord") == F.col("_first"), "left")
+    return marked.withColumn("_seen", F.col("_key_ok") & F.coalesce("_in", F.lit(False))).drop("_first", "_in")
+
 
+def _picked(groups: DataFrame, rows: DataFrame, cfg: PreferenceConfig) -> DataFrame:
+    """The emitted rows: the group's columns with the rejected row's, ``pair_idx`` and ``reward_gap``."""
+    k = int(cfg.max_pairs_per_example)
     pairable = groups.filter(
         F.col("_seen") & (F.col("n_rows") >= 2) & (F.col("n_eligible") >= 2)
         & (F.lit(not cfg.require_chosen_matched) | F.col("chosen.matched"))
     )
-
     m = float(cfg.min_reward_gap)
     if k == 1:
         # Single pass: the one candidate is the worst row from the aggregate.
-        cand = pairable.select(
-            *KEY, "chosen", "group_ord",
-            F.lit(1).alias("pair_idx"),
-            *[F.col(f"worst.{c}").alias(c) for c in ("reward", "candidate_id", "ord", "candidate_sql", "error_type")],
-        ).withColumn("reward_gap", F.col("chosen.reward") - F.col("reward"))
+        cand = pairable.select("*", F.lit(1).alias("pair_idx"), "worst.reward", "worst.candidate_id", "worst.ord")
     else:
-        # (2) The k+1 worst eligible rows per group, in walk order.
-        worst = _walk_positions_ranked(rows, k)
-        cand = (
-            worst.join(pairable.select(*KEY, "chosen", "group_ord"), KEY)
-            # The chosen row is the last of the walk: dropping it leaves rows 1..k.
-            .filter(~((F.col("ord") == F.col("chosen.ord")) & (F.col("candidate_id") == F.col("chosen.candidate_id"))))
-            .filter(F.col("pair_idx") <= k)
-            .withColumn("reward_gap", F.col("chosen.reward") - F.col("reward"))
-        )
+        # The k + 1 worst eligible rows per group, in walk order. The chosen row is the last
+        # of the walk: dropping it leaves rows 1..k.
+        cand = pairable.join(worst_of_groups(rows, k + 1), GROUP).filter((F.col("ord") != F.col("chosen.ord")) & (F.col("pair_idx") <= k))
+    cand = cand.withColumn("reward_gap", F.col("chosen.reward") - F.col("reward"))
     gap = F.col("reward_gap")
     if cfg.allow_ties and k == 1:
         emitted = (gap >= F.lit(m)) | (gap == 0)
     elif cfg.allow_ties:
-        # A zero gap is emitted unless some row before it stopped the walk;
-        # such a row has 0 < gap < min and lies in the same prefix.
-        blocking = (gap > 0) & (gap < F.lit(m))
-        # Up to k rows per group here: mark blocked groups by a distinct
-        # set of keys (map-side combined) rather than a group window.
-        blocked_keys = cand.filter(blocking).select(*KEY).distinct().withColumn("_blocked", F.lit(True))
-        cand = cand.join(blocked_keys, KEY, "left").withColumn("_blocked", F.coalesce("_blocked", F.lit(False)))
+        # A zero gap is emitted unless some row before it stopped the walk; such a row has
+        # 0 < gap < min and lies in the same prefix, of at most k rows a group.
+        blocking = F.when((gap > 0) & (gap < F.lit(m)), 1).otherwise(0)
+        cand = cand.withColumn("_blocked", F.max(blocking).over(Window.partitionBy(*GROUP)) == 1)
         emitted = (gap >= F.lit(m)) | ((gap == 0) & ~F.col("_blocked"))
     else:
         emitted = (gap >= F.lit(m)) & (gap > 0)
-    picked = cand.filter(emitted)
+    return cand.filter(emitted)
+
+
+def build_preferences(rollouts: DataFrame, cfg: PreferenceConfig = PreferenceConfig(), ord_col: str = "ord") -> PreferenceResult:
+    """Rollouts -> preference pairs + per-group outcomes + stats."""
+    k = int(cfg.max_pairs_per_example)
+    rows = prepare_rollouts(rollouts, ord_col).withColumn("_elig", _eligible(cfg)).withColumn("_key_ok", _key_ok())
+    rows = rows.withColumn("_g1", F.xxhash64(*KEY)).withColumn("_g2", F.xxhash64(F.lit("second"), *KEY))
+    groups = _with_seen(_grouped(rows, GROUP, False, k), rows, cfg)
+    picked_ords = _picked(groups, rows, cfg)
+    if k == 1:
+        picked = _picked(_with_seen(_grouped(rows, KEY, True, k), rows, cfg), rows, cfg)
+        picked = picked.withColumn("candidate_sql", F.col("worst.candidate_sql")).withColumn("error_type", F.col("worst.error_type"))
+    else:
+        texts = ["candidate_sql", "error_type"]
+        best = rows.select(F.col("ord").alias("_chosen_ord"), *KEY, F.struct(*texts).alias("_chosen_texts"))
+        picked = picked_ords.join(best, F.col("chosen.ord") == F.col("_chosen_ord")).join(rows.select("ord", *texts), "ord")
+        picked = picked.withColumn("chosen", F.struct("chosen.*", "_chosen_texts.*"))
 
     chosen_sql = T.ensure_im_end(F.col("chosen.candidate_sql"))
     ordered = picked.select(
@@ -240,10 +240,10 @@ def build_preferences(rollouts: DataFrame, cfg: PreferenceConfig = PreferenceCon
     )
     pairs = ordered.drop("group_ord", "pair_idx")
 
-    # A5: skip reason per group, in the reference's order of tests.
-    written = picked.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_pairs"))
+    # A5: skip reason per group, in the reference's order of tests. A group's first position identifies it.
+    written = picked_ords.groupBy("group_ord").agg(F.count(F.lit(1)).alias("n_pairs"))
     outcomes = (
-        groups.join(written, KEY, "left")
+        groups.join(written, "group_ord", "left")
         .withColumn("n_pairs", F.coalesce(F.col("n_pairs"), F.lit(0)))
         .withColumn(
             "outcome",
@@ -264,7 +264,8 @@ def build_preferences(rollouts: DataFrame, cfg: PreferenceConfig = PreferenceCon
         F.coalesce(F.sum(F.when(F.col("_seen"), F.col("n_pairs"))), F.lit(0)).cast("long").alias("preferences_written"),
         F.count_if(F.col("outcome") == "chosen_not_matched").cast("long").alias("examples_skipped_chosen_not_matched"),
     )
-    group_outcomes = outcomes.filter("_key_ok").select(
+    names = rows.select(F.col("ord").alias("group_ord"), *KEY)
+    group_outcomes = outcomes.filter("_key_ok").join(names, "group_ord").select(
         *KEY, "group_ord", "n_rows", "n_eligible", "any_eligible_matched", "n_pairs", "outcome"
     )
     return PreferenceResult(pairs=pairs, ordered_pairs=ordered, group_outcomes=group_outcomes, stats=stats)

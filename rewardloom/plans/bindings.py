@@ -159,7 +159,7 @@ def sql_chatml_prompt(schema: str, question: str) -> str:
 def sql_rollouts_from_events(by_day: bool = False, cfg: RewardConfig = ROLLOUT_REWARD) -> str:
     uid = "CAST(user_id AS VARCHAR)"
     day = "strftime(ts, '%Y-%m-%d')"
-    ident = f"('u' || lpad({uid}, greatest(6, length({uid})), '0'))"
+    ident = f"('u' || lpad({uid}, CAST(greatest(6, length({uid})) AS INTEGER), '0'))"
     question = f"('Which events did user ' || {uid} || ' have')"
     if by_day:
         ident = f"({ident} || '-' || {day})"
@@ -521,7 +521,7 @@ def examples_from_conversations(conversations: DataFrame, part: DataFrame) -> Da
 
 
 def sql_examples() -> str:
-    return """(SELECT 'c' || lpad(CAST(u.conv_id AS VARCHAR), greatest(6, length(CAST(u.conv_id AS VARCHAR))), '0') || '-' || CAST(u.turn AS VARCHAR) AS id,
+    return """(SELECT 'c' || lpad(CAST(u.conv_id AS VARCHAR), CAST(greatest(6, length(CAST(u.conv_id AS VARCHAR))) AS INTEGER), '0') || '-' || CAST(u.turn AS VARCHAR) AS id,
           u.text AS question, a.text AS sql,
           h.p_brand || '/' || CAST(h.p_partkey // 200 AS VARCHAR) AS db_id,
           u.conv_id * 1000 + u.turn AS ord

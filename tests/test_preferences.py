@@ -185,3 +185,27 @@ def test_walk_of_a_long_group(spark, k):
     res = build_preferences(spark.createDataFrame(rows, ROLLOUT_DDL), PreferenceConfig(max_pairs_per_example=k))
     got = [(r["pair_idx"], r["meta"]["rejected_candidate_id"]) for r in res.ordered_pairs.orderBy("pair_idx").collect()]
     assert got == [(n, 101 - n) for n in range(1, min(k, 100) + 1)]
+
+
+def test_walks_move_neither_prompts_nor_sql_and_start_no_job(spark):
+    from pyspark.sql import functions as F
+
+    from rewardloom.operators import preferences as P
+
+    rows = spark.range(5000).select(
+        F.concat(F.lit("e"), (F.col("id") % 7 * (F.col("id") % 3)).cast("string")).alias("id"), F.lit("d").alias("db_id"),
+        F.repeat(F.lit("p"), 500).alias("prompt"), (F.col("id") % 11 / 10).alias("reward"), F.col("id").alias("candidate_id"),
+        F.lit(True).alias("valid"), F.lit(True).alias("exec_ok"), F.lit(True).alias("matched"), F.lit("SELECT 1").alias("candidate_sql"), F.col("id").alias("ord"),
+    )
+    group = "preference-planning"
+    spark.sparkContext.setJobGroup(group, group)
+    out = P.build_preferences(rows, P.PreferenceConfig(max_pairs_per_example=4, max_examples=3))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    whole = P.prepare_rollouts(rows).withColumn("_elig", F.lit(True)).withColumn("_key_ok", F.lit(True)).withColumn("_g1", F.xxhash64("id")).withColumn("_g2", F.xxhash64("db_id"))
+    plan = P.worst_of_groups(whole, 5)._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.splitlines() if "Exchange" in line or "WindowGroupLimit" in line]
+    assert sum("Partial" in line for line in exchanged) == 2 and "prompt" not in plan.split("Range")[0] and "candidate_sql" not in plan
+    worst = P.worst_of_groups(whole, 5).groupBy("_g1").agg(F.count("*").alias("n"), F.max("pair_idx").alias("top")).collect()
+    assert worst and all(r.n == 5 == r.top for r in worst)
+    assert out.pairs.count() == 3 * 4 and "prompt" not in out.stats._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[1]
