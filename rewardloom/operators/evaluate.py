@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rewardloom.functions.text import DIFFICULTIES, difficulty
-from rewardloom.operators.ordinal import running_totals, with_global_rank
+from rewardloom.operators.ordinal import running_totals
 
 OVERALL = "all"
 
@@ -111,8 +111,9 @@ def compare_with_base(results: DataFrame, base_label: str) -> DataFrame:
 
 def rank_models(results: DataFrame) -> DataFrame:
     """K3: models by accuracy, best first (label breaks ties); rank 1..n."""
-    m = metrics(results)
-    return with_global_rank(m, [F.col("execution_accuracy").desc(), F.col("label").asc()], name="rank")
+    # One row a model, so one task may rank them.
+    best = Window.orderBy(F.col("execution_accuracy").desc(), F.col("label").asc())
+    return metrics(results).withColumn("rank", F.row_number().over(best).cast("long"))
 
 
 def running_accuracy(results: DataFrame, order_col: str = "example_idx") -> DataFrame:

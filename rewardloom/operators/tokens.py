@@ -47,7 +47,7 @@ def build_vocabulary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(token, id, count)`` over the given text columns."""
     tokens = df.select(F.explode(F.flatten(F.array(*[whitespace_tokens(c) for c in cols]))).alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
-    ranked = with_global_rank(counts, [F.col("count").desc(), F.col("token").asc()], name="id")
+    ranked = with_global_rank(counts, [("count", False), "token"], name="id")
     return ranked.select("token", (F.col("id") + F.lit(PAD_ID)).cast("int").alias("id"), F.col("count").cast("long"))
 
 

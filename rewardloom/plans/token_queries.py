@@ -90,10 +90,12 @@ def fixed_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _sft_ids(spark, sf_dir)
     from rewardloom.operators.ordinal import with_global_rank
 
-    ordered = with_global_rank(ids.select("id", "prompt_ids"), ["id"], name="_pos")
+    # Input order: by conversation and turn, as numbers.
+    number = lambda pattern: F.regexp_extract("id", pattern, 1).cast("long")
+    ids = _sft_ids(spark, sf_dir).select("id", "prompt_ids", number("^c([0-9]+)-").alias("_conv"), number("-([0-9]+)$").alias("_turn"))
+    ordered = with_global_rank(ids, ["_conv", "_turn"], name="_pos")
     b = TK.batch_padding(ordered.withColumn("_pos", F.col("_pos") - 1), "_pos", "prompt_ids", BATCH_SIZE)
     return b.select(
         "id", "batch_id",
@@ -208,7 +210,7 @@ def oracle_sql() -> dict:
                    ({L} * ({L} + 1)) // 2 - (n_real * (n_real + 1)) // 2
                    + (least(plen, n_real) * (least(plen, n_real) + 1)) // 2) AS BIGINT) AS labels_checksum
         FROM k"""
-    batches = f"""WITH r AS (SELECT id, n_prompt, row_number() OVER (ORDER BY id) - 1 AS pos FROM {per_row}),
+    batches = f"""WITH r AS (SELECT id, n_prompt, row_number() OVER (ORDER BY CAST(regexp_extract(id, '^c([0-9]+)-', 1) AS BIGINT), CAST(regexp_extract(id, '-([0-9]+)$', 1) AS BIGINT)) - 1 AS pos FROM {per_row}),
           b AS (SELECT id, n_prompt, pos // {BATCH_SIZE} AS batch_id FROM r)
         SELECT id, CAST(batch_id AS BIGINT) AS batch_id,
                CAST(ceil(max(n_prompt) OVER (PARTITION BY batch_id) / 8) * 8 AS BIGINT) AS padded_length,

@@ -137,3 +137,36 @@ def test_throughput_and_database_exists(spark):
     ).collect()
     assert [r.x for r in row] == [0.06, 0.0]
     assert IO.database_exists(spark, "default") and not IO.database_exists(spark, "no_such_db_here")
+
+
+def test_ranks_by_several_keys_with_nulls_and_both_directions(spark):
+    import random
+
+    from rewardloom.operators import ordinal as O
+
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 2, 2, 2, 3]), rng.choice([None, "a", "b'"]), k) for k in range(700)]
+    df = spark.createDataFrame(rows, "x int, y string, z long").repartition(6)
+    key = lambda r: (-r[0] if r[0] is not None else 99, r[1] is not None, r[1] or "", r[2])
+    want = {r[2]: n for n, r in enumerate(sorted(rows, key=key), 1)}
+    for how in (1, 3, 16):
+        got = {r.z: r.r for r in with_global_rank(df, [("x", False), "y", "z"], name="r", num_partitions=how).collect()}
+        assert got == want
+    bounds = O.range_bounds(df, [("x", False), "y", "z"], 8)
+    assert len(bounds) == 7
+    sizes = [r[0] for r in df.groupBy(O.bucket_of([("x", False), "y", "z"], bounds)).count().select("count").collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 700 / 8
+
+
+def test_positions_need_no_checkpoint_and_one_exchange_of_rows(spark):
+    df = spark.range(0, 4000).select((F.col("id") * 7919 % 4000).alias("k"), (F.col("id") % 3).alias("g"), F.repeat(F.lit("t"), 50).alias("text"))
+    rank = with_global_rank(df, ["k"], name="r")
+    totals = running_totals(df, ["g"], ["k"], {"s": F.col("k")})
+    for out in (rank, totals):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "ExistingRDD" not in plan and "rangepartitioning" not in plan
+        assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) <= 3
+    assert with_global_rank(df.limit(0), ["k"], name="r").collect() == [] == running_totals(df.limit(0), ["g"], ["k"], {"s": F.col("k")}).collect()
+    nulls = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "g string, k int")
+    got = {(r.g, r.k): (r._n, r.s) for r in running_totals(nulls, ["g"], ["k"], {"s": F.col("k")}, num_partitions=2).collect()}
+    assert got == {(None, 1): (1, 1.0), (None, 2): (2, 3.0), ("a", 1): (1, 1.0)}
