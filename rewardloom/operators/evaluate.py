@@ -136,6 +136,15 @@ def throughput(n_examples: Column, elapsed_s: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(n_examples.cast("double"), elapsed_s.cast("double")), F.lit(0.0)), 2)
 
 
+def running_throughput(results: DataFrame, order_col: str = "example_idx", time_ms: str = "exec_time_ms") -> DataFrame:
+    """Per label, examples per second over the examples evaluated so far."""
+    own = results.select("label", order_col, F.coalesce(F.col(time_ms), F.lit(0)).alias("_t"))
+    rt = running_totals(own, ["label"], [order_col], {"_t": F.col("_t")})
+    # One division of whole numbers, so that the second decimal is rounded from the exact quotient.
+    rate = throughput(F.col("_n") * 1000, F.col("_t"))
+    return rt.select("label", order_col, F.col("_n").cast("long").alias("examples_so_far"), rate.alias("examples_per_second"))
+
+
 def eval_rows(scored: DataFrame, label: str | Column) -> DataFrame:
     """D11 rows from scored candidates (one prediction per example), with the
     M4 fallback: a row whose runs name a missing database could not be

@@ -12,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rewardloom.operators.evaluate import eval_rows
 from rewardloom.operators.guard import GuardConfig, QueryRunner, child_session, guarded_sql, tables_catalog
 from rewardloom.operators.reward import RewardConfig
 from rewardloom.operators.rollouts import score_sql_pairs
+from rewardloom.plans import sqltext as S
 from rewardloom.plans.bindings import TABLES, sql_str
 
 # Query surface the reference names (G1-G7); texts are valid in both engines.
@@ -150,14 +152,24 @@ def guarded_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.queries.join(runs, "query_key").select("query_id", "row_count", "truncated", F.coalesce("stored", F.lit(0)).alias("stored"))
 
 
-def scored_sql_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q5: guarded runs of gold and candidate SQL, bag comparison, reward."""
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(p, "elsewhere" if p == "missing_database" else "main", g, c) for p, g, c, _ in PAIRS]
     pairs = spark.createDataFrame(rows, "pair_id string, db_id string, gold_sql string, candidate_sql string")
     scored, _ = score_sql_pairs(
         spark, pairs, tables_catalog(spark, sf_dir, TABLES), guard_cfg=GuardConfig(timeout_s=300.0, max_workers=4)
     )
-    return scored.select("pair_id", "matched", "reason", "reward", "exec_ok", "error_type")
+    return scored
+
+
+def scored_sql_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5: guarded runs of gold and candidate SQL, bag comparison, reward."""
+    return _scored(spark, sf_dir).select("pair_id", "matched", "reason", "reward", "exec_ok", "error_type")
+
+
+def eval_from_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: evaluation rows from runs; what could not be scored is an ``eval_error`` of reward 0."""
+    rows = eval_rows(_scored(spark, sf_dir), "model")
+    return rows.select("label", "pair_id", "matched", "reason", "reward", "error_type", "gold_failed", "difficulty")
 
 
 CELLS_SQL = (
@@ -181,6 +193,7 @@ def queries() -> dict:
     out = {f"guarded_{k}": _g(v) for k, v in G_QUERIES.items()}
     out["guarded_runs"] = guarded_runs
     out["scored_sql_pairs"] = scored_sql_pairs
+    out["eval_from_runs"] = eval_from_runs
     out["guarded_cells"] = guarded_cells
     out["guarded_capped"] = guarded_capped
     return out
@@ -224,6 +237,7 @@ def oracle_sql() -> dict:
             f"CAST({worth} AS DOUBLE) AS reward, {not failed} AS exec_ok, {sql_str(error)} AS error_type"
         )
     out["scored_sql_pairs"] = scored_sql_pairs
+    out["eval_from_runs"] = eval_from_runs
     out["guarded_cells"] = guarded_cells
     out["guarded_capped"] = guarded_capped
     return out
@@ -260,6 +274,12 @@ def oracle_sql() -> dict:
             f"CAST({worth} AS DOUBLE) AS reward, {not failed} AS exec_ok, {sql_str(error)} AS error_type"
         )
     out["scored_sql_pairs"] = " UNION ALL ".join(outcomes)
+    golds = ", ".join(f"({sql_str(p)}, {sql_str(g)})" for p, g, _, _ in PAIRS)
+    out["eval_from_runs"] = f"""SELECT 'model' AS label, pair_id, matched AND NOT missing AS matched,
+        CASE WHEN missing THEN 'eval_error' ELSE reason END AS reason, CASE WHEN missing THEN 0.0 ELSE reward END::DOUBLE AS reward,
+        error_type, NOT missing AND reason = 'gold_failed' AS gold_failed, {S.difficulty('gold_sql')} AS difficulty
+        FROM (SELECT s.*, v.gold_sql, s.pair_id = 'missing_database' AS missing
+              FROM ({out['scored_sql_pairs']}) s JOIN (VALUES {golds}) v(pair_id, gold_sql) USING (pair_id))"""
     out["guarded_cells"] = """SELECT CAST(o_orderkey AS BIGINT) AS key, CAST(o_totalprice AS DOUBLE) AS price,
         CASE WHEN o_totalprice > 150000 THEN '1' WHEN o_totalprice <= 150000 THEN '0' ELSE 'NULL' END AS flag, 'NULL' AS nothing,
         o_orderstatus AS status, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) AS exact, CAST(o_orderkey AS BIGINT) AS again

@@ -81,6 +81,14 @@ def eval_running_accuracy(ev: str) -> str:
                FROM {ev}"""
 
 
+def eval_running_throughput(ev: str) -> str:
+    w = "OVER (PARTITION BY label ORDER BY example_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""SELECT label, example_idx, n AS examples_so_far,
+                      CASE WHEN t = 0 THEN 0.0 ELSE ((200000 * n + t) // (2 * t)) / 100.0 END::DOUBLE AS examples_per_second
+               FROM (SELECT label, example_idx, CAST(count(*) {w} AS BIGINT) AS n,
+                            CAST(sum(coalesce(exec_time_ms, 0)) {w} AS BIGINT) AS t FROM {ev})"""
+
+
 def _bags() -> str:
     return f"""
       g AS (SELECT query_key, list_sort(list(row_text)) AS l FROM {B.SQL_LI_GOLD} GROUP BY 1),

@@ -133,6 +133,7 @@ def queries() -> dict[str, Query]:
         "eval_vs_base": _eval(lambda r: EV.compare_with_base(r, "base")),
         "eval_model_rank": _eval(EV.rank_models),
         "eval_running_accuracy": _eval(EV.running_accuracy),
+        "eval_running_throughput": _eval(EV.running_throughput),
         "result_compare": _result_compare,
         "scored_candidates": _scored,
         **RQ.queries(),
@@ -185,6 +186,7 @@ def oracle_sql() -> dict[str, str]:
         "eval_vs_base": O2.eval_vs_base(ev, "base"),
         "eval_model_rank": O2.eval_model_rank(ev),
         "eval_running_accuracy": O2.eval_running_accuracy(ev),
+        "eval_running_throughput": O2.eval_running_throughput(ev),
         "result_compare": O2.result_compare(),
         "scored_candidates": O2.scored_candidates(),
         "preferences_by_user": O.preferences(r_user, PREF_DEFAULT),
