@@ -70,13 +70,15 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         made = json.loads(self.tokenizer.to_str())
         split = made["pre_tokenizer"] or {}
+        #: Strings that the tokenizer takes out of a text before all else; a text with one is encoded whole.
+        self.added = [t["content"] for t in made["added_tokens"]]
         # Words may be encoded one by one if the tokenizer itself cuts there and changes no text.
         self.by_word = (
             split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not made["normalizer"]
+            and not any(c.isspace() for t in self.added for c in t)  # so that none arises where words meet
         )
         #: Bytes of each token: such a tokenizer writes a byte as one character.
         self.length = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
@@ -103,7 +105,8 @@ class Encoder:
         if not self.by_word:
             found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
             return [np.array(x.ids, self.dtype).tobytes() for x in found]
-        split = [words_of(t or "") for t in texts]
+        whole = {k: self._ids(t) for k, t in enumerate(texts) if t and any(a in t for a in self.added)}
+        split = [words_of(t or "") if k not in whole else [""] for k, t in enumerate(texts)]
         known = self.after_space
         new = [
             w for w in set(itertools.chain.from_iterable(s[1:] for s in split))
@@ -111,7 +114,7 @@ class Encoder:
         ]
         for k in range(0, len(new), WORDS):
             self._learn(new[k : k + WORDS])
-        return [self.at_start[s[0]] + known.of(s[1:]) for s in split]
+        return [whole[k] if k in whole else self.at_start[s[0]] + known.of(s[1:]) for k, s in enumerate(split)]
 
 
 @functools.lru_cache(maxsize=2)

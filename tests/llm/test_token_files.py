@@ -16,7 +16,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def expected(rows):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in rows:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
@@ -76,6 +75,13 @@ def test_words_are_encoded_as_in_their_text():
     assert codes.encode(texts) == whole
 
 
+def test_special_tokens_in_texts_are_read_as_the_library_reads_them(spark):
+    texts = ["end <|endoftext|> here", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext", " |endoftext|> <|", "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, Q.written_and_read(docs).collect()))
+    assert got == expected(list(enumerate(texts))) and got[0][2] == 5
+
+
 def test_other_tokenizer_encodes_whole_texts():
     codes = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     assert not codes.by_word and codes.encode(["Some  Text"]) == [np.array(codes.tokenizer.encode("Some  Text", add_special_tokens=False).ids, codes.dtype).tobytes()]
