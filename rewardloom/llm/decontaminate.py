@@ -25,7 +25,8 @@ Items are broadcast in blocks of at most ``BLOCK_WORDS`` words, one pass over th
 documents a block.
 
 Cases: a null text has no words and no leak; items without words match nothing,
-and items of fewer than ``MIN_WORDS`` words are only matched whole and exactly;
+and items of fewer than ``SHORT`` words are only matched whole and exactly (at the default
+share, an edit is more than that of them);
 equal items give a row each; repeated documents and null ids give rows of their own;
 texts of any length are searched whole; empty tables give no rows; other columns
 are not read.
@@ -49,7 +50,8 @@ SAMPLES, REPETITIONS = 3, 48
 FIRST = 6
 #: And the second is one of so many after those.
 SECOND = 8
-MIN_WORDS = 8
+#: Words of an item's beginning that are sought as they are; the smallest item that is embedded.
+MIN_WORDS, SHORT = 8, 5
 BLOCK_WORDS = 500_000
 #: Words of documents searched at once.
 SEARCH_WORDS = 1_000_000
@@ -125,7 +127,7 @@ class Index:
         self.first_keys = _next_key(np.uint64(0), np.arange(self.n_codes))
         self.repetitions: list[tuple[np.ndarray, list[_Group], np.ndarray]] = []
         bounds, groups = [], []
-        for size in np.unique(sizes[sizes >= MIN_WORDS]):
+        for size in np.unique(sizes[sizes >= SHORT]):
             if not bounds or size > bounds[-1] * 1.5:
                 bounds.append(int(size))
                 groups.append([])
@@ -148,7 +150,9 @@ class Index:
                 # The first step sampled comes early and is the same for all groups: most windows end there.
                 # The second follows soon, for the same reason.
                 edges = np.concatenate(([FIRST], np.linspace(FIRST + SECOND, 2 * least, samples - 1))).astype(int)
-                steps = np.unique([repetition % FIRST, *(int(random.integers(a, max(a + 1, b))) for a, b in zip(edges, edges[1:]))])
+                # The walk of a short item ends before the last parts begin: it has fewer samples.
+                parts = [(a, max(a + 1, min(b, 2 * least))) for a, b in zip(edges, edges[1:]) if a < 2 * least]
+                steps = np.unique([repetition % FIRST, *(int(random.integers(a, b)) for a, b in parts)])
                 made.append(self._group(moves, steps, members))
             self.repetitions.append((moves, made, self._member(made)))
 
@@ -245,7 +249,7 @@ class Index:
         places: dict[tuple[int, int], list[list[int]]] = {}
         for first, item in sorted(self.candidates(codes) | self.copies(codes, begin)):
             own = self.items[item]
-            limit = int(self.max_share * len(own)) if len(own) >= MIN_WORDS else 0
+            limit = int(self.max_share * len(own)) if len(own) >= SHORT else 0
             text = int(np.searchsorted(begin, first, "right")) - 1
             end = int(begin[text + 1]) - 1
             low, high = max(int(begin[text]), first - limit), min(end, first + limit + 1)
@@ -259,7 +263,7 @@ class Index:
                 ranges.append([low, high])
         for (text, item), ranges in places.items():
             own, best = self.items[item], None
-            limit = int(self.max_share * len(own)) if len(own) >= MIN_WORDS else 0
+            limit = int(self.max_share * len(own)) if len(own) >= SHORT else 0
             for low, high in ranges:
                 words = codes[low : min(int(begin[text + 1]) - 1, high - 1 + len(own) + limit)]
                 near = best_start(own, words, high - low, limit)

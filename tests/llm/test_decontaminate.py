@@ -134,7 +134,7 @@ def test_exact_copies_of_items_of_any_size():
             assert found[k, k] == (k, k, first, len(words), 0)
 
 
-@pytest.mark.parametrize("size", [10, 20, 60])
+@pytest.mark.parametrize("size", [5, 6, 7, 8, 10, 20, 60])
 def test_recall_at_the_largest_share_of_edits(size):
     rng = random.Random(size)
     vocabulary = [f"w{k}" for k in range(3000)]
