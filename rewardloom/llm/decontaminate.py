@@ -10,8 +10,11 @@ random bit of step and word, stays or moves on. Sequences a few edits apart then
 agree at most steps. A repetition samples ``SAMPLES`` steps of one walk, the first from
 its first ``FIRST`` steps, the second from the next ``SECOND`` and the others from
 equal parts of the rest; a window whose sampled words all equal an item's is a candidate.
-Windows begin at every word of every text; the walk of a window goes on only while the
-words sampled so far equal some item's, which leaves few after the first. Items are
+Windows begin at every word of every text near which a leak can be: an edit breaks at most
+two of an item's pairs of neighbouring words, so a window with e edits of n words still
+has n - 1 - 2 e of them, and places around which fewer pairs of any item stand are left out,
+which loses nothing. The walk of a window goes on only while the
+words sampled so far equal some item's. Items are
 grouped by size (a factor of 1.5), and a group's walk takes two steps for each word
 of its smallest item. ``REPETITIONS`` is set
 for a recall of 0.98 at ``MAX_SHARE`` itself, an edit in every five words (measured on 600
@@ -132,7 +135,18 @@ class Index:
                 bounds.append(int(size))
                 groups.append([])
             groups[-1] += np.flatnonzero(sizes == size).tolist()
-        self.longest = int(sizes.max(initial=0))
+        #: For each group: words to look back and ahead of a start, and the pairs of items that must stand there.
+        self.reach = []
+        for members in groups:
+            n = sizes[members]
+            edits = (max_share * n).astype(np.int64)
+            self.reach.append((int(edits.max()), int((n + 2 * edits).max()), int((n - 1 - 2 * edits).min())))
+        pairs = [x[:-1] * self.n_codes + x[1:] for x, n in zip(self.items, sizes) if n >= SHORT]
+        pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        self.pair_bits = min(24, max(16, int(16 * len(pairs)).bit_length()))
+        #: By hash: whether a pair of neighbouring words may be some item's.
+        self.pair_member = np.zeros(1 << self.pair_bits, bool)
+        self.pair_member[self._pair_place(pairs)] = True
         # Exact copies: every word of a short item, the first words of a longer one.
         onward = np.ones((MIN_WORDS, self.n_codes), np.int8)
         onward[:, 0] = 0
@@ -179,10 +193,32 @@ class Index:
         prefixes = [np.unique(keys[:, k]) for k in range(len(steps))]
         return _Group(steps, np.isin(self.first_keys, prefixes[0]), prefixes, by_key)
 
+    def _pair_place(self, pairs: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            mixed = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.pair_bits)).astype(np.int64)
+
+    def able(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For each group, whether enough pairs of items stand around each word for a window of the group."""
+        known = codes > 1
+        at = np.flatnonzero(known[:-1] & known[1:])
+        pairs = codes[at].astype(np.int64) * self.n_codes + codes[at + 1]
+        marks = np.zeros(len(codes), np.int32)
+        marks[at[self.pair_member[self._pair_place(pairs)]]] = 1
+        below = offsets(marks)
+        place = np.arange(len(codes))
+        return [
+            below[np.minimum(place + ahead, len(codes))] - below[np.maximum(place - back, 0)] >= least for back, ahead, least in self.reach
+        ]
+
     def candidates(self, codes: np.ndarray) -> set[tuple[int, int]]:
         """(first word, item) for texts one after the other, each ended by code 0."""
         found: set[tuple[int, int]] = set()
-        starts = np.flatnonzero(codes).astype(np.int32)
+        if not self.repetitions:
+            return found
+        able = self.able(codes)
+        starts = np.flatnonzero((codes != 0) & np.logical_or.reduce(able)).astype(np.int32)
+        able = [a[starts] for a in able]
         word, move = np.empty(len(starts), codes.dtype), np.empty(len(starts), np.int8)
         for repetition, (moves, groups, member) in enumerate(self.repetitions):
             if repetition % FIRST == 0:
@@ -197,8 +233,9 @@ class Index:
             # Most windows end here: their word is no item's.
             some = np.flatnonzero(member.take(word))
             some_at, some_word = at[some], word[some]
-            for group in groups:
-                for left, whole in zip(*self._walked(codes, moves, group, some, some_at, some_word)):
+            for group, near in zip(groups, able):
+                own = near[some]
+                for left, whole in zip(*self._walked(codes, moves, group, some[own], some_at[own], some_word[own])):
                     found.update((int(starts[left]), item) for item in group.items.get(int(whole), ()))
         return found
 

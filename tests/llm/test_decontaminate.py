@@ -149,3 +149,27 @@ def test_recall_at_the_largest_share_of_edits(size):
         codes = np.array([index.vocabulary.get(w, 1) for w in text] + [0])
         found += any(r[1] == k for r in index.leaks(codes, np.array([0, len(codes)])))
     assert found >= 0.98 * len(items)
+
+
+def test_places_left_out_hold_no_leak():
+    """Candidates at all places, checked exactly, against those at the places kept."""
+    rng = random.Random(21)
+    items = [(k, rng.choices(WORDS[:40], k=rng.randrange(5, 40))) for k in range(60)]
+    index = D.Index(items, D.MAX_SHARE, D.REPETITIONS, D.SAMPLES)
+    texts = [rng.choices(WORDS, k=30) + edited(rng, words, rng.randrange(0, 1 + len(words) // 5)) + rng.choices(WORDS, k=30) for _, words in items]
+    codes = [[index.vocabulary.get(w, 1) for w in t] + [0] for t in texts]
+    begin, codes = np.cumsum([0] + [len(c) for c in codes]), np.concatenate(codes)
+    kept = list(index.leaks(codes, begin))
+    index.able = lambda c: [np.ones(len(c), bool) for _ in index.reach]
+    assert kept == list(index.leaks(codes, begin)) and len(kept) >= 55
+
+
+def test_every_near_window_passes_the_count_of_pairs():
+    rng = random.Random(4)
+    for _ in range(300):
+        item = rng.choices(WORDS[:30], k=rng.randrange(5, 30))
+        index = D.Index([(0, item)], D.MAX_SHARE, 1, D.SAMPLES)
+        near = edited(rng, item, int(D.MAX_SHARE * len(item)))
+        before = rng.choices(WORDS, k=rng.randrange(12))
+        codes = np.array([index.vocabulary.get(w, 1) for w in before + near + rng.choices(WORDS, k=5)] + [0])
+        assert index.able(codes)[0][len(before)]
