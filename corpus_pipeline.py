@@ -36,7 +36,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def first_of_groups(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
-    whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    # Maps can't be hashed; their texts can.
+    whole = F.xxhash64(*[F.to_json(F.col(f"`{c}`")) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes])
     prints = saved(docs.select("doc_id", whole.alias("row_hash"), simhash.fingerprint_column(F.col("text"), shingle).alias("fp")), "fingerprints")
     groups = simhash.components(prints, max_bits)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")

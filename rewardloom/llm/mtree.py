@@ -16,7 +16,8 @@ rounding of distances, so no vector that could tie is left out.
 
 Equal vectors of a part are one leaf entry with its ids ascending, so that many
 copies of a vector don't fill pages. Queries are broadcast in blocks of at most
-``QUERY_BLOCK``, each a pass over the pages; a part is read by one task.
+``QUERY_BLOCK``, each a pass over the pages whose results are written before the next
+block is collected; a part is read by one task.
 
 Cases: null vectors, and vectors with null or non-finite components, take no part;
 so do those whose length differs from ``dim``, if that is given, or else from the
@@ -37,6 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rewardloom.llm.common import saved
+from rewardloom.session import scratch_table_path
 
 #: Vectors of a tree, entries of a page, queries broadcast at once.
 PART, PAGE, QUERY_BLOCK = 4096, 64, 4096
@@ -45,6 +47,7 @@ SLACK = 1e-9
 _LARGEST = 1 << 40
 _PAGES = "part int, page int, leaf boolean, children array<int>, pivot binary, radius double, entries binary, near array<double>, ids array<array<bigint>>"
 _HITS = "query_id long, vec_id long, score long"
+_RANKS = "query_id long, rank int, vec_id long, score long"
 
 
 def scaled(embedding: Column, factor: int = 1024) -> Column:
@@ -200,7 +203,7 @@ def top_k(
     sizes = whole.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim"))
     top = sizes.first() if dim is None else sizes.where(F.col("dim") == dim).first()
     if top is None or not top["dim"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], _RANKS)
     dim, n = top["dim"], top["n"]
     whole = whole.where(F.size("v") == dim)
     square = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
@@ -221,15 +224,19 @@ def top_k(
     asked = whole.where(queries)
     n_asked = asked.count()
     blocks = max(1, -(-2 * n_asked // query_block)) if n_asked > query_block else 1  # blocks dealt by hash are uneven
-    hits = None
-    for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(blocks)) == block).distinct()
-        held = spark.sparkContext.broadcast([(r["vec_id"], r["v"]) for r in own.collect()])  # one block
-        part_hits = pages.groupBy("part").applyInArrow(_searcher(held, dim, norm, k), _HITS)
-        hits = part_hits if hits is None else hits.unionAll(part_hits)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranks = hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-    return ranks.select("query_id", "rank", "vec_id", "score")
+    out = scratch_table_path(spark, "nearest")
+    spark.createDataFrame([], _RANKS).write.parquet(out)
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(blocks)) == block).distinct().collect()  # one block
+        if not own:
+            continue
+        held = spark.sparkContext.broadcast([(r["vec_id"], r["v"]) for r in own])
+        hits = pages.groupBy("part").applyInArrow(_searcher(held, dim, norm, k), _HITS)
+        best = hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+        best.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(out)
+        held.unpersist()
+    return spark.read.schema(_RANKS).parquet(out)
 
 
 def _searcher(held, dim: int, norm: float, k: int):

@@ -17,7 +17,7 @@ from .test_simhash import plain_components, plain_fingerprint
 
 def test_registered():
     names = E.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert [n for n, _ in P.STAGES] == ["language_id", "simhash_near_dedup", "benchmark_decontamination", "secret_scans", "byte_bpe"]
 
 
@@ -66,3 +66,10 @@ def test_one_row_of_each_group_stays(spark, awkward):
     assert Counter(r["doc_id"] for r in rows) == {1: 1, 4: 1, 5: 1, 6: 1, 7: 1}
     alone = P.simhash_near_dedup(spark, awkward.where("doc_id is null and text is not null"), SF).collect()
     assert len(alone) == 1
+
+
+def test_group_winners_beside_map_columns(spark):
+    rows = [(1, "one two three four five", {"a": [1]}), (2, "one two three four five", {"a": [2]}), (1, "one two three four five", {"b": [1]}), (3, "six", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string, array<int>>")
+    kept = P.first_of_groups(docs, simhash.SHINGLE, simhash.MAX_BITS).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3] and all((r["doc_id"], r["text"], r["tags"]) in rows for r in kept)
