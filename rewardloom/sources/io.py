@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rewardloom.functions.text import strip_ws
-from rewardloom.operators.ordinal import with_global_rank
 from rewardloom.operators.schema_text import require_fields
+from rewardloom.session import written_table
 
 ORD = "ord"
 
@@ -87,16 +87,79 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A file holding one JSON array of objects; adds ``ord`` (0-based
-    position in file order)."""
-    df = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    keyed = df.select(
-        "*",
+def _summed(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` with ``name`` = the sum of ``value`` over the file's pieces before each.
+
+    A row a split is written first; a split is numbered in one task."""
+    sums = rows.groupBy(*_SPLIT).agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = written_table(sums.select(*_SPLIT, F.coalesce(before, F.lit(0)).alias("_start")), "split-sums")
+    own = F.sum(value).over(Window.partitionBy(*_SPLIT).orderBy("_id").rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.withColumn(name, F.coalesce(own, F.lit(0))).join(F.broadcast(starts), _SPLIT)
+    return placed.withColumn(name, (F.col(name) + F.col("_start")).cast("long")).drop("_start")
+
+
+def _array_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """A file's text cut at each ``}``, with what a piece says about strings and nesting.
+
+    ``_after`` is the nesting after the piece and its ``}``, ``_object`` the number of objects of
+    the file that have ended before it."""
+    pieces = spark.read.option("lineSep", "}").text(path).select(
+        F.col("value").alias("_piece"),
         F.col("_metadata.file_path").alias("_file"),
-        F.monotonically_increasing_id().alias("_mid"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.col("_metadata.file_size").alias("_size"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    # No escape spans a cut, for a } is never escaped. Strings begin and end at the quotes left.
+    bare = F.regexp_replace("_piece", r"(?s)\\.", "")
+    quotes = F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))
+    told = _summed(pieces.withColumn("_quotes", quotes), "_quotes", "_quotes_before")
+    inside = F.col("_quotes_before") % 2 == 1
+    rest = F.when(inside, F.regexp_replace(bare, '^[^"]*(?:"|$)', "")).otherwise(bare)
+    told = told.withColumn("_outside", F.regexp_replace(rest, '"[^"]*(?:"|$)', ""))
+    closes = F.when((F.col("_quotes_before") + F.col("_quotes")) % 2 == 0, 1).otherwise(0)
+    opens = F.length("_outside") - F.length(F.replace(F.col("_outside"), F.lit("{"), F.lit("")))
+    told = told.withColumn("_closes", closes).withColumn("_delta", opens - F.col("_closes"))
+    nested = _summed(told, "_delta", "_before").withColumn("_after", F.col("_before") + F.col("_delta"))
+    ends = F.when((F.col("_closes") == 1) & (F.col("_after") == 0), 1).otherwise(0)
+    return _summed(nested.withColumn("_ends", ends), "_ends", "_object")
+
+
+def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Files holding one JSON array of objects each; adds ``ord`` (0-based
+    position in file order).
+
+    A file is read by as many tasks as it has splits: its text is cut at each ``}``, running
+    sums over the pieces tell which of them lie in strings, how deep they nest and which
+    object they belong to, and each object is put together from its own pieces. A file that
+    isn't such an array raises, and so does an object with a field of another type."""
+    pieces = _array_pieces(spark, path)
+    # What follows the last object is a piece without a }, so it counts as one level below the file's.
+    tail = F.col("_after") < 0
+    fine = F.when(F.col("_object") == 0, F.col("_outside").rlike(r"^\s*\[\s*\]\s*$")).otherwise(F.col("_outside").rlike(r"^\s*\]\s*$"))
+    files = pieces.groupBy("_file").agg(
+        F.count_if(tail).alias("tails"), F.count_if(tail & ~fine).alias("bad"), F.min("_size").alias("size"),
+        (F.sum(F.octet_length("_piece")) + F.count(F.lit(1)) - 1).alias("read"), F.sum("_ends").alias("objects"),
+    )
+    files = written_table(files, "array-files")
+    bad = files.filter("tails <> 1 or bad > 0 or read <> size").select("_file").first()
+    if bad is not None:
+        raise ValueError(f"Not one JSON array of objects: {bad[0]}")
+    before = F.sum("objects").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    first = files.select("_file", F.coalesce(before, F.lit(0)).alias("_first"))  # a row a file
+    whole = pieces.filter(~tail).groupBy("_file", "_object").agg(
+        F.sort_array(F.collect_list(F.struct("_block", "_id", "_piece"))).alias("_parts")
+    )
+    text = F.array_join(F.transform("_parts", lambda x: F.concat(x["_piece"], F.lit("}"))), "")
+    whole = whole.select("_file", "_object", text.alias("_text")).join(F.broadcast(first), "_file")
+    opening = F.when(F.col("_object") == 0, r"^\s*\[\s*$").otherwise(r"^\s*,\s*$")
+    apart = F.regexp_extract("_text", r"^[^{]*", 0)
+    checked = F.when(F.regexp_like(apart, opening), F.substring("_text", F.length(apart) + 1, F.length("_text"))).otherwise(
+        F.raise_error(F.concat(F.lit("Not one JSON array of objects: "), F.col("_file")))
     )
-    return with_global_rank(keyed, ["_file", "_mid"], name=ORD).withColumn(ORD, F.col(ORD) - 1).drop("_file", "_mid")
+    rows = whole.select((F.col("_first") + F.col("_object")).cast("long").alias(ORD), F.from_json(checked, schema, {"mode": "FAILFAST"}).alias("_r"))
+    return rows.select(*[F.col(f"_r.{_quoted(f.name)}").alias(f.name) for f in schema.fields], ORD)
 
 
 def write_jsonl(df: DataFrame, path: str, order_by: list | None = None, mode: str = "errorifexists") -> None:
