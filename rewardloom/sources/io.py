@@ -159,7 +159,8 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
         F.raise_error(F.concat(F.lit("Not one JSON array of objects: "), F.col("_file")))
     )
     rows = whole.select((F.col("_first") + F.col("_object")).cast("long").alias(ORD), F.from_json(checked, schema, {"mode": "FAILFAST"}).alias("_r"))
-    return rows.select(*[F.col(f"_r.{_quoted(f.name)}").alias(f.name) for f in schema.fields], ORD)
+    # In file order, as files are read; Spark leaves the sort out where what follows doesn't keep it.
+    return rows.select(*[F.col(f"_r.{_quoted(f.name)}").alias(f.name) for f in schema.fields], ORD).orderBy(ORD)
 
 
 def write_jsonl(df: DataFrame, path: str, order_by: list | None = None, mode: str = "errorifexists") -> None:
