@@ -95,6 +95,19 @@ class WordCodes(dict):
             self.clear()
         self[word] = code
 
+    def put_all(self, words: list[str], codes: list[bytes]) -> None:
+        """Keeps words of at most 64 characters, fewer than the limit."""
+        if len(self) + len(words) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        self.update(zip(words, codes))
+
+    def recalled(self, words: set[str]) -> set[str]:
+        """Moves words back from the old memo; those that neither holds."""
+        held = words.intersection(self.old)
+        self.put_all(list(held), [self.old[w] for w in held])
+        return words - held
+
     def of(self, words: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, words))
 

@@ -27,7 +27,6 @@ not read.
 from __future__ import annotations
 
 import functools
-import itertools
 import json
 import uuid
 from collections.abc import Iterator
@@ -91,14 +90,15 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Encodes words that follow a space, many in one text; the tokens' lengths tell where each ends."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        """Encodes words without a space that follow one, many in one text; the tokens' lengths tell where each ends."""
+        text = " " + " ".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
         ends = np.cumsum(self.length[ids])
-        wanted = np.cumsum([len(w.encode("utf-8")) + 1 for w in words])
-        cuts = np.searchsorted(ends, wanted) + 1
-        whole, width = ids.tobytes(), ids.itemsize
-        for word, start, end in zip(words, [0, *cuts[:-1].tolist()], cuts.tolist()):
-            self.after_space.put(word, whole[start * width : end * width])
+        # A word ends where the next one's space begins.
+        wanted = np.flatnonzero(np.frombuffer(text.encode("utf-8") + b" ", np.uint8) == 0x20)[1:]
+        cuts = ((np.searchsorted(ends, wanted) + 1) * ids.itemsize).tolist()
+        whole = ids.tobytes()
+        self.after_space.put_all(words, [whole[a:b] for a, b in zip([0, *cuts], cuts)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text."""
@@ -108,10 +108,9 @@ class Encoder:
         whole = {k: self._ids(t) for k, t in enumerate(texts) if t and any(a in t for a in self.added)}
         split = [words_of(t or "") if k not in whole else [""] for k, t in enumerate(texts)]
         known = self.after_space
-        new = [
-            w for w in set(itertools.chain.from_iterable(s[1:] for s in split))
-            if w not in known and w not in known.old and 0 < len(w) <= 64 and not w[0].isspace() and not w[-1].isspace()
-        ]
+        # Words of the memo's older half are kept on before new ones push it out.
+        new = known.recalled(set().union(*(s[1:] for s in split)).difference(known))
+        new = [w for w in new if 0 < len(w) <= 64 and w.strip() == w and " " not in w]
         for k in range(0, len(new), WORDS):
             self._learn(new[k : k + WORDS])
         return [whole[k] if k in whole else self.at_start[s[0]] + known.of(s[1:]) for k, s in enumerate(split)]
