@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -52,6 +53,7 @@ MEMO = 400_000
 #: Bytes of ids read before they are passed on.
 BUFFER = 8 << 20
 
+_ODD_SPACE = re.compile(r" (?:\s|(?<=\s ))")
 _PLACED = "shard int, place long, doc_id long, copy long, offset long, n_tokens long"
 _SLOTS = "bucket long, n_keys int, levels array<binary>, fingerprint binary, shard binary, offset binary, n_tokens binary, start binary"
 _FOUND = "doc_id long, copy long, shard int, offset long, n_tokens long, start long"
@@ -106,14 +108,20 @@ class Encoder:
             found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
             return [np.array(x.ids, self.dtype).tobytes() for x in found]
         whole = {k: self._ids(t) for k, t in enumerate(texts) if t and any(a in t for a in self.added)}
-        split = [words_of(t or "") if k not in whole else [""] for k, t in enumerate(texts)]
+        split = [_words(t or "") if k not in whole else [""] for k, t in enumerate(texts)]
+        heads = [s.pop(0) for s in split]
         known = self.after_space
         # Words of the memo's older half are kept on before new ones push it out.
-        new = known.recalled(set().union(*(s[1:] for s in split)).difference(known))
+        new = known.recalled(set().union(*split).difference(known))
         new = [w for w in new if 0 < len(w) <= 64 and w.strip() == w and " " not in w]
         for k in range(0, len(new), WORDS):
             self._learn(new[k : k + WORDS])
-        return [whole[k] if k in whole else self.at_start[s[0]] + known.of(s[1:]) for k, s in enumerate(split)]
+        return [whole[k] if k in whole else self.at_start[h] + known.of(s) for k, (h, s) in enumerate(zip(heads, split))]
+
+
+def _words(text: str) -> list[str]:
+    """As ``words_of``; most texts have single spaces alone, told by a search that leaps from space to space."""
+    return words_of(text) if _ODD_SPACE.search(text) else text.split(" ")
 
 
 @functools.lru_cache(maxsize=2)
