@@ -102,11 +102,14 @@ class WordCodes(dict):
             self.clear()
         self.update(zip(words, codes))
 
-    def recalled(self, words: set[str]) -> set[str]:
-        """Moves words back from the old memo; those that neither holds."""
-        held = words.intersection(self.old)
-        self.put_all(list(held), [self.old[w] for w in held])
-        return words - held
+    def held(self, words: list[str]) -> list[bytes | None]:
+        """The code of each word, or None; distinct words of the old memo move back."""
+        codes = list(map(self.get, words))
+        back = [k for k, code in enumerate(codes) if code is None and words[k] in self.old] if self.old else []
+        for k in back:
+            codes[k] = self.old[words[k]]
+        self.put_all([words[k] for k in back], [codes[k] for k in back])
+        return codes
 
     def of(self, words: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, words))

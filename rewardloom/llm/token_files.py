@@ -28,32 +28,40 @@ from __future__ import annotations
 
 import functools
 import json
-import re
+import string
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rewardloom.llm.bpe import words_of
 from rewardloom.llm.common import WordCodes, offsets, saved
 
 #: Keys of a bucket of the index, on average.
 BUCKET = 4096
-#: Texts encoded at once, and words in one call of the tokenizer.
-TEXTS, WORDS = 1024, 1024
-#: Words whose ids a worker keeps.
+#: Bytes of text encoded at once, and pieces in one call of the tokenizer.
+BYTES, WORDS = 16 << 20, 1024
+#: Pieces whose ids a worker keeps.
 MEMO = 400_000
 #: Bytes of ids read before they are passed on.
 BUFFER = 8 << 20
 
-_ODD_SPACE = re.compile(r" (?:\s|(?<=\s ))")
+#: White space of more than one byte, its bytes as one number, by its size.
+_WIDE = {n: [int.from_bytes(b) for k in range(0x80, 0x3001) if chr(k).isspace() and len(b := chr(k).encode("utf-8")) == n] for n in (2, 3)}
+#: Kinds of bytes: white space, the first of wider white space, and ASCII letters, digits and marks.
+_WHITE, _WIDE_LEAD, _LETTER, _DIGIT, _MARK = range(1, 6)
+_KIND = np.zeros(256, np.uint8)
+_KIND[[k for k in range(128) if chr(k).isspace()]] = _WHITE
+_KIND[[b >> 8 * (n - 1) for n, wide in _WIDE.items() for b in wide]] = _WIDE_LEAD
+for _kind, _chars in (_LETTER, string.ascii_letters), (_DIGIT, string.digits), (_MARK, string.punctuation):
+    _KIND[list(_chars.encode())] = _kind
 _PLACED = "shard int, place long, doc_id long, copy long, offset long, n_tokens long"
 _SLOTS = "bucket long, n_keys int, levels array<binary>, fingerprint binary, shard binary, offset binary, n_tokens binary, start binary"
 _FOUND = "doc_id long, copy long, shard int, offset long, n_tokens long, start long"
@@ -67,7 +75,12 @@ def store(folder: str) -> tuple[pafs.FileSystem, str]:
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizers file, as bytes."""
+    """Ids of whole texts by a tokenizers file, as bytes.
+
+    Many texts are cut at once, into pieces that begin and end where matches of the
+    tokenizer's pattern do. Arrow finds the distinct pieces, only those are encoded
+    or found in a bounded memo, and Arrow strings their ids together again.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -76,52 +89,113 @@ class Encoder:
         split = made["pre_tokenizer"] or {}
         #: Strings that the tokenizer takes out of a text before all else; a text with one is encoded whole.
         self.added = [t["content"] for t in made["added_tokens"]]
-        # Words may be encoded one by one if the tokenizer itself cuts there and changes no text.
+        # Pieces may be encoded one by one if the tokenizer itself cuts there and changes no text.
         self.by_word = (
             split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not made["normalizer"]
-            and not any(c.isspace() for t in self.added for c in t)  # so that none arises where words meet
+            and not any(c.isspace() for t in self.added for c in t)  # so that none arises where pieces meet
         )
         #: Bytes of each token: such a tokenizer writes a byte as one character.
         self.length = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
         for token, rank in self.tokenizer.get_vocab().items():
             self.length[rank] = len(token)
-        self.at_start = WordCodes(self._ids)
-        self.after_space = WordCodes(lambda word: self._ids(" " + word), MEMO)
+        self.known = WordCodes(self._ids, MEMO)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes words without a space that follow one, many in one text; the tokens' lengths tell where each ends."""
-        text = " " + " ".join(words)
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Encodes pieces, many in one text; the tokens' lengths tell where each begins and ends.
+
+        None ends in white space, nor begins with other than a lone space; where
+        none stands between two, a lone line feed does, which is a match of its own.
+        """
+        text = "".join([p if p[0] == " " else "\n" + p for p in pieces])
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        size = np.array([len(p) if p.isascii() else len(p.encode("utf-8")) for p in pieces])
+        stop = np.cumsum(size + [p[0] != " " for p in pieces])
         ends = np.cumsum(self.length[ids])
-        # A word ends where the next one's space begins.
-        wanted = np.flatnonzero(np.frombuffer(text.encode("utf-8") + b" ", np.uint8) == 0x20)[1:]
-        cuts = ((np.searchsorted(ends, wanted) + 1) * ids.itemsize).tolist()
+        first, last = ((np.searchsorted(ends, x, "right") * ids.itemsize).tolist() for x in (stop - size, stop))
         whole = ids.tobytes()
-        self.after_space.put_all(words, [whole[a:b] for a, b in zip([0, *cuts], cuts)])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return [whole[a:b] for a, b in zip(first, last)]
+
+    def _codes(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of distinct pieces."""
+        codes = self.known.held(pieces)
+        new, alone = [], []
+        for k, code in enumerate(codes):
+            if code is None:
+                p = pieces[k]
+                joins = len(p) <= 64 and not p[-1].isspace() and not (p[1] if p[0] == " " else p[0]).isspace()
+                (new if joins and not any(a in p for a in self.added) else alone).append(k)
+        for k in range(0, len(new), WORDS):
+            at = new[k : k + WORDS]
+            words = [pieces[i] for i in at]
+            learned = self._learn(words)
+            self.known.put_all(words, learned)
+            for i, code in zip(at, learned):
+                codes[i] = code
+        for k in alone:
+            codes[k] = self.known[pieces[k]]
+        return codes
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """The ids of each whole text."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()).fill_null("")
         if not self.by_word:
-            found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
             return [np.array(x.ids, self.dtype).tobytes() for x in found]
-        whole = {k: self._ids(t) for k, t in enumerate(texts) if t and any(a in t for a in self.added)}
-        split = [_words(t or "") if k not in whole else [""] for k, t in enumerate(texts)]
-        heads = [s.pop(0) for s in split]
-        known = self.after_space
-        # Words of the memo's older half are kept on before new ones push it out.
-        new = known.recalled(set().union(*split).difference(known))
-        new = [w for w in new if 0 < len(w) <= 64 and w.strip() == w and " " not in w]
-        for k in range(0, len(new), WORDS):
-            self._learn(new[k : k + WORDS])
-        return [whole[k] if k in whole else self.at_start[h] + known.of(s) for k, (h, s) in enumerate(zip(heads, split))]
-
-
-def _words(text: str) -> list[str]:
-    """As ``words_of``; most texts have single spaces alone, told by a search that leaps from space to space."""
-    return words_of(text) if _ODD_SPACE.search(text) else text.split(" ")
+        begin = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
+        if begin[-1] == begin[0]:
+            return [b""] * len(texts)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[begin[0] : begin[-1]]
+        begin = begin - begin[0]
+        cuts = sure_cuts(data)
+        whole = np.zeros(len(texts), bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if whole.any():
+            cuts = cuts[~whole[np.searchsorted(begin, cuts, "right") - 1]]
+        starts = np.zeros(len(data) + 1, bool)
+        starts[begin] = starts[cuts] = True
+        bounds = np.flatnonzero(starts)
+        pieces = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        ids = pa.array(self._codes(pieces.dictionary.to_pylist()), pa.large_binary()).take(pieces.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[np.searchsorted(bounds, begin)].tolist()
+        body = memoryview(ids.buffers()[2] or b"")
+        return [bytes(body[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+def sure_cuts(data: np.ndarray) -> np.ndarray:
+    """Places in the bytes of UTF-8 texts laid end to end where a match of the tokenizer's pattern starts, whatever else they hold.
+
+    Such are a space between two characters that are not white space; a line feed
+    between two such, and the character after it; and an ASCII letter, digit or
+    mark after one of another of these kinds, but no letter after an apostrophe,
+    which may be one match with it. Places left out only make pieces longer.
+    """
+    kind = _KIND[data]
+    white = kind == _WHITE
+    leads = np.flatnonzero(kind == _WIDE_LEAD)
+    number = data[leads].astype(np.uint32)
+    for size, wide in _WIDE.items():
+        number = number << np.uint32(8) | data.take(leads + size - 1, mode="clip")
+        at = leads[np.isin(number, wide)]
+        white[at] = white[at + size - 1] = True
+    starts = np.zeros(len(data), bool)
+    left, right = kind[:-1], kind[1:]
+    starts[1:] = (left != right) & (left >= _LETTER) & (right >= _LETTER) & ((data[:-1] != 0x27) | (right != _LETTER))
+    lone = white[1:-1] & ~(white[:-2] | white[2:])
+    feeds = np.flatnonzero(lone & (data[1:-1] == 0x0A)) + 1
+    starts[1:-1] |= lone & (data[1:-1] == 0x20)
+    starts[feeds] = starts[feeds + 1] = True
+    return np.flatnonzero(starts)
+
+
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about ``BYTES`` bytes of text each."""
+    at = offsets(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))[:-1] // BYTES
+    first = np.unique(at, return_index=True)[1].tolist()
+    return zip(first, [*first[1:], len(texts)])
 
 
 @functools.lru_cache(maxsize=2)
@@ -275,9 +349,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str
         for batch in batches:
             n, copies = [], []
             out = out or files.open_output_stream(own)
-            for k in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(k, TEXTS)
-                coded = codes.encode(part.column("text").to_pylist())
+            for k, stop in _parts(batch.column("text")):
+                part = batch.slice(k, stop - k)
+                coded = codes.encode(part.column("text"))
                 out.write(end.join(coded) + end)
                 n += [len(x) // len(end) + 1 for x in coded]
                 for key in part.column("doc_id").to_pylist():

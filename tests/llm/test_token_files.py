@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -85,3 +87,41 @@ def test_special_tokens_in_texts_are_read_as_the_library_reads_them(spark):
 def test_other_tokenizer_encodes_whole_texts():
     codes = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     assert not codes.by_word and codes.encode(["Some  Text"]) == [np.array(codes.tokenizer.encode("Some  Text", add_special_tokens=False).ids, codes.dtype).tobytes()]
+
+
+AWKWARD = [
+    " ", "  ", "a", "Bc", "é", "à", "\u00a0", "\u2009", "\u3000", "\u0085", "\x1f", "\n", "\t", "\r\n", "\x00", "!", "123", "'s", "'", "(", "語", "’", "\U0001f600", "\u180e",
+    "x" * 70, "ing", "The", "<|endoftext|>",
+]
+
+
+def test_mixed_texts_are_encoded_as_whole(monkeypatch):
+    codes, draw = token_files.Encoder(PATH), random.Random(5)
+    codes.known.limit = 300  # words come and go
+    monkeypatch.setattr(token_files, "WORDS", 7)
+    texts = ["".join(draw.choices([" "] * 12 + AWKWARD[draw.randint(0, 1) : draw.randint(20, len(AWKWARD))], k=draw.randint(0, 14))) for _ in range(4000)]
+    whole = [np.array(x.ids, "<u2").tobytes() for x in codes.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert codes.encode(texts) == whole
+    assert codes.encode(pa.array([None, *texts]).slice(1001, 2000)) == whole[1000:3000]
+    assert len(codes.known) <= 300 and len(codes.known.old) <= 300
+
+
+def test_cuts_are_where_matches_start():
+    cut = lambda text: [int(x) for x in token_files.sure_cuts(np.frombuffer(text.encode(), np.uint8))]
+    assert cut("ab, don't 12x.\nThe  a\u2009 b") == [2, 3, 7, 9, 12, 13, 14, 15]
+    assert cut("") == cut("a") == cut(" ") == []
+
+
+def test_words_are_shared_between_their_punctuations():
+    codes, seen = token_files.Encoder(PATH), []
+    learn = codes._learn
+    codes._learn = lambda pieces: seen.extend(pieces) or learn(pieces)
+    codes.encode([f"odd words{mark} odd words{mark}\nodd" for mark in ",.;:!?"])
+    assert sorted(seen) == sorted(["odd", " odd", " words", *",.;:!?"])
+
+
+def test_texts_are_encoded_in_runs_of_bytes(monkeypatch):
+    monkeypatch.setattr(token_files, "BYTES", 10)
+    texts = pa.array(["abcd", None, "efgh", "x" * 35, "", "y"])
+    assert list(token_files._parts(texts)) == [(0, 4), (4, 6)]
+    assert list(token_files._parts(texts.slice(0, 0))) == []
